@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from refloom.llm import hot_dedup, token_ids
+from refloom.llm import hot_dedup, survivor, token_ids
 from refloom.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,3 +55,13 @@ def p5_copies(spark: SparkSession, sf: str) -> DataFrame:
 @query("p8_ids")
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return token_ids.encode_corpus(table(spark, sf, "documents"))
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return survivor.best_values(table(spark, sf, "entries"))
+
+
+@query("p3_survivors")
+def p3_survivors(spark: SparkSession, sf: str) -> DataFrame:
+    return survivor.survivors(table(spark, sf, "entries")).withColumn("fields", F.to_json("fields"))

@@ -1,0 +1,28 @@
+"""Joins that stay even when one key holds a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: A key is hot from this many rows on; never more than MAX_HOT keys are.
+HOT_ROWS = 20_000
+MAX_HOT = 1000
+
+
+def join_even(rows: DataFrame, groups: DataFrame, key: str, count: str = "n", how: str = "inner", hot_rows: int = HOT_ROWS, max_hot: int = MAX_HOT) -> DataFrame:
+    """``rows`` joined with ``groups``, one row for each ``key``, whose ``count`` column says how many rows a key has.
+
+    Groups of hot keys are broadcast: a key counts as hot from
+    max(hot_rows, rows / max_hot) on, so there are ``max_hot`` of them at most.
+    Their rows stay where they are; the others meet in a hash join in which no
+    key is hot.
+    """
+    total = groups.agg(F.coalesce(F.sum(count), F.lit(0))).head()[0]
+    limit = max(hot_rows, total // max_hot)
+    hot = [r[0] for r in groups.where(F.col(count) >= limit).select(key).collect()]
+    payload = groups.drop(count)
+    if not hot:
+        return rows.join(payload, key, how)
+    is_hot = F.col(key).isin(hot)
+    return rows.where(~is_hot).join(payload.where(~is_hot), key, how).unionByName(rows.where(is_hot).join(F.broadcast(payload.where(is_hot)), key, how))
