@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.llm import hot_dedup, survivor, token_ids
+from refloom.llm import hot_dedup, look_alike, mojibake, survivor, token_ids
 from refloom.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,26 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@query("p1_found")
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return mojibake.repair_entries(table(spark, sf, "entries")).select("entry_id", "field")
+
+
+@query("p1_repaired")
+def p1_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    return mojibake.repair_entries(table(spark, sf, "entries"))
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return look_alike.unify_entries(table(spark, sf, "entries")).select("entry_id", "field")
+
+
+@query("p4_forms")
+def p4_forms(spark: SparkSession, sf: str) -> DataFrame:
+    return look_alike.unify_entries(table(spark, sf, "entries"))
+
+
 @query(
     "p5_found",
     r"""WITH pairs AS (
