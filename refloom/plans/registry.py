@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from refloom.operators import packed_fields
 from refloom.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,3 +37,8 @@ def missing_by_file(spark: SparkSession, sf: str) -> DataFrame:
     cites = table(spark, sf, "citations").where("key IS NOT NULL").select("project", "file", "key").distinct()
     keys = table(spark, sf, "entries").where("key IS NOT NULL").select("project", "key")
     return cites.join(keys, ["project", "key"], "left_anti").groupBy("project", "file").agg(F.count(F.lit(1)).alias("n_missing"))
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return packed_fields.unpack(table(spark, sf, "entries"), least=2)
