@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.llm import hot_dedup, look_alike, mojibake, survivor, token_ids
+from refloom.llm import canonical_list, hot_dedup, look_alike, mojibake, survivor, token_ids
 from refloom.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,11 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return token_ids.encode_corpus(table(spark, sf, "documents"))
 
 
+@query("p2_found")
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return canonical_list.map_journals(table(spark, sf, "entries"), table(spark, sf, "journals"))
+
+
 @query("p3_found")
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return survivor.best_values(table(spark, sf, "entries"))
