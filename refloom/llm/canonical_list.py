@@ -22,11 +22,11 @@ data, and past ``BROADCAST_ROWS`` rows the join shuffles instead.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refloom.llm.skew import join_even
+from refloom.runtime import cut_lineage
 
 K = 4
 BROADCAST_ROWS = 50_000
@@ -120,23 +120,24 @@ def match_names(names: DataFrame, journals: DataFrame, k: int = K) -> DataFrame:
     words come before abbreviations and those before misspellings. Names of an
     empty list match nothing.
     """
-    refs = listed(journals).persist(StorageLevel.MEMORY_AND_DISK)
+    refs = cut_lineage(listed(journals))
     n_refs = refs.count()
-    q = names.select("name", bare_words(F.col("name")).alias("qw")).where(F.size("qw") > 0).withColumn("qt", _text(F.col("qw"))).persist(StorageLevel.MEMORY_AND_DISK)
-    texts = q.select("qt", "qw").distinct()
+    q = names.select("name", bare_words(F.col("name")).alias("qw")).where(F.size("qw") > 0).withColumn("qt", _text(F.col("qw")))
+    q = cut_lineage(q)
+    texts = cut_lineage(q.select("qt", "qw").distinct())
 
     exact = texts.join(_maybe_broadcast(refs.select(_text(F.col("words")).alias("qt"), "row_no", "form"), n_refs), "qt")
-    exact = exact.groupBy("qt").agg(F.max_by("row_no", F.struct(F.when(F.col("form") == "full", 1).otherwise(0), "row_no")).alias("row_no"))
+    exact = cut_lineage(exact.groupBy("qt").agg(F.max_by("row_no", F.struct(F.when(F.col("form") == "full", 1).otherwise(0), "row_no")).alias("row_no")))
 
     left = texts.join(exact, "qt", "left_anti").withColumn("key", _initials(F.col("qw")))
     full = refs.where("form = 'full'").select("row_no", F.col("words").alias("rw"), _text(F.col("words")).alias("rt"))
     begun = F.forall(F.zip_with("qw", "rw", lambda a, b: F.startswith(b, a)), lambda x: x)
     short = left.join(_maybe_broadcast(full.withColumn("key", _initials(F.col("rw"))), n_refs), "key").where((F.size("qw") == F.size("rw")) & begun)
     # Left-over letters decide between journals that an abbreviation may mean.
-    short = short.groupBy("qt").agg(F.min_by("row_no", F.struct(F.length("rt"), "row_no")).alias("row_no"))
+    short = cut_lineage(short.groupBy("qt").agg(F.min_by("row_no", F.struct(F.length("rt"), "row_no")).alias("row_no")))
 
     cut = full.select("row_no", "rw", "rt", F.length("rt").alias("ln"), F.explode(_segments(F.col("rt"), k)).alias("s")).select("row_no", "rw", "rt", "ln", "s.i", "s.seg")
-    open_names = texts.join(exact, "qt", "left_anti").join(short, "qt", "left_anti")
+    open_names = cut_lineage(texts.join(exact, "qt", "left_anti").join(short, "qt", "left_anti"))
     vocabulary = full.select(F.explode("rw").alias("w")).distinct()
     own = open_names.select("qt", F.explode("qw").alias("w")).distinct().join(_maybe_broadcast(vocabulary, n_refs), "w")
     open_names = open_names.join(own.groupBy("qt").agg(F.collect_set("w").alias("own")), "qt", "left").withColumn("own", F.coalesce("own", F.array().cast("array<string>")))
@@ -144,7 +145,7 @@ def match_names(names: DataFrame, journals: DataFrame, k: int = K) -> DataFrame:
     pairs = probes.join(_maybe_broadcast(cut.select("ln", "i", "seg", "row_no", "rt"), n_refs * (k + 1)), ["ln", "i", "seg"]).withColumn("d", F.levenshtein("qt", "rt", k)).where("d >= 0")
     near = pairs.select("qt", "row_no", "d").distinct().join(open_names, "qt").join(_maybe_broadcast(full.select("row_no", "rw"), n_refs), "row_no")
     near = near.where(F.size("qw") == F.size("rw")).where(_near(F.col("qw"), F.col("rw"), F.col("own")))
-    near = near.groupBy("qt").agg(F.min_by("row_no", F.struct("d", "row_no")).alias("row_no"))
+    near = cut_lineage(near.groupBy("qt").agg(F.min_by("row_no", F.struct("d", "row_no")).alias("row_no")))
     found = exact.unionByName(short).unionByName(near)
     return q.select("name", "qt").join(found, "qt").select("name", "row_no")
 
@@ -164,9 +165,9 @@ def map_journals(entries: DataFrame, journals: DataFrame, k: int = K) -> DataFra
     """
     e = journal_of(entries)
     forms = journals.select(F.explode(F.array("full", "short")).alias("name")).where("name IS NOT NULL").distinct()
-    free = e.join(forms, "name", "left_anti")
-    names = free.groupBy("name").agg(F.count(F.lit(1)).alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+    free = e.join(_maybe_broadcast(forms, 2 * journals.count()), "name", "left_anti")
+    names = cut_lineage(free.groupBy("name").agg(F.count(F.lit(1)).alias("n")))
     found = match_names(names.select("name"), journals, k)
     unmatched = names.join(found, "name", "left_anti").select("name", F.lit(-1).alias("row_no"))
-    mapped = names.join(found.unionByName(unmatched), "name")
+    mapped = cut_lineage(names.join(found.unionByName(unmatched), "name"))
     return join_even(free, mapped, "name").select("entry_id", F.col("row_no").cast("int").alias("row_no"))

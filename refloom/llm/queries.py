@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.llm import canonical_list, hot_dedup, look_alike, mojibake, survivor, token_ids
+from refloom.llm import canonical_list, hot_dedup, look_alike, mojibake, name_variants, survivor, token_ids
 from refloom.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,16 @@ def p5_copies(spark: SparkSession, sf: str) -> DataFrame:
     return hot_dedup.collapse(table(spark, sf, "entries"))
 
 
+@query("p7_found")
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return name_variants.variant_pairs(table(spark, sf, "author_names"))
+
+
+@query("p7_entities")
+def p7_entities(spark: SparkSession, sf: str) -> DataFrame:
+    return name_variants.resolve(table(spark, sf, "author_names"))
+
+
 @query("p8_ids")
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return token_ids.encode_corpus(table(spark, sf, "documents"))
