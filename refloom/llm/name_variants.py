@@ -143,16 +143,17 @@ def given_lexicon(names: DataFrame, size: int = LEXICON) -> set[str]:
 
 
 def parsed(names: DataFrame, lexicon: set[str]) -> DataFrame:
-    """``(name_id, sur, given, fi, mid, whole)``; names that parse to nothing are left out."""
+    """``(name_id, sur, given, fi, mid, whole, common)``; names that parse to nothing are left out."""
     shared = names.sparkSession.sparkContext.broadcast(frozenset(lexicon))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [parse(n, shared.value) for n in batch.column(1).to_pylist()]
             cols = [pa.array([r[i] for r in rows], pa.string()) for i in range(5)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["name_id", "sur", "given", "fi", "mid", "whole"])
+            common = pa.array([r[1] in shared.value for r in rows], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, common], names=["name_id", "sur", "given", "fi", "mid", "whole", "common"])
 
-    return names.select(F.col("name_id").cast("long").alias("name_id"), "name").mapInArrow(run, "name_id long, sur string, given string, fi string, mid string, whole string").where("sur <> '' OR fi = '#'")
+    return names.select(F.col("name_id").cast("long").alias("name_id"), "name").mapInArrow(run, "name_id long, sur string, given string, fi string, mid string, whole string, common boolean").where("sur <> '' OR fi = '#'")
 
 
 def deletion_keys(c: Column) -> Column:
@@ -167,45 +168,39 @@ def one_error(a: Column, b: Column) -> Column:
     return (F.levenshtein(a, b) <= 1) | ((F.length(a) == F.length(b)) & (F.levenshtein(a, b) == 2) & (letters(a) == letters(b)))
 
 
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(node, label)``: the smallest node reachable over ``(a, b)``; nodes without edges are their own label."""
-    both = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = cut_lineage(nodes.select("node", F.col("node").alias("label")))
+def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(node, label)``: each node's smallest label reachable over ``(a, b)``, starting from the labels given."""
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     while True:
-        heard = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("low"))
-        step = labels.join(heard, labels["node"] == heard["a"], "left").select("node", "label", F.least("label", "low").alias("new"))
-        # Pointer jumping: follow the label's own label.
-        up = step.select(F.col("node").alias("label_node"), F.col("new").alias("up"))
-        jumped = step.join(up, step["new"] == up["label_node"], "left").select("node", F.least("new", F.coalesce("up", "new")).alias("new"), "label")
-        done = cut_lineage(jumped)
-        if done.where("new <> label").isEmpty():
-            return done.select("node", F.col("new").alias("label"))
+        heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("low"))
+        step = labels.join(heard, "node", "left").select("node", "label", F.least("label", "low").alias("new"))
+        # Pointer jumping: what a label's own node has just heard counts as well.
+        up = step.where("new < label").select(F.col("node").alias("new"), F.col("new").alias("up"))
+        done = cut_lineage(step.join(up, "new", "left").select("node", "label", F.least("new", "up").alias("new")))
         labels = done.select("node", F.col("new").alias("label"))
+        if done.where("new < label").isEmpty():
+            return labels
 
 
 def _mids_fit(a: Column, b: Column) -> Column:
     return F.startswith(a, b) | F.startswith(b, a)
 
 
-def _typing_edges(nodes: DataFrame, lexicon: DataFrame) -> DataFrame:
-    full = nodes.where("given <> ''").select("node", "sur", "given", "fi", "mid", "whole")
-    left = lambda d, *k: d.select(*k, *[F.col(c).alias(f"{c}_l") for c in ("node", "sur", "given", "mid", "whole")])
-    right = lambda d, *k: d.select(*k, *[F.col(c).alias(f"{c}_r") for c in ("node", "sur", "given", "mid", "whole")])
-
-    by_given = full.where("fi <> '#'").withColumn("k", F.explode(deletion_keys(F.col("given")))).withColumn("s", F.col("sur"))
-    e1 = left(by_given, "s", "k").join(right(by_given, "s", "k"), ["s", "k"]).where("node_l < node_r").where(one_error(F.col("given_l"), F.col("given_r")))
+def _typing_edges(nodes: DataFrame) -> DataFrame:
+    """Nodes one typing error apart, or apart by a particle written together with the surname; one self-join on keys."""
+    glued = F.regexp_replace("sur", "^(?:vander|vanden|van|vonder|von|dela|della|del|de|di|du|d)(?=.{4})", "")
+    by_sur = F.array_union(F.array_union(deletion_keys(F.col("sur")), deletion_keys(F.col("whole"))), F.array(glued))
+    by_given = F.when(F.col("fi") != "#", deletion_keys(F.col("given"))).otherwise(F.array().cast("array<string>"))
+    keys = F.concat(F.transform(by_given, lambda k: F.concat(F.lit("g|"), F.col("sur"), F.lit("|"), k)), F.transform(by_sur, lambda k: F.concat(F.lit("s|"), F.col("given"), F.lit("|"), k)))
+    keyed = nodes.where("given <> ''").withColumn("glued", glued).select(F.explode(keys).alias("key"), F.struct("node", "sur", "given", "mid", "whole", "glued", "common").alias("x"))
+    pairs = keyed.withColumnRenamed("x", "l").join(keyed.withColumnRenamed("x", "r"), "key").where(F.col("l.node") < F.col("r.node"))
+    same_given = (F.col("l.given") == F.col("r.given")) & (
+        one_error(F.col("l.sur"), F.col("r.sur")) | one_error(F.col("l.whole"), F.col("r.whole")) | (F.col("l.glued") == F.col("r.sur")) | (F.col("l.sur") == F.col("r.glued"))
+    )
     # Two given names that are both common are two names, however near.
-    e1 = e1.join(lexicon.select(F.col("g").alias("given_l"), F.lit(True).alias("common_l")), "given_l", "left").join(lexicon.select(F.col("g").alias("given_r"), F.lit(True).alias("common_r")), "given_r", "left")
-    e1 = e1.where((F.col("given_l") == F.col("given_r")) | ~(F.coalesce("common_l", F.lit(False)) & F.coalesce("common_r", F.lit(False))))
-
-    by_sur = full.withColumn("k", F.explode(F.array_union(deletion_keys(F.col("sur")), deletion_keys(F.col("whole"))))).withColumn("g", F.col("given"))
-    e2 = left(by_sur, "g", "k").join(right(by_sur, "g", "k"), ["g", "k"]).where("node_l < node_r").where(one_error(F.col("sur_l"), F.col("sur_r")) | one_error(F.col("whole_l"), F.col("whole_r")))
-
-    joined = full.withColumn("k", F.regexp_replace("sur", "^(?:vander|vanden|van|vonder|von|dela|della|del|de|di|du|d)(?=.{4})", "")).where("k <> sur")
-    e3 = left(joined.withColumn("g", F.col("given")), "g", "k").join(right(full.withColumn("g", F.col("given")).withColumn("k", F.col("sur")), "g", "k"), ["g", "k"])
-    pairs = [x.select("node_l", "node_r", "mid_l", "mid_r") for x in (e1, e2, e3)]
-    edges = pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).distinct().where(_mids_fit(F.col("mid_l"), F.col("mid_r")))
-    return edges.select(F.col("node_l").alias("a"), F.col("node_r").alias("b"))
+    same_sur = (F.col("l.sur") == F.col("r.sur")) & one_error(F.col("l.given"), F.col("r.given")) & ~(F.col("l.common") & F.col("r.common"))
+    fit = pairs.where(_mids_fit(F.col("l.mid"), F.col("r.mid")) & (same_given | same_sur))
+    return fit.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
 
 
 def _middle_edges(nodes: DataFrame) -> DataFrame:
@@ -246,20 +241,18 @@ def resolve(names: DataFrame) -> DataFrame:
     """
     names = names.select("name_id", "name")
     lexicon = given_lexicon(names)
-    spark = names.sparkSession
     p = cut_lineage(parsed(names, lexicon))
-    nodes = cut_lineage(p.groupBy("sur", "given", "fi", "mid", "whole").agg(F.min("name_id").alias("node")))
-    lex = spark.createDataFrame([(g,) for g in sorted(lexicon)], "g string")
-    edges = cut_lineage(_typing_edges(nodes, lex).unionByName(_middle_edges(nodes)))
-    labels = components(edges, nodes)
+    nodes = cut_lineage(p.groupBy("sur", "given", "fi", "mid", "whole").agg(F.min("name_id").alias("node"), F.first("common").alias("common")))
+    edges = _typing_edges(nodes).unionByName(_middle_edges(nodes))
+    labels = components(cut_lineage(edges), nodes.select("node", F.col("node").alias("label")))
     while True:
-        more = cut_lineage(_initial_edges(nodes, labels))
-        known = labels.withColumnRenamed("node", "n").withColumnRenamed("label", "l")
-        fresh = more.join(known, more["a"] == known["n"]).where(F.col("l") != F.col("b")).select("a", "b")
+        known = labels.select(F.col("node").alias("a"), "label")
+        fresh = cut_lineage(_initial_edges(nodes, labels).join(known, "a").where(F.col("label") != F.col("b")).select("a", "b", "label"))
         if fresh.isEmpty():
             break
-        edges = cut_lineage(edges.unionByName(fresh))
-        labels = components(edges, nodes)
+        # Whole profiles merge: labels are joined, not only the node that was matched.
+        merged = components(fresh.select(F.col("label").alias("a"), "b"), labels.select(F.col("label").alias("node"), "label").distinct())
+        labels = cut_lineage(labels.withColumnRenamed("label", "l").join(merged.select(F.col("node").alias("l"), "label"), "l").select("node", "label"))
     keyed = p.join(nodes, ["sur", "given", "fi", "mid", "whole"]).select("name_id", "node")
     return keyed.join(labels, "node").select("name_id", F.col("label").alias("entity"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.llm import canonical_list, hot_dedup, look_alike, mojibake, name_variants, survivor, token_ids
+from refloom.llm import canonical_list, hot_dedup, look_alike, mojibake, name_variants, packing, reading_level, survivor, token_ids
 from refloom.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,3 +100,25 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 @query("p3_survivors")
 def p3_survivors(spark: SparkSession, sf: str) -> DataFrame:
     return survivor.survivors(table(spark, sf, "entries")).withColumn("fields", F.to_json("fields"))
+
+
+@query("p9_containers")
+def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.fill_containers(table(spark, sf, "documents"), table(spark, sf, "pack_sizes"))
+
+
+@query("p9_report")
+def p9_report(spark: SparkSession, sf: str) -> DataFrame:
+    packs = table(spark, sf, "pack_sizes")
+    return packing.packing_report(packing.fill_containers(table(spark, sf, "documents"), packs), packs)
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return reading_level.estimate(table(spark, sf, "documents"), table(spark, sf, "reading_labels")).select("doc_id", "level")
+
+
+@query("p10_profile")
+def p10_profile(spark: SparkSession, sf: str) -> DataFrame:
+    levels = reading_level.estimate(table(spark, sf, "documents"), table(spark, sf, "reading_labels"))
+    return table(spark, sf, "documents").select("doc_id", "source").join(levels, "doc_id").groupBy("source", "level").agg(F.count(F.lit(1)).alias("n_documents"))
