@@ -20,6 +20,7 @@ the scale. Cut points from levels to ratings are fitted on rated documents.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections import Counter
@@ -59,6 +60,20 @@ _END = re.compile(r"(?<=[.!?…])[\"'»”)]*\s+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 
 
+_MARKS = re.compile(r"[\[(*♪♫♬#]")
+#: What every alternative of the advert pattern but the spaced letters needs, in lower case.
+_HINTS = ("://", "www", "@", ".", " dot ", "=-", " by", " von ", " par ", " por ", "advertise", "support us", "free at", "download", "r i p", ":")
+
+
+def _may_advertise(line: str) -> bool:
+    low = line.lower()
+    if line[1:2] == " " and line[3:4] == " ":
+        return True
+    if "." in low and low.find(".") >= len(low) - 1 and not any(h in low for h in _HINTS if h != "."):
+        return False
+    return any(h in low for h in _HINTS)
+
+
 def spoken(text: str | None) -> str:
     """What is said in a subtitle file: no times, numbers, tags, sound descriptions, speaker marks or adverts."""
     if not text:
@@ -67,30 +82,42 @@ def spoken(text: str | None) -> str:
 
     def close() -> None:
         joined = " ".join(cue)
-        if joined and not _ADVERT.search(joined):
+        if joined and not (_may_advertise(joined) and _ADVERT.search(joined)):
             out.append(joined)
         cue.clear()
 
     lines = text.lstrip("\ufeff").splitlines()
+    last = len(lines) - 1
     for i, line in enumerate(lines):
-        if _COUNT.match(line) and (i + 1 >= len(lines) or _TIME.search(lines[i + 1]) or not lines[i + 1].strip()):
+        line = line.strip()
+        if not line:
             close()
             continue
-        timed = _TIME.search(line)
-        if timed:
-            close()
-            if "-->" in line or not line.strip().startswith("{"):
+        first = line[0]
+        # Each pattern is only tried on lines that hold a character it needs.
+        if first.isdigit() or first == "{" or "-->" in line:
+            if line.isdigit() and (i == last or "-->" in lines[i + 1] or not lines[i + 1].strip() or _TIME.search(lines[i + 1])):
+                close()
                 continue
-        if not line.strip():
-            close()
-            continue
-        if line.strip() == "WEBVTT" or line.startswith(("WEBVTT", "NOTE ", "STYLE")):
+            if "-->" in line:
+                close()
+                continue
+            if _TIME.search(line):
+                close()
+                if first != "{":
+                    continue
+        elif first == "W" and line.startswith("WEBVTT") or line.startswith(("NOTE ", "STYLE")):
             continue
-        line = _TAG.sub("", line)
-        if _ADVERT.search(line):
+        if "<" in line or "{" in line:
+            line = _TAG.sub("", line)
+        if _may_advertise(line) and _ADVERT.search(line):
             continue
-        line = _SPEAKER.sub("", _SOUND.sub(" ", line)).strip()
-        if any(c.isalpha() for c in line):
+        if _MARKS.search(line):
+            line = _SOUND.sub(" ", line)
+        if ":" in line or line[:1] in "-–—>":
+            line = _SPEAKER.sub("", line)
+        line = line.strip()
+        if line and (line[0].isalpha() or any(c.isalpha() for c in line)):
             cue.append(line)
     close()
     return "\n".join(out)
@@ -103,6 +130,7 @@ def language(words: Counter) -> str:
     return best if scores[best] > 0 else "other"
 
 
+@functools.lru_cache(maxsize=1 << 17)
 def bucket(word: str) -> int:
     return zlib.crc32(word.encode()) % BUCKETS
 
@@ -118,11 +146,12 @@ def features(text: str | None) -> tuple[int, int, float, list[int], list[int]] |
     counts: Counter = Counter()
     for s in sentences:
         counts.update(set(s))
-    n = sum(len(s) for s in sentences)
-    letters = sum(len(w) for s in sentences for w in s)
-    merged: Counter = Counter()
+    n = sum(map(len, sentences))
+    letters = sum(sum(map(len, s)) for s in sentences)
+    merged: dict[int, int] = {}
     for w, k in counts.items():
-        merged[bucket(w)] += k
+        b = bucket(w)
+        merged[b] = merged.get(b, 0) + k
     size = len(sentences)
     return LANGUAGES.index(language(counts)), size, letters / n + 0.15 * n / size, list(merged), [min(k, size) for k in merged.values()]
 
