@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Blanks as the record format's readers understand them.
-BLANK = r"[\s\x1c-\x1f\x85   -     　]"
+BLANK = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def _col(c: Column | str) -> Column:
