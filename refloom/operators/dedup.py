@@ -96,8 +96,9 @@ def _consolidate(entries: DataFrame, grouped: DataFrame, by: str, groups: DataFr
     roles = pick.select("g", "file", "pos", "key").join(stand, "g").select(
         F.col("g.project").alias("project"), "file", "pos", "key", "best_key", "best", (F.struct("file", "pos") == F.col("at")).alias("stands")
     )
-    # An entry in two groups can't be: a row has one DOI and one title.
-    marked = entries.join(roles.select("project", "file", "pos", "best", "best_key", "stands"), ["project", "file", "pos"], "left")
+    # An entry is in one group at most, as it has one DOI and one title; rows that repeat an entry share its role.
+    role = roles.groupBy("project", "file", "pos").agg(F.first("best").alias("best"), F.max("stands").alias("stands"))
+    marked = entries.join(role, ["project", "file", "pos"], "left")
     kept = marked.where("stands IS NULL OR stands OR is_commented")
     take = lambda c: F.coalesce(F.col("best")[c], F.col(c)).alias(c)
     columns = [take(c) if c in ("entry_type", "fields", "n_fields") else F.col(c) for c in entries.columns]
