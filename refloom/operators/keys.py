@@ -68,7 +68,9 @@ def standardized(entries: DataFrame) -> DataFrame:
     plain = F.when(F.col("n") == 0, F.col("base")).otherwise(F.concat("base", F.col("n").cast("string")))
     taken = distinct.select("project", F.col("base").alias("candidate")).distinct().withColumn("clash", F.lit(True))
     named = numbered.withColumn("candidate", plain).join(taken, ["project", "candidate"], "left")
-    new = F.when((F.col("n") > 0) & F.coalesce("clash", F.lit(False)), F.concat("base", F.lit("_"), F.col("n").cast("string"))).otherwise(F.col("candidate"))
+    # Behind a digit a number could be read as part of the base, so there the underscore is always set.
+    apart = F.coalesce("clash", F.lit(False)) | F.col("base").rlike("[0-9]$")
+    new = F.when((F.col("n") > 0) & apart, F.concat("base", F.lit("_"), F.col("n").cast("string"))).otherwise(F.col("candidate"))
     keyed = named.select("project", "base", "key", new.alias("new_key"))
     return rows.join(keyed, ["project", "base", "key"]).select("project", "file", "pos", "new_key")
 

@@ -304,10 +304,10 @@ class BibtexSource(DataSource):
     def schema(self) -> str:
         return schema.ENTRIES
 
-    def reader(self, _schema):
+    def reader(self, schema):
         return _Reader(self.options)
 
-    def writer(self, _schema, overwrite: bool):
+    def writer(self, schema, overwrite: bool):
         return _Writer(self.options)
 
 
