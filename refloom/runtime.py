@@ -3,13 +3,35 @@
 from __future__ import annotations
 
 import math
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the workers once for each Spark application, so that they need no installation of it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_refloom_shipped", False):
+        return
+    import refloom
+
+    root = os.path.dirname(os.path.abspath(refloom.__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="refloom-package-"), "refloom.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.join("refloom", os.path.relpath(path, root)))
+    sc.addPyFile(target)
+    sc._refloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data directory."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
