@@ -67,3 +67,13 @@ def shuffle_width(spark: SparkSession, rows: int, rows_per_task: int) -> int:
     """A task count that follows the data but never falls under the session's."""
     floor = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     return max(floor, math.ceil(rows / max(1, rows_per_task)))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many tasks as there are cores, for costly work on rows that a few input splits hold.
+
+    Tables with more splits than cores, that is all large ones, aren't shuffled.
+    ``df`` should be no more than a scan with projections and filters.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

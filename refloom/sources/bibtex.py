@@ -20,6 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from refloom import schema
 from refloom.functions.latex import decode as latex_decode
 from refloom.functions.normalize import normalize_unicode
+from refloom.runtime import spread
 
 _OPEN = re.compile(r"@[ \t]*([A-Za-z][\w-]*)[ \t\r\n]*([{(])")
 _NEXT = re.compile(r"^[ \t]*@[ \t]*[A-Za-z]+[ \t]*[{(]", re.MULTILINE)
@@ -177,7 +178,7 @@ def parse_files(files: DataFrame, decode: bool = False) -> DataFrame:
                 cells = [pa.array([list(r[c].items()) if c == "fields" and r[c] is not None else r[c] for r in rows], t) for c, t in zip(columns, kinds)]
                 yield pa.RecordBatch.from_arrays([pa.array([project] * len(rows), pa.string()), pa.array([file] * len(rows), pa.string()), *cells], names=["project", "file", *columns])
 
-    return files.select("project", "file", "content").mapInArrow(run, f"project string, file string, {parts}")
+    return spread(files.select("project", "file", "content")).mapInArrow(run, f"project string, file string, {parts}")
 
 
 def entries(blocks: DataFrame) -> DataFrame:
