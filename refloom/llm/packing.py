@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refloom.llm.token_ids import default_rank_file, encode_text, encoder
-from refloom.runtime import cut_lineage
+from refloom.runtime import cut_lineage, spread
 
 SHARD_ITEMS = 4000
 #: A container may hold one segment (a document or a piece of one) for each so many tokens of its capacity.
@@ -50,7 +50,7 @@ def demands(documents: DataFrame, rank_file: str | None = None) -> DataFrame:
                 loss.append(math.ceil(n * spoken / len(t)) if t else 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int32()), pa.array(loss, pa.int32())], names=["doc_id", "tokens", "loss_tokens"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, tokens int, loss_tokens int")
+    return spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, tokens int, loss_tokens int")
 
 
 def pack(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:

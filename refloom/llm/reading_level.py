@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refloom.runtime import cut_lineage
+from refloom.runtime import cut_lineage, spread
 
 #: Frequent short words by which the corpus languages are told.
 STOP_WORDS = {
@@ -170,7 +170,7 @@ def extract(documents: DataFrame) -> DataFrame:
             kinds = (pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array([r[j] for r in rows], kinds[j]) for j in range(5)]], names=["doc_id", "lang", "n", "ease", "b", "k"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang int, n int, ease double, b array<int>, k array<int>")
+    return spread(documents.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, lang int, n int, ease double, b array<int>, k array<int>")
 
 
 class Words:

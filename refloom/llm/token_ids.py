@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from refloom.runtime import spread
+
 #: Fixed value: the pre-token pattern that belongs to the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PIECE_CHARS = 1 << 16
@@ -82,7 +84,7 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", rank_f
     Empty and NULL texts give an empty list; repeated rows come out repeated.
     """
     rank_file = rank_file or default_rank_file()
-    source = df.select(df[key].alias("k"), df[text].alias("t"))
+    source = spread(df.select(df[key].alias("k"), df[text].alias("t")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(rank_file)
@@ -126,4 +128,4 @@ def count_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", rank_fi
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32())], names=[key, "n_tokens"])
 
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("n_tokens", T.IntegerType())])
-    return df.select(df[key].alias("k"), df[text].alias("t")).mapInArrow(run, schema)
+    return spread(df.select(df[key].alias("k"), df[text].alias("t"))).mapInArrow(run, schema)
