@@ -18,16 +18,11 @@ BROAD_CITE = r"\\[A-Za-z]*[Cc]ite[a-zA-Z]*\*?(?:\s*\[[^\]]*\]){0,2}\s*\{([^}]+)\
 COMMENTED = r"@comment\s*\{@\w+\{([^,}]+)"
 
 
-def nfc(c: Column) -> Column:
-    """NFC of a key. ASCII keys, nearly all of them, never enter Python: see ``with_nfc``."""
-    return _nfc(present(c))
-
-
 def with_nfc(df: DataFrame, source: str, target: str) -> DataFrame:
-    """``df`` with the NFC form of a column; only rows beyond ASCII pass through Python."""
-    ascii_only = F.col(source).isNull() | F.col(source).rlike(r"^[\x00-\x7F]*$")
-    plain = df.where(ascii_only).withColumn(target, present(F.col(source)))
-    return plain.unionByName(df.where(~ascii_only).withColumn(target, _nfc(present(F.col(source)))))
+    """``df`` with the NFC form of a column. ASCII keys, nearly all of them, cross into Python as NULL and are taken as they are."""
+    own = present(F.col(source))
+    plain = own.rlike(r"^[\x00-\x7F]*$")
+    return df.withColumn(target, F.coalesce(F.when(plain, own), _nfc(F.when(~plain, own))))
 
 
 def citations(tex: DataFrame, pattern: str = CITE) -> DataFrame:
