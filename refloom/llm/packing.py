@@ -105,12 +105,12 @@ def _packed(items: DataFrame, shard: str, prefix: str) -> DataFrame:
         limits = np.array([capacity, max(1, capacity // SEGMENT_TOKENS), capacity])
         sizes = np.stack([pdf["tokens"], np.ones(len(pdf), dtype=np.int64), pdf["loss_tokens"]], axis=1).astype(np.int64)
         number = pack(sizes, limits)
-        pdf["container"] = [f"{prefix}{key[1]}-{c}" for c in number]
+        pdf["container"] = [f"{prefix}{capacity}-{key[2]}-{c}" for c in number]
         pdf["filled"] = pd.Series(sizes[:, 0]).groupby(number).transform("sum").to_numpy()
         return pdf[["pack_name", "capacity", "doc_id", "piece", "tokens", "loss_tokens", "container", "filled"]]
 
     schema = "pack_name string, capacity int, doc_id long, piece int, tokens int, loss_tokens int, container string, filled long"
-    return items.groupBy("pack_name", shard).applyInPandas(run, schema)
+    return items.groupBy("pack_name", "capacity", shard).applyInPandas(run, schema)
 
 
 def fill_containers(documents: DataFrame, packs: DataFrame, rank_file: str | None = None) -> DataFrame:
@@ -134,7 +134,7 @@ def fill_containers(documents: DataFrame, packs: DataFrame, rank_file: str | Non
     )
     items = items.withColumn("share", F.col("loss_tokens") / F.col("tokens")).select("doc_id", "pack_name", "capacity", "share", F.explode(cut).alias("c"))
     items = items.select("doc_id", "pack_name", "capacity", "c.piece", "c.tokens", F.least(F.col("c.tokens"), F.ceil(F.col("share") * F.col("c.tokens")).cast("int")).alias("loss_tokens"))
-    whole = items.where("tokens = capacity").withColumns({"container": F.concat_ws("-", F.lit("w"), "doc_id", "piece"), "filled": F.col("tokens").cast("long")})
+    whole = items.where("tokens = capacity").withColumns({"container": F.concat_ws("-", F.concat(F.lit("w"), F.col("capacity").cast("string")), "doc_id", "piece"), "filled": F.col("tokens").cast("long")})
     first = cut_lineage(_packed(_shards(items.where("tokens < capacity"), rows, "s1"), "s1", "a"))
     poor = first.where(F.col("filled") < F.col("capacity") * POOR)
     again = _packed(_shards(poor, poor.count(), "s2"), "s2", "b")

@@ -92,7 +92,46 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return canonical_list.map_journals(table(spark, sf, "entries"), table(spark, sf, "journals"))
 
 
-@query("p3_found")
+_BLANK = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_STANDS_IN = ", ".join(f"'{w}'" for w in survivor.STAND_INS)
+
+
+def _get(name: str) -> str:
+    return f"list_sort(list_filter(map_entries(fields), lambda x: lower(trim(x.key)) = '{name}'))[1].value"
+
+
+def _filled(v: str) -> str:
+    return f"""coalesce(lower(regexp_replace({v}, '^[{_BLANK[1:-1]}{{"]+|[{_BLANK[1:-1]}}}"]+$', '', 'g')) NOT IN ({_STANDS_IN}), false)"""
+
+
+def _words(v: str) -> str:
+    return rf"list_filter(regexp_split_to_array(regexp_replace(lower(coalesce({v}, '')), '[\p{{Cf}}{{}}]+', '', 'g'), '[^\p{{L}}\p{{N}}\p{{M}}]+'), lambda w: w <> '' AND w <> 'and')"
+
+
+def _cut(words: str) -> str:
+    return f"""EXISTS (SELECT 1 FROM m o WHERE o.doi = m.doi AND len(o.{words}) > 1 AND list_contains(list_transform(range(1, len(o.{words})), lambda n: array_to_string(o.{words}[1:n], '')), array_to_string(m.{words}, '')))"""
+
+
+_WHOLE = " UNION ALL ".join(
+    f"SELECT g.group_id, '{f}' AS field, m.entry_id, m.modified_at FROM m JOIN g USING (doi) WHERE {w}"
+    for f, w in {
+        "ID": "regexp_matches(key_raw, '^[A-Z][a-z]+[0-9]{4}[A-Za-z0-9]*$')",
+        "author": _filled("author") + rf""" AND NOT regexp_matches(author, '(?i)(\bet\s*\.?\s*al\b\.?|\bu\.\s*a\.|\band\s+others\b|\bothers\b|\.\.\.|…)[{_BLANK[1:-1]}}}".,;]*$') AND NOT """ + _cut("aw"),
+        "title": _filled("title") + rf""" AND NOT regexp_matches(title, '(\.{{3,}}|…)[{_BLANK[1:-1]}}}"]*$') AND NOT """ + _cut("tw"),
+        **{f: _filled(f) for f in ("journal", "pages", "volume", "year")},
+    }.items()
+)
+
+
+@query(
+    "p3_found",
+    rf"""WITH raw AS (SELECT entry_id, modified_at, key_raw, {", ".join(f"{_get(f)} AS {f}" for f in ("author", "journal", "pages", "title", "volume", "year", "doi"))} FROM entries WHERE fields IS NOT NULL),
+        d AS (SELECT * EXCLUDE (doi), regexp_replace(regexp_replace(lower(doi), '^{_BLANK}+|{_BLANK}+$', '', 'g'), '^((doi:|https?://(dx\.)?doi\.example/)\s*)+', '') AS doi FROM raw),
+        m AS (SELECT *, {_words("title")} AS tw, {_words("author")} AS aw FROM d WHERE {_filled("doi")}),
+        g AS (SELECT doi, min(entry_id) AS group_id FROM m GROUP BY doi HAVING count(*) > 1)
+        SELECT group_id, field, entry_id FROM ({_WHOLE})
+        QUALIFY row_number() OVER (PARTITION BY group_id, field ORDER BY modified_at DESC NULLS LAST, entry_id DESC) = 1""",
+)
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return survivor.best_values(table(spark, sf, "entries"))
 

@@ -59,11 +59,9 @@ def filled(c: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    """The words of a value, lower-cased, without the word that joins names; format characters vanish."""
-    x = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\p{Cf}+", "")
-    x = F.regexp_replace(x, r"(?U)\s+and(?=\s)", " ")
-    x = F.regexp_replace(x, r"[{}]", "")
-    return F.filter(F.split(F.regexp_replace(x, r"[^\p{L}\p{N}\p{M}]+", " "), " "), lambda w: w != "")
+    """The words of a value, lower-cased, without the word that joins names; format characters and braces vanish."""
+    x = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[\p{Cf}{}]+", "")
+    return F.filter(F.split(x, r"[^\p{L}\p{N}\p{M}]+"), lambda w: (w != "") & (w != "and"))
 
 
 def chained(ws: Column) -> Column:
