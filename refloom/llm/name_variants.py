@@ -213,24 +213,29 @@ def _middle_edges(nodes: DataFrame) -> DataFrame:
 
 
 def _initial_edges(nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Nodes with initials only, each to the one profile of its surname that fits; two that fit are none."""
+    """``(a, label, b)``: nodes with initials only, their label, and the one profile of their surname that fits.
+
+    Two that fit are none, unless only one of them bears the node's own middle
+    initial. A surname with a single error will do where no profile has the very one.
+    """
     n = nodes.join(labels, "node")
-    profile_mids = n.where("given <> ''").groupBy("label").agg(F.max_by("mid", F.struct(F.length("mid"), "mid")).alias("pmid"))
-    profiles = n.where("given <> '' AND fi <> '#'").select("label", "sur", "fi").distinct().join(profile_mids, "label")
-    mine = n.where("given = '' AND fi <> '#'").select("node", F.col("label").alias("own"), "sur", "fi", "mid")
+    longest = F.max_by("mid", F.struct(F.length("mid"), "mid"))
+    profiles = n.where("given <> '' AND fi <> '#'").groupBy("label").agg(longest.alias("pmid"), F.collect_set(F.struct("sur", "fi")).alias("forms"))
+    profiles = profiles.select(F.col("label").alias("to"), "pmid", F.explode("forms").alias("f")).select("to", "pmid", F.col("f.sur").alias("psur"), "f.fi", F.explode(deletion_keys(F.col("f.sur"))).alias("k"))
+    mine = n.where("given = '' AND fi <> '#'").select("node", "label", "sur", "fi", "mid", F.explode(deletion_keys(F.col("sur"))).alias("k"))
+    same = F.col("sur") == F.col("psur")
+    hits = mine.join(profiles, ["k", "fi"]).where(same | ((F.length("sur") >= 5) & one_error(F.col("sur"), F.col("psur"))))
+    each = hits.groupBy("node", "label", "to").agg(
+        F.max(same.cast("int")).alias("same"), F.max(_mids_fit(F.col("mid"), F.col("pmid")).cast("int")).alias("fits"), F.max(((F.col("mid") != "") & (F.col("pmid") != "")).cast("int")).alias("named")
+    )
 
-    def unique(hits: DataFrame) -> DataFrame:
-        fit = hits.where(_mids_fit(F.col("mid"), F.col("pmid")))
-        named = F.when((F.col("mid") != "") & (F.col("pmid") != ""), F.col("label"))
-        g = fit.groupBy("node").agg(F.count_distinct("label").alias("c"), F.min("label").alias("only"), F.count_distinct(named).alias("cn"), F.min(named).alias("only_named"))
-        return g.select("node", F.when(F.col("c") == 1, F.col("only")).when(F.col("cn") == 1, F.col("only_named")).alias("to")).where("to IS NOT NULL")
+    def only(condition: str) -> Column:
+        c = F.expr(f"fits = 1 AND {condition}")
+        return F.when(F.count_if(c) == 1, F.min(F.when(c, F.col("to"))))
 
-    exact = mine.join(profiles, ["sur", "fi"])
-    found = unique(exact)
-    # Only where no profile has the very surname, one with a single error in it will do.
-    rest = mine.join(exact.select("node").distinct(), "node", "left_anti").withColumn("k", F.explode(deletion_keys(F.col("sur"))))
-    near = rest.join(profiles.withColumnRenamed("sur", "psur").withColumn("k", F.explode(deletion_keys(F.col("psur")))), ["k", "fi"]).where(one_error(F.col("sur"), F.col("psur")))
-    return found.unionByName(unique(near.where(F.length("sur") >= 5))).select(F.col("node").alias("a"), F.col("to").alias("b"))
+    exact = F.coalesce(only("same = 1"), only("same = 1 AND named = 1"))
+    near = F.when(F.max("same") == 0, F.coalesce(only("true"), only("named = 1")))
+    return each.groupBy("node", "label").agg(F.coalesce(exact, near).alias("b")).where("b IS NOT NULL").select(F.col("node").alias("a"), "label", "b")
 
 
 def resolve(names: DataFrame) -> DataFrame:
@@ -246,8 +251,7 @@ def resolve(names: DataFrame) -> DataFrame:
     edges = _typing_edges(nodes).unionByName(_middle_edges(nodes))
     labels = components(cut_lineage(edges), nodes.select("node", F.col("node").alias("label")))
     while True:
-        known = labels.select(F.col("node").alias("a"), "label")
-        fresh = cut_lineage(_initial_edges(nodes, labels).join(known, "a").where(F.col("label") != F.col("b")).select("a", "b", "label"))
+        fresh = cut_lineage(_initial_edges(nodes, labels).where("label <> b"))
         if fresh.isEmpty():
             break
         # Whole profiles merge: labels are joined, not only the node that was matched.
