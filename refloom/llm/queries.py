@@ -32,7 +32,8 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("p1_repaired")
 def p1_repaired(spark: SparkSession, sf: str) -> DataFrame:
-    return mojibake.repair_entries(table(spark, sf, "entries"))
+    entries = table(spark, sf, "entries")
+    return mojibake.restore_lost(mojibake.repair_entries(entries), mojibake.text_values(entries).select("v"))
 
 
 @query("p4_found")

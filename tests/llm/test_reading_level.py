@@ -18,7 +18,7 @@ def doc(rng, level, n=12):
 
 
 def test_spoken_text():
-    text = "﻿1\r\n00:00:01,000 --> 00:00:02,000\r\n<i>MARA: Good {\\an8}dog!</i>\r\n[barks]\r\n\r\n2\r\n00:00:03.000 --> 00:00:04.000\r\n- 42\r\n\r\n{10}{20}More|text\r\n3\r\n00:00:05,0 --> 00:00:06,0\r\nhttps://x.example/subs"
+    text = "\ufeff1\r\n00:00:01,000 --> 00:00:02,000\r\n<i>MARA: Good {\\an8}dog!</i>\r\n[barks]\r\n\r\n2\r\n00:00:03.000 --> 00:00:04.000\r\n- 42\r\n\r\n{10}{20}More|text\r\n3\r\n00:00:05,0 --> 00:00:06,0\r\nhttps://x.example/subs"
     assert R.spoken(text).split("\n") == ["Good dog!", "More|text"]
     assert R.spoken(None) == R.spoken("") == R.spoken(" \n\t") == ""
     assert R.spoken("\n\n".join(f"{i}\n00:00:01,000 --> 00:00:02,000\n{s}" for i, s in enumerate(SOUND))) == ""
