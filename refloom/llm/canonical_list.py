@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from refloom.llm.name_variants import deletion_keys, one_error
 from refloom.operators.skew import join_even
 from refloom.runtime import cut_lineage
 
@@ -99,12 +100,18 @@ def _probes(text: Column, k: int) -> Column:
     return F.array_distinct(F.flatten(F.flatten(F.transform(lengths, lambda ln: F.transform(F.sequence(F.lit(0), F.lit(k)), lambda i: at(ln, i))))))
 
 
-def _near(q: Column, r: Column, known: Column) -> Column:
-    """Word by word: equal, or a misspelling of at most two edits (three for a swap more) that the list doesn't know itself."""
+def _near(q: Column, r: Column, known: Column, close: Column) -> Column:
+    """Word by word: equal, or a misspelling that the list doesn't know itself.
+
+    Where some listed word is a single error away it must be one of these (``close``
+    holds "word|listed word"); else two edits may part the words, three in long ones.
+    """
 
     def word(a: Column, b: Column) -> Column:
         slack = F.when(F.length(b) >= 9, 3).when(F.length(b) >= 4, 2).otherwise(0)
-        return (a == b) | (~F.array_contains(known, a) & (F.levenshtein(a, b) <= slack))
+        has_close = F.exists(close, lambda c: F.startswith(c, F.concat(a, F.lit("|"))))
+        meant = F.when(has_close, F.array_contains(close, F.concat_ws("|", a, b))).otherwise(F.levenshtein(a, b) <= slack)
+        return (a == b) | (~F.array_contains(known, a) & meant)
 
     return F.forall(F.zip_with(q, r, lambda a, b: word(a, b)), lambda x: x)
 
@@ -139,12 +146,19 @@ def match_names(names: DataFrame, journals: DataFrame, k: int = K) -> DataFrame:
     cut = full.select("row_no", "rw", "rt", F.length("rt").alias("ln"), F.explode(_segments(F.col("rt"), k)).alias("s")).select("row_no", "rw", "rt", "ln", "s.i", "s.seg")
     open_names = cut_lineage(texts.join(exact, "qt", "left_anti").join(short, "qt", "left_anti"))
     vocabulary = full.select(F.explode("rw").alias("w")).distinct()
-    own = open_names.select("qt", F.explode("qw").alias("w")).distinct().join(_maybe_broadcast(vocabulary, n_refs), "w")
-    open_names = open_names.join(own.groupBy("qt").agg(F.collect_set("w").alias("own")), "qt", "left").withColumn("own", F.coalesce("own", F.array().cast("array<string>")))
+    used = open_names.select("qt", F.explode("qw").alias("w")).distinct()
+    # Listed words a single error away, by equality of deletion keys.
+    v = vocabulary.where(F.length("w") >= 4).select(F.col("w").alias("listed"), F.explode(deletion_keys(F.col("w"))).alias("k"))
+    strange = used.select("w").distinct().where(F.length("w") >= 4).join(_maybe_broadcast(vocabulary, n_refs), "w", "left_anti")
+    close = strange.select("w", F.explode(deletion_keys(F.col("w"))).alias("k")).join(_maybe_broadcast(v, 20 * n_refs), "k").where(one_error(F.col("w"), F.col("listed")))
+    close = close.groupBy("w").agg(F.collect_set(F.concat_ws("|", "w", "listed")).alias("c"))
+    notes = used.join(_maybe_broadcast(vocabulary.withColumn("in_list", F.lit(True)), n_refs), "w", "left").join(close, "w", "left")
+    notes = notes.groupBy("qt").agg(F.collect_set(F.when(F.col("in_list"), F.col("w"))).alias("own"), F.flatten(F.collect_list("c")).alias("close"))
+    open_names = cut_lineage(open_names.join(notes, "qt"))
     probes = open_names.select("qt", F.explode(_probes(F.col("qt"), k)).alias("p")).select("qt", "p.ln", "p.i", "p.seg")
     pairs = probes.join(_maybe_broadcast(cut.select("ln", "i", "seg", "row_no", "rt"), n_refs * (k + 1)), ["ln", "i", "seg"]).withColumn("d", F.levenshtein("qt", "rt", k)).where("d >= 0")
     near = pairs.select("qt", "row_no", "d").distinct().join(open_names, "qt").join(_maybe_broadcast(full.select("row_no", "rw"), n_refs), "row_no")
-    near = near.where(F.size("qw") == F.size("rw")).where(_near(F.col("qw"), F.col("rw"), F.col("own")))
+    near = near.where(F.size("qw") == F.size("rw")).where(_near(F.col("qw"), F.col("rw"), F.col("own"), F.col("close")))
     near = cut_lineage(near.groupBy("qt").agg(F.min_by("row_no", F.struct("d", "row_no")).alias("row_no")))
     found = exact.unionByName(short).unionByName(near)
     return q.select("name", "qt").join(found, "qt").select("name", "row_no")

@@ -23,6 +23,7 @@ def test_forms(spark, journals):
         "{journal of lunar quarrying}": 1, "The Journal of Lunar Quarrying.": 1, "Lunar Quarrying, Journal of": 1, "Lunar Quarrying (Journal of)": 1, "Journal: Lunar Quarrying": 1,
         "Journal of Lunar Quarrying [Online]": 1, "journal of lunar quarrying, vol. 3": 1, "Journal of Lunar Quarrying 2003": 1, "Journla of Lunar Quaring": 1, "J Lun Quar": 1,
         "Journ. of Lunar Quarry.": 1, "Journal of Polar Quarrying - Elmgate Press": 2, "annals tidal statistics": 9, "Ann. Tidal Stat": 9, "Polar Zoology \\& Statistics": 4, "Polar Zool. u. Stat.": 4,
+        "Polar Zoology and Sattistics": 4, "Polar Zoology and Statitics": 4, "Annals of Tidal Zoolgy": -1, "Jounral of Polar Quarryng": 2,
         "Magnetic Beekeping Letters B": 6, "magn. bee. lett. a (print)": 5, "Letters of Lunar Quarrying": -1, "Journal of Tidal Quarrying": -1, "in press": -1, "-": -1, "Int Journal of Lunar Quarrying": 7,
     }
     e = entries(spark, [(i, "a.bib", "k", {"Journal" if i % 2 else "journal": n}) for i, n in enumerate(cases)])
