@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refloom.functions.normalize import _nfc, present, strip
+from refloom.operators.skew import join_even
 from refloom.sources.discovery import corresponding_bib
 
 #: What counts as a citation; the broad form also takes optional arguments, stars and capitals.
@@ -72,22 +73,25 @@ def missing_crossrefs(entries: DataFrame) -> DataFrame:
     return crossrefs(entries).join(keys, ["project", "target"], "left_anti").select("project", "key", "target")
 
 
+def used_keys(entries: DataFrame, cites: DataFrame) -> DataFrame:
+    """``(project, key)`` of what is cited or referred to by any entry."""
+    target = F.coalesce(present(F.col("fields")["crossref"]), present(F.col("fields")["Crossref"]))
+    referred = with_nfc(entries.select("project", target.alias("t")).where("t IS NOT NULL"), "t", "key").select("project", "key")
+    return cites.where("key IS NOT NULL").select("project", "key").unionByName(referred).distinct()
+
+
 def used_entries(entries: DataFrame, cites: DataFrame) -> DataFrame:
     """Entries that are cited or referred to by any entry; entries without a key go. Commented entries stay.
 
     A star is a key like any other.
     """
-    target = F.coalesce(present(F.col("fields")["crossref"]), present(F.col("fields")["Crossref"]))
-    referred = with_nfc(entries.select("project", target.alias("t")).where("t IS NOT NULL"), "t", "key").select("project", "key")
-    used = cites.where("key IS NOT NULL").select("project", "key").unionByName(referred).distinct()
-    live = entries.where("NOT is_commented")
-    return live.join(used, ["project", "key"], "left_semi").select(entries.columns).unionByName(entries.where("is_commented"))
+    kept = entries.where("NOT is_commented").join(used_keys(entries, cites), ["project", "key"], "left_semi")
+    return kept.select(entries.columns).unionByName(entries.where("is_commented"))
 
 
 def unused_entries(entries: DataFrame, cites: DataFrame) -> DataFrame:
     """``(project, file, pos, key)`` of what J4 drops."""
-    kept = used_entries(entries, cites).select("project", "file", "pos")
-    return entries.join(kept, ["project", "file", "pos"], "left_anti").select("project", "file", "pos", "key")
+    return entries.where("NOT is_commented").join(used_keys(entries, cites), ["project", "key"], "left_anti").select("project", "file", "pos", "key")
 
 
 def correspondence(tex: DataFrame, bibs: DataFrame) -> DataFrame:
@@ -124,7 +128,9 @@ def rewrite_citations(tex: DataFrame, key_map: DataFrame, pattern: str = CITE) -
     file gets its own small map. Files of projects without a map stay as they are.
     """
     cites = citations(tex, pattern)
-    hits = cites.select("project", "file", "key").distinct().join(key_map.select("project", F.col("old_key").alias("key"), "new_key").distinct(), ["project", "key"])
+    cited = cites.select("project", "file", "key").distinct().withColumn("k", F.struct("project", "key"))
+    renamed = key_map.select(F.struct("project", F.col("old_key").alias("key")).alias("k"), "new_key").distinct()
+    hits = join_even(cited, cited.groupBy("k").agg(F.count(F.lit(1)).alias("n")).join(renamed, "k"), "k")
     maps = hits.groupBy("project", "file").agg(F.map_from_entries(F.collect_set(F.struct("key", "new_key"))).alias("m"))
     any_map = key_map.select("project").distinct().withColumn("has_map", F.lit(True))
     joined = tex.select("project", "file", "content").join(maps, ["project", "file"], "left").join(any_map, "project", "left")

@@ -7,7 +7,7 @@ outcome back by joins that stay even under hot keys.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refloom.functions.normalize import entry_score, key_score, lookup, normalize_doi, normalize_title, present
@@ -45,29 +45,21 @@ def duplicate_titles(entries: DataFrame) -> DataFrame:
     return with_title(entries).groupBy("project", "title_norm").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def _order() -> Column:
-    """Rank of an entry for survivorship: score, then the first in order of file and position."""
-    return F.struct(entry_score("fields", "n_fields").alias("score"))
-
-
 def best_entries(df: DataFrame, by: list[str]) -> DataFrame:
     """``(by, score, file, pos, key, fields, n_fields, entry_type)`` of the best entry of each group; ties go to the first.
 
-    Two steps, as an order can't be reversed for strings: the best score, then the first position among its bearers.
+    First the first entry of each score, then the highest score: both are
+    aggregates with partial results, so a group of any size shrinks where it lies.
     """
     scored = df.withColumn("score", entry_score("fields", "n_fields"))
-    best = scored.groupBy(*by).agg(F.max("score").alias("score"))
-    first = scored.join(best, [*by, "score"]).groupBy(*by).agg(
-        F.min_by(F.struct("score", "file", "pos", "key", "fields", "n_fields", "entry_type"), F.struct("file", "pos")).alias("b")
-    )
-    return first.select(*by, "b.*")
+    firsts = scored.groupBy(*by, "score").agg(F.min_by(F.struct("score", "file", "pos", "key", "fields", "n_fields", "entry_type"), F.struct("file", "pos")).alias("b"))
+    return firsts.groupBy(*by).agg(F.max_by("b", "score").alias("b")).select(*by, "b.*")
 
 
 def best_keys(df: DataFrame, by: list[str]) -> DataFrame:
     """A5: ``(by, best_key)``: the key with the highest score; of equals the smallest."""
-    keys = df.where("key IS NOT NULL").select(*by, "key").distinct().withColumn("s", key_score("key"))
-    top = keys.groupBy(*by).agg(F.max("s").alias("s"))
-    return keys.join(top, [*by, "s"]).groupBy(*by).agg(F.min("key").alias("best_key"))
+    keys = df.where("key IS NOT NULL").select(*by, "key").withColumn("s", key_score("key"))
+    return keys.groupBy(*by, "s").agg(F.min("key").alias("k")).groupBy(*by).agg(F.max_by("k", "s").alias("best_key"))
 
 
 def synchronize(entries: DataFrame) -> DataFrame:
@@ -84,16 +76,16 @@ def synchronize(entries: DataFrame) -> DataFrame:
 
 
 def _consolidate(entries: DataFrame, grouped: DataFrame, by: str, groups: DataFrame, own_key: bool) -> tuple[DataFrame, DataFrame]:
-    members = join_even(grouped.withColumn("g", F.struct("project", by)), groups.withColumn("g", F.struct("project", by)).select("g", "n"), "g", how="left_semi")
+    sizes = groups.select(F.struct("project", by).alias("g"), "n")
+    members = join_even(grouped.withColumn("g", F.struct("project", by)), sizes, "g", how="left_semi")
     best = best_entries(members, ["g"]).withColumnRenamed("key", "entry_key")
-    if own_key:
-        chosen = best.withColumn("best_key", F.col("entry_key"))
-    else:
-        chosen = best.join(best_keys(members, ["g"]), "g", "left")
+    chosen = best.withColumn("best_key", F.col("entry_key")) if own_key else best.join(best_keys(members, ["g"]), "g", "left")
+    chosen = chosen.join(sizes, "g").select("g", "n", "best_key", F.struct("entry_type", "fields", "n_fields").alias("best"))
     # One member stands for the group: the first that bears the best key.
-    pick = members.select("g", "file", "pos", "key").join(chosen.select("g", "best_key", F.struct("entry_type", "fields", "n_fields").alias("best")), "g")
-    stand = pick.where("key = best_key").groupBy("g").agg(F.min(F.struct("file", "pos")).alias("at"), F.first("best").alias("best"), F.first("best_key").alias("best_key"))
-    roles = pick.select("g", "file", "pos", "key").join(stand, "g").select(
+    slim = members.select("g", "file", "pos", "key")
+    bearers = join_even(slim, chosen.select("g", "n", "best_key"), "g").where("key = best_key")
+    stand = bearers.groupBy("g").agg(F.min(F.struct("file", "pos")).alias("at"))
+    roles = join_even(slim, chosen.join(stand, "g"), "g").select(
         F.col("g.project").alias("project"), "file", "pos", "key", "best_key", "best", (F.struct("file", "pos") == F.col("at")).alias("stands")
     )
     # An entry is in one group at most, as it has one DOI and one title; rows that repeat an entry share its role.

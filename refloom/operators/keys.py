@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from refloom.functions.keys import citation_key, sanitized
 from refloom.functions.normalize import present
 from refloom.operators.citations import with_nfc
+from refloom.operators.skew import join_even
 
 
 def sanitize(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -59,7 +60,8 @@ def standardized(entries: DataFrame) -> DataFrame:
     rows = entries.where("key IS NOT NULL").select("project", "file", "pos", "key", citation_key(F.col("fields")).alias("base"))
     rows = rows.withColumn("base", F.coalesce(present("base"), F.col("key")))
     # Copies of one key and base share their new key, so citations stay unambiguous.
-    distinct = rows.groupBy("project", "base", "key").agg(F.min(F.struct("file", "pos")).alias("at")).select("project", "base", "key", F.col("at.file").alias("file"), F.col("at.pos").alias("pos"))
+    distinct = rows.groupBy("project", "base", "key").agg(F.min(F.struct("file", "pos")).alias("at"), F.count(F.lit(1)).alias("rows"))
+    distinct = distinct.select("project", "base", "key", "rows", F.col("at.file").alias("file"), F.col("at.pos").alias("pos"))
     per_file = distinct.groupBy("project", "base", "file").agg(F.count(F.lit(1)).alias("c"))
     before = F.coalesce(F.sum("c").over(Window.partitionBy("project", "base").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = per_file.withColumn("before", before).drop("c")
@@ -71,8 +73,8 @@ def standardized(entries: DataFrame) -> DataFrame:
     # Behind a digit a number could be read as part of the base, so there the underscore is always set.
     apart = F.coalesce("clash", F.lit(False)) | F.col("base").rlike("[0-9]$")
     new = F.when((F.col("n") > 0) & apart, F.concat("base", F.lit("_"), F.col("n").cast("string"))).otherwise(F.col("candidate"))
-    keyed = named.select("project", "base", "key", new.alias("new_key"))
-    return rows.join(keyed, ["project", "base", "key"]).select("project", "file", "pos", "new_key")
+    keyed = named.select(F.struct("project", "base", "key").alias("k"), F.col("rows").alias("n"), new.alias("new_key"))
+    return join_even(rows.withColumn("k", F.struct("project", "base", "key")), keyed, "k").select("project", "file", "pos", "new_key")
 
 
 def standardize(entries: DataFrame, parity: bool = False) -> tuple[DataFrame, DataFrame]:

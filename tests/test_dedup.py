@@ -77,3 +77,27 @@ def test_even_join(spark):
         out = join_even(rows, groups, "k", hot_rows=hot)
         assert out.count() == 300 and out.where("k = 'hot'").select("twice").distinct().head()[0] == 400
         assert join_even(rows, groups.select("k", "n"), "k", how="left_semi", hot_rows=hot).count() == 300
+
+
+def test_even_join_on_structs(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("p", "hot" if i % 3 else f"k{i}", i) for i in range(300)], "project string, key string, id int").withColumn("k", F.struct("project", "key"))
+    groups = rows.groupBy("k").agg(F.count("*").alias("n")).withColumn("twice", F.col("n") * 2)
+    out = join_even(rows, groups, "k", hot_rows=10)
+    assert out.count() == 300 and out.where("key = 'hot'").select("twice").distinct().head()[0] == 400
+    assert join_even(rows, groups.select("k", "n"), "k", how="left_semi", hot_rows=10).count() == 300
+
+
+def test_operators_under_a_hot_key(spark, monkeypatch):
+    """The same results whether a key counts as hot or not."""
+    from refloom.operators import skew
+
+    e = entries(spark, [(i, f"f{i % 4}", f"K{i % 3}", {"doi": "10.1/hot" if i % 2 else f"10.1/{i}", "title": "Same" if i % 3 else f"t{i}", "author": "Roe, A" if i == 17 else ""}) for i in range(60)])
+
+    def outcome():
+        return [sorted((r["entry_id"], r["key"], str(r["fields"])) for r in df.collect()) for df in (D.synchronize(e), D.consolidate_dois(e)[0], D.consolidate_titles(e)[0], K.standardize(e)[0])]
+
+    plain = outcome()
+    monkeypatch.setattr(skew.join_even, "__defaults__", ("n", "inner", 5, 1000))
+    assert outcome() == plain
