@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from refloom.llm.name_variants import deletion_keys, one_error
 from refloom.operators.skew import join_even
-from refloom.runtime import cut_lineage
+from refloom.runtime import cut_lineage, spread
 
 K = 4
 BROADCAST_ROWS = 50_000
@@ -155,7 +155,8 @@ def match_names(names: DataFrame, journals: DataFrame, k: int = K) -> DataFrame:
     notes = used.join(_maybe_broadcast(vocabulary.withColumn("in_list", F.lit(True)), n_refs), "w", "left").join(close, "w", "left")
     notes = notes.groupBy("qt").agg(F.collect_set(F.when(F.col("in_list"), F.col("w"))).alias("own"), F.flatten(F.collect_list("c")).alias("close"))
     open_names = cut_lineage(open_names.join(notes, "qt"))
-    probes = open_names.select("qt", F.explode(_probes(F.col("qt"), k)).alias("p")).select("qt", "p.ln", "p.i", "p.seg")
+    # Few bytes, but much work: over all cores.
+    probes = spread(open_names.select("qt")).select("qt", F.explode(_probes(F.col("qt"), k)).alias("p")).select("qt", "p.ln", "p.i", "p.seg")
     pairs = probes.join(_maybe_broadcast(cut.select("ln", "i", "seg", "row_no", "rt"), n_refs * (k + 1)), ["ln", "i", "seg"]).withColumn("d", F.levenshtein("qt", "rt", k)).where("d >= 0")
     near = pairs.select("qt", "row_no", "d").distinct().join(open_names, "qt").join(_maybe_broadcast(full.select("row_no", "rw"), n_refs), "row_no")
     near = near.where(F.size("qw") == F.size("rw")).where(_near(F.col("qw"), F.col("rw"), F.col("own"), F.col("close")))

@@ -6,10 +6,10 @@ record gets a 128-bit digest of that canonical form; groups are found on the
 digest.
 
 Skew: exact counts of the digests (combined before the shuffle) name the hot
-ones, those with more than ``hot_rows`` records. At most rows / hot_rows
-digests can be hot, so their list is small and may be broadcast. Hot records
-are aggregated in two levels over a salt; all others need one shuffle, in
-which no group exceeds ``hot_rows``.
+ones: those with ``hot_rows`` records or more, the ``max_hot`` largest of them at
+most, so their list is small and may be broadcast. Hot records are aggregated in
+two levels over a salt; all others need one shuffle, in which no group exceeds
+``hot_rows`` or a ``max_hot``-th of all records.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Hot digests can't outnumber this, as the threshold follows the row count.
+from refloom.operators.skew import hot_keys
+
 MAX_HOT = 1000
 HOT_ROWS = 10_000
 SALTS = 64
@@ -62,11 +63,6 @@ def digests(entries: DataFrame, row_id: str = "entry_id") -> DataFrame:
     return entries.where(F.col("fields").isNotNull()).select(F.col(row_id), record_digest(F.col("entry_type"), F.col("fields")).alias("d"))
 
 
-def hot_threshold(rows: int, hot_rows: int = HOT_ROWS, max_hot: int = MAX_HOT) -> int:
-    """Copies from which a digest is hot; at most ``max_hot`` digests can have as many."""
-    return max(hot_rows, rows // max_hot)
-
-
 def copies(canon: DataFrame, row_id: str = "entry_id", hot_rows: int = HOT_ROWS, salts: int = SALTS, max_hot: int = MAX_HOT) -> DataFrame:
     """``(group_id, row_id, n_copies)`` for each row of a group of two or more, its smallest id included.
 
@@ -75,8 +71,7 @@ def copies(canon: DataFrame, row_id: str = "entry_id", hot_rows: int = HOT_ROWS,
     """
     canon = canon.persist(StorageLevel.MEMORY_AND_DISK)
     counted = canon.groupBy("d").agg(F.count(F.lit(1)).alias("n"))
-    hot = counted.where(F.col("n") > hot_threshold(canon.count(), hot_rows, max_hot)).select("d")
-    hot_list = [bytes(r["d"]) for r in hot.collect()]  # at most max_hot digests of 16 bytes
+    hot_list = [bytes(d) for d in hot_keys(counted, "d", "n", hot_rows, max_hot)]  # at most max_hot digests of 16 bytes
     is_hot = F.col("d").isin(hot_list) if hot_list else F.lit(False)
 
     rest = canon.where(~is_hot)

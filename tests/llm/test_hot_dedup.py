@@ -41,11 +41,11 @@ def test_against_brute_force_hot_and_cold(spark):
         if r["fields"] is not None:
             groups.setdefault(_canon(r), []).append(r["entry_id"])
     want = {(min(g), i, len(g)) for g in groups.values() if len(g) > 1 for i in g}
-    for hot, most in ((10_000, 1000), (20, 1000), (1, 10**9)):
+    for hot, most in ((10_000, 1000), (20, 1000), (1, 2)):
         got = {tuple(r) for r in H.copies(H.digests(e), hot_rows=hot, max_hot=most, salts=3).select("group_id", "entry_id", "n_copies").collect()}
         assert got == want
     assert H.collapse(e).count() == len(groups)
-    assert sum(r["n_copies"] for r in H.collapse(e, hot_rows=5, max_hot=10**9).collect()) == len(rows) - 1
+    assert sum(r["n_copies"] for r in H.collapse(e, hot_rows=5).collect()) == len(rows) - 1
 
 
 def test_differences_that_count(spark):
