@@ -13,7 +13,8 @@ from refloom.operators import dedup as D
 LINE_ENDS = r"\r\n|[\n\r\x{0B}\x{0C}\x{1C}\x{1D}\x{1E}\x{85}\x{2028}\x{2029}]"
 
 
-def _lines(content: Column) -> Column:
+def lines(content: Column) -> Column:
+    """The lines of a text or of a file's bytes, at every line end that Python knows."""
     return F.split(F.make_valid_utf8(content.cast("string")), LINE_ENDS)
 
 
@@ -33,7 +34,7 @@ def report(stats: DataFrame) -> DataFrame:
 def percent_lines(files: DataFrame) -> DataFrame:
     """``(project, file, n_lines)``: lines with a percent sign that isn't escaped; comment lines don't count."""
     bad = lambda x: ~F.startswith(strip(x), F.lit("%")) & x.rlike(r"(?<!\\)(?:\\\\)*%")
-    n = F.size(F.filter(_lines(F.col("content")), bad))
+    n = F.size(F.filter(lines(F.col("content")), bad))
     return files.select("project", "file", F.when(F.col("content").isNull(), 0).otherwise(n).alias("n_lines"))
 
 

@@ -22,7 +22,7 @@ from refloom.operators import repairs
 from refloom.operators import validation as V
 from refloom.plans import workflow
 from refloom.runtime import table
-from refloom.sources import bibtex, discovery, journals
+from refloom.sources import bibtex, discovery, journals, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -181,7 +181,10 @@ def s1(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("project", "file", "pos", "entry_type", "key_raw", F.coalesce("n_fields", F.lit(0)).alias("n_fields"), "is_commented", "raw", body.alias("body"))
 
 
-@query("s3_blocks")
+@query(
+    "s3_blocks",
+    """SELECT project, file, CASE WHEN is_commented THEN 'commented' ELSE 'entry' END AS kind, count(DISTINCT pos) AS n, 0::BIGINT AS n_errors FROM entries GROUP BY ALL""",
+)
 def s3(spark: SparkSession, sf: str) -> DataFrame:
     return bibtex.parse_files(table(spark, sf, "bib_files")).groupBy("project", "file", "kind").agg(F.count(F.lit(1)).alias("n"), F.count("error").alias("n_errors"))
 
@@ -243,7 +246,7 @@ def _bib_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "bib_files").withColumn("content", F.make_valid_utf8(F.col("content").cast("string")))
 
 
-@query("x2_commented_keys")
+@query("x2_commented_keys", r"SELECT DISTINCT project, file, nfc_normalize(trim(regexp_extract(raw, '@comment\s*\{@\w+\{([^,}]+)', 1))) AS key FROM entries WHERE is_commented")
 def x2(spark: SparkSession, sf: str) -> DataFrame:
     return C.commented_keys(_bib_text(spark, sf))
 
@@ -364,9 +367,15 @@ _repair("f8_year", "year", rf"CASE WHEN regexp_matches(regexp_replace({_STRIP %
 _repair("f9_month", "month", "CASE lower(regexp_replace(" + (_STRIP % "v") + ", '^[{}]+|[{}]+$', '', 'g')) " + " ".join(f"WHEN '{k}' THEN '{n}'" for k, n in R.MONTHS.items()) + " ELSE v END", R.fix_month)
 
 
-@query("f6_accents")
+_PLAIN = "v"
+for _cmd in (r"\\['\x22`^~=]\{([^}]+)\}", r"\\.\{([^}]+)\}"):
+    _PLAIN = "regexp_replace(" + _PLAIN + ", '" + _cmd.replace("'", "''") + "', '\\1', 'g')"
+_PLAIN = f"nfc_normalize(strip_accents({_PLAIN}))"
+
+
+@query("f6_accents", "SELECT entry_id, " + ", ".join(_PLAIN.replace("(v,", f"(fields['{x}'],") + f" AS {x}" for x in ("author", "title")) + " FROM entries")
 def f6(spark: SparkSession, sf: str) -> DataFrame:
-    return repairs.remove_accents(table(spark, sf, "entries")).select("entry_id", F.col("fields")["author"].alias("author"), F.col("fields")["title"].alias("title"), "changed")
+    return repairs.remove_accents(table(spark, sf, "entries")).select("entry_id", F.col("fields")["author"].alias("author"), F.col("fields")["title"].alias("title"))
 
 
 @query("f7_abbreviate", f"SELECT project, file, sum(CASE WHEN j.short IS NULL THEN 0 ELSE 1 END)::BIGINT AS fixes FROM entries LEFT JOIN {_LOOKUP} j ON lower(nullif(fields['journal'], '')) = j.name GROUP BY project, file")
@@ -374,9 +383,12 @@ def f7(spark: SparkSession, sf: str) -> DataFrame:
     return repairs.count_changes(journals.abbreviate(table(spark, sf, "entries"), table(spark, sf, "journals")))
 
 
-@query("f10_uncomment")
+@query(
+    "f10_uncomment",
+    r"""SELECT DISTINCT project, file, pos, regexp_extract(raw, '^@comment\{@(\w+)\{', 1) AS entry_type, trim(regexp_extract(raw, '^@comment\{@\w+\{([^,]*),', 1)) AS key_raw, len(regexp_extract_all(raw, '\n\s*[\w-]+ = \{'))::INT AS n FROM entries WHERE is_commented""",
+)
 def f10(spark: SparkSession, sf: str) -> DataFrame:
-    return repairs.uncomment(table(spark, sf, "entries")).select("project", "file", "pos", "entry_type", "key_raw", F.size("fields").alias("n"))
+    return repairs.uncomment(table(spark, sf, "entries")).select("project", "file", "pos", "entry_type", "key_raw", F.size("fields").alias("n")).distinct()
 
 
 _DROPPED = ", ".join(f"'{x.lower()}'" for x in ("file", "urldate", "langid", "keywords", "abstract", "Bdsk-Url-1", "Bdsk-Url-2", "note", "annote", "comment", "timestamp", "date-added", "date-modified"))
@@ -387,7 +399,7 @@ def f11(spark: SparkSession, sf: str) -> DataFrame:
     return repairs.drop_fields(D.live(table(spark, sf, "entries"))).select("entry_id", "changed", "n_fields")
 
 
-@query("k1_file_texts")
+@query("k1_file_texts", "SELECT project, count(DISTINCT file || '|' || pos) AS n, count(DISTINCT file || '|' || pos) AS n_same FROM entries GROUP BY project")
 def k1(spark: SparkSession, sf: str) -> DataFrame:
     """Files written and read again: entries survive the round trip."""
     e = table(spark, sf, "entries").dropDuplicates(["project", "file", "pos"])
@@ -398,6 +410,48 @@ def k1(spark: SparkSession, sf: str) -> DataFrame:
     return j.groupBy("project").agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("n_same"))
 
 
+@query("n7_heuristic_abbreviation", f"SELECT entry_id, CASE WHEN contains(v, '.') OR len(list_filter(regexp_split_to_array(v, '{_BW}'), lambda w: w <> '')) < 2 THEN v ELSE coalesce(nullif(upper(v), ''), v) END AS value FROM ({_field('journal')})")
+def n7(spark: SparkSession, sf: str) -> DataFrame:
+    """With upper case standing for the abbreviating function a caller supplies."""
+    return _values(sf, spark, "journal").select("entry_id", journals.heuristic_abbreviation(F.col("v"), F.upper).alias("value"))
+
+
+@query("e1_enrich", f"""
+   SELECT entry_id, CASE WHEN {_doi(_ANY_DOI)} <> '' THEN coalesce(nullif(fields['publisher'], ''), 'supplied') ELSE fields['publisher'] END AS publisher FROM entries""")
+def e1(spark: SparkSession, sf: str) -> DataFrame:
+    """Metadata for every DOI of the table itself, with a publisher that fills the gaps."""
+    e = table(spark, sf, "entries")
+    dois = e.select(N.normalize_doi(N.lookup("fields", "doi", "DOI", "Doi")).alias("doi")).where("doi <> ''").distinct()
+    meta = dois.withColumn("fields", F.create_map(F.lit("publisher"), F.lit("supplied")))
+    return G.enrich(e, meta).select("entry_id", F.col("fields")["publisher"].alias("publisher"))
+
+
+@query("e2_external_abbreviations", """
+   SELECT entry_id, CASE WHEN j.name IS NULL THEN fields['journal'] ELSE upper(j.full_name) END AS journal FROM entries
+   LEFT JOIN (SELECT lower("full") AS name, arg_max("full", row_no) AS full_name FROM journals GROUP BY 1) j ON lower(nullif(fields['journal'], '')) = j.name""")
+def e2(spark: SparkSession, sf: str) -> DataFrame:
+    """A second list of higher priority, from outside, over the first."""
+    own = table(spark, sf, "journals")
+    outside = own.select("full", F.upper("full").alias("short"), F.lit(99).alias("priority"), "row_no")
+    return journals.abbreviate(table(spark, sf, "entries"), own.unionByName(outside)).select("entry_id", F.col("fields")["journal"].alias("journal"))
+
+
+@query("s9_bytes", "SELECT project, file, octet_length(content) AS n_bytes FROM bib_files")
+def s9(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "bib_files").select("project", "file", F.octet_length("content").cast("long").alias("n_bytes"))
+
+
+@query("s8_x4_lines", r"SELECT project, file, len(regexp_split_to_array(content, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]'))::INT AS n_lines FROM tex_files")
+def s8(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "tex_files").select("project", "file", F.size(V.lines(F.col("content"))).alias("n_lines"))
+
+
+@query("k4_changed_files")
+def k4(spark: SparkSession, sf: str) -> DataFrame:
+    tex = table(spark, sf, "tex_files")
+    return sinks.changed_files(tex, C.rewrite_citations(tex, K.standardize(table(spark, sf, "entries"))[1]))
+
+
 # Aggregates (A1-A17) ----------------------------------------------------------------------
 
 
