@@ -22,9 +22,13 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: The same blanks, one by one.
+BLANKS = "".join(chr(n) for n in (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+
 def strip(c: Column | str) -> Column:
-    """Outer blanks removed, Unicode blanks included. NULL stays NULL."""
-    return F.regexp_replace(_col(c), f"^{BLANK}+|{BLANK}+$", "")
+    """Outer blanks removed, Unicode blanks included. NULL stays NULL. Linear, however long a run of blanks is."""
+    return F.btrim(_col(c), F.lit(BLANKS))
 
 
 def present(c: Column | str) -> Column:
