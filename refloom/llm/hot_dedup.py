@@ -18,6 +18,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from refloom.functions.normalize import strip
 from refloom.operators.skew import hot_keys
 
 MAX_HOT = 1000
@@ -25,13 +26,12 @@ HOT_ROWS = 10_000
 SALTS = 64
 NOT_ALNUM = r"[^\p{L}\p{N}]+"
 #: How a DOI may be prefixed in the data, after lower-casing and stripping.
-DOI_PREFIX = r"^(?:(?:doi:|https?://(?:dx\.)?doi\.example/)\s*)+"
+DOI_PREFIX = r"^(?:(?:doi:|https?://(?:dx\.)?doi\.example/)\s{0,9}){1,9}"
 
 
 def bare_doi(c: Column) -> Column:
     """The DOI without case, outer blanks and prefixes; '' stays ''."""
-    x = F.regexp_replace(F.lower(c), r"(?U)^\s+|\s+$", "")
-    return F.regexp_replace(x, DOI_PREFIX, "")
+    return F.regexp_replace(strip(F.lower(c)), DOI_PREFIX, "")
 
 
 def squeezed(c: Column) -> Column:

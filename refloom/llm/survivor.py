@@ -28,6 +28,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from refloom.functions.normalize import BLANKS
 from refloom.llm.hot_dedup import bare_doi
 from refloom.operators.skew import join_even
 
@@ -50,7 +51,7 @@ def field(fields: Column, name: str) -> Column:
 
 def bare(c: Column) -> Column:
     """A value without outer blanks, braces and quotes."""
-    return F.regexp_replace(c, r"(?U)^[\s{\"]+|[\s}\"]+$", "")
+    return F.rtrim(F.ltrim(c, F.lit(BLANKS + '{"')), F.lit(BLANKS + '}"'))
 
 
 def filled(c: Column) -> Column:

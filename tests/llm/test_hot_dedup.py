@@ -53,3 +53,9 @@ def test_differences_that_count(spark):
     e = entries(spark, [(1, "x", "k", f), (2, "y", "l", f | {"year": "2021"}), (3, "z", "m", {"title": "ab", "year": "20 20"}), (4, "z", "m", {"title": "ab2020"})])
     assert [tuple(r) for r in H.copies(H.digests(e)).where("entry_id <> group_id").select("group_id", "entry_id").collect()] == [(1, 3)]
     assert H.copies(H.digests(e.limit(0))).count() == 0
+
+
+def test_very_long_values(spark):
+    long = {"doi": "doi:" * 20_000, "title": " " * 50_000 + "x" + " " * 50_000, "note": "(" * 50_000, "author": "A and " * 20_000}
+    e = entries(spark, [(1, "a", "k", long), (2, "b", "l", long | {"title": "X"})])
+    assert [tuple(r) for r in H.copies(H.digests(e)).select("group_id", "entry_id", "n_copies").orderBy("entry_id").collect()] == [(1, 1, 2), (1, 2, 2)]

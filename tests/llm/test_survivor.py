@@ -59,3 +59,9 @@ def test_hot_group(spark):
     rows = [(i, f"Key{2000 + i % 9}", {"doi": "10.1/hot" if i % 3 else f"10.1/{i}", "title": "Peat bogs in spring" if i % 2 else "Peat bogs", "year": str(i)}, T0 + dt.timedelta(hours=i)) for i in range(600)]
     got = {r["field"]: r["entry_id"] for r in S.best_values(entries(spark, rows_of(rows))).collect()}
     assert got == {"ID": 599, "title": 599, "year": 599}
+
+
+def test_very_long_values(spark):
+    f = {"doi": " " * 50_000 + "10.1/x", "title": "word " * 5_000 + "end", "author": "A Bee and " * 3_000 + "others", "pages": " " * 50_000}
+    e = entries(spark, rows_of([(1, "k", f, T0), (2, "l", f | {"title": "word " * 4_000}, T0 + dt.timedelta(1))]))
+    assert {tuple(r) for r in S.best_values(e).collect()} == {(1, "title", 1)}
