@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from refloom.functions import repair as R
-from refloom.functions.normalize import present
-from refloom.sources.bibtex import decode_text, parse_files
+from refloom.functions.normalize import _nfc, present
+from refloom.sources.bibtex import parse_files
 
 
 def walk_fields(entries: DataFrame) -> DataFrame:
@@ -60,8 +61,6 @@ def python_transform(entries: DataFrame, f: Callable[[str], str | None], names:
             columns = [pa.array(out, pa.map_(pa.string(), pa.string())) if name == "fields" else b.column(at(name)) for name in b.schema.names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int32())], names=[*b.schema.names, "changed"])
 
-    from pyspark.sql import types as T
-
     return entries.mapInArrow(run, T.StructType([*entries.schema.fields, T.StructField("changed", T.IntegerType())]))
 
 
@@ -139,8 +138,6 @@ def with_uncommented(entries: DataFrame) -> DataFrame:
     j = entries.join(u, ["project", "file", "pos"], "left")
     own = F.col("u").isNotNull()
     take = lambda c: F.when(own, F.col("u")[c]).otherwise(F.col(c)).alias(c)
-    from refloom.functions.normalize import _nfc
-
     columns = {
         "entry_type": take("entry_type"), "key_raw": take("key_raw"), "fields": take("fields"), "raw": take("raw"),
         "key": F.when(own, _nfc(present(F.col("u.key_raw")))).otherwise(F.col("key")).alias("key"),
@@ -153,6 +150,3 @@ def with_uncommented(entries: DataFrame) -> DataFrame:
 def count_changes(df: DataFrame) -> DataFrame:
     """``(project, file, fixes)``."""
     return df.groupBy("project", "file").agg(F.sum("changed").cast("long").alias("fixes"))
-
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("decode_text",)]

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from refloom import schema
 from refloom.functions.normalize import present, strip
 from refloom.operators import citations as C
 from refloom.operators import dedup as D
@@ -63,8 +62,6 @@ def missing_preview(cites: DataFrame, entries: DataFrame, k: int = 10) -> DataFr
 
     The ten smallest come from a ranked pass, so a project with very many missing keys is never gathered in one place.
     """
-    from pyspark.sql import Window
-
     keys = C.missing(cites, entries).select("project", "key").distinct()
     n = keys.groupBy("project").agg(F.count(F.lit(1)).alias("n_missing"))
     top = keys.withColumn("r", F.row_number().over(Window.partitionBy("project").orderBy("key"))).where(F.col("r") <= k)
@@ -105,6 +102,3 @@ def verdict(found: DataFrame, projects: DataFrame) -> DataFrame:
     """``(project, ok)``: no finding but duplicate keys."""
     bad = found.where("check <> 'duplicate_key'").select("project").distinct().withColumn("bad", F.lit(True))
     return projects.select("project").distinct().join(bad, "project", "left").select("project", F.col("bad").isNull().alias("ok"))
-
-
-ISSUE_COLUMNS = tuple(c.split()[0] for c in schema.ISSUES.split(", "))
