@@ -98,11 +98,11 @@ def _shards(items: DataFrame, rows: int, name: str) -> DataFrame:
     return items.withColumn(name, F.pmod(F.xxhash64("doc_id", "piece", "pack_name", F.lit(name)), F.lit(n)).cast("int"))
 
 
-def _packed(items: DataFrame, shard: str, prefix: str) -> DataFrame:
+def _packed(items: DataFrame, shard: str, prefix: str, segment_tokens: int, loss_share: float) -> DataFrame:
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "piece"], ignore_index=True)
         capacity = int(pdf["capacity"].iloc[0])
-        limits = np.array([capacity, max(1, capacity // SEGMENT_TOKENS), capacity])
+        limits = np.array([capacity, max(1, capacity // segment_tokens), max(1, int(capacity * loss_share))])
         sizes = np.stack([pdf["tokens"], np.ones(len(pdf), dtype=np.int64), pdf["loss_tokens"]], axis=1).astype(np.int64)
         number = pack(sizes, limits)
         pdf["container"] = [f"{prefix}{capacity}-{key[2]}-{c}" for c in number]
@@ -113,12 +113,14 @@ def _packed(items: DataFrame, shard: str, prefix: str) -> DataFrame:
     return items.groupBy("pack_name", "capacity", shard).applyInPandas(run, schema)
 
 
-def fill_containers(documents: DataFrame, packs: DataFrame, rank_file: str | None = None) -> DataFrame:
+def fill_containers(documents: DataFrame, packs: DataFrame, rank_file: str | None = None, segment_tokens: int = SEGMENT_TOKENS, loss_share: float = 1.0) -> DataFrame:
     """``(pack_name, container, doc_id, piece, start_token, tokens, loss_tokens)``: where each piece of each document goes.
 
     ``piece`` is 0 unless the document exceeds the capacity; ``start_token`` is
     where the piece begins in the document's ids. Empty and NULL texts have no
-    tokens and take no room, so they go nowhere. Packs of NULL or no capacity
+    tokens and take no room, so they go nowhere. A container holds one segment for
+    each ``segment_tokens`` of its capacity and loss-bearing tokens up to
+    ``loss_share`` of it; an item whose own loss exceeds that share has it cut to the share. Packs of NULL or no capacity
     are left out; an empty table of documents fills nothing.
     """
     measured = cut_lineage(demands(documents, rank_file).where("tokens > 0"))
@@ -133,11 +135,11 @@ def fill_containers(documents: DataFrame, packs: DataFrame, rank_file: str | Non
         lambda i: F.struct(i.alias("piece"), F.least(F.col("capacity"), F.col("tokens") - i * F.col("capacity")).alias("tokens")),
     )
     items = items.withColumn("share", F.col("loss_tokens") / F.col("tokens")).select("doc_id", "pack_name", "capacity", "share", F.explode(cut).alias("c"))
-    items = items.select("doc_id", "pack_name", "capacity", "c.piece", "c.tokens", F.least(F.col("c.tokens"), F.ceil(F.col("share") * F.col("c.tokens")).cast("int")).alias("loss_tokens"))
+    items = items.select("doc_id", "pack_name", "capacity", "c.piece", "c.tokens", F.least(F.col("c.tokens"), F.ceil(F.col("share") * F.col("c.tokens")).cast("int"), F.greatest(F.lit(1), F.floor(F.col("capacity") * loss_share)).cast("int")).alias("loss_tokens"))
     whole = items.where("tokens = capacity").withColumns({"container": F.concat_ws("-", F.concat(F.lit("w"), F.col("capacity").cast("string")), "doc_id", "piece"), "filled": F.col("tokens").cast("long")})
-    first = cut_lineage(_packed(_shards(items.where("tokens < capacity"), rows, "s1"), "s1", "a"))
+    first = cut_lineage(_packed(_shards(items.where("tokens < capacity"), rows, "s1"), "s1", "a", segment_tokens, loss_share))
     poor = first.where(F.col("filled") < F.col("capacity") * POOR)
-    again = _packed(_shards(poor, poor.count(), "s2"), "s2", "b")
+    again = _packed(_shards(poor, poor.count(), "s2"), "s2", "b", segment_tokens, loss_share)
     columns = ["pack_name", "container", "doc_id", "piece", (F.col("piece").cast("long") * F.col("capacity")).alias("start_token"), "tokens", "loss_tokens"]
     return whole.select(*columns).unionByName(first.where(F.col("filled") >= F.col("capacity") * POOR).select(*columns)).unionByName(again.select(*columns))
 

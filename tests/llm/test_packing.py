@@ -47,3 +47,12 @@ def test_corpus(spark, monkeypatch):
             assert report[name] > (0.9 if shard > 50 else 0.75)
     assert P.fill_containers(docs.limit(0), packs).count() == 0
     assert P.fill_containers(docs, packs.limit(0)).count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists(default_rank_file()), reason="no rank file here")
+def test_all_limits_hold_together(spark):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, "\n".join(rng.choice(["12 34", "alpha beta"]) for _ in range(rng.randint(1, 30)))) for i in range(300)], "doc_id long, text string")
+    packs = spark.createDataFrame([("m", 400)], "pack_name string, capacity int")
+    out = P.fill_containers(docs, packs, segment_tokens=80, loss_share=0.5).toPandas().groupby("container")
+    assert (out.tokens.sum() <= 400).all() and (out.doc_id.count() <= 5).all() and (out.loss_tokens.sum() <= 200).all()
