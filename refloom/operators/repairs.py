@@ -117,8 +117,11 @@ def drop_fields(entries: DataFrame) -> DataFrame:
     return entries.withColumns({"changed": F.coalesce(F.size("fields") - F.size(kept), F.lit(0)), "fields": kept, "n_fields": F.size(kept) + 2})
 
 
-def uncomment(entries: DataFrame) -> DataFrame:
-    """``(project, file, pos, entry_type, key_raw, fields, raw)`` of the commented entries that can be read once unwrapped."""
+def uncomment(entries: DataFrame, decode: bool = False) -> DataFrame:
+    """``(project, file, pos, entry_type, key_raw, fields, raw)`` of the commented entries that can be read once unwrapped.
+
+    With ``decode`` LaTeX accents and escapes in values become plain characters, as in ``parse_files``.
+    """
     rows = entries.where("is_commented").select("project", "file", "pos", "raw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,13 +131,13 @@ def uncomment(entries: DataFrame) -> DataFrame:
     fixed = rows.mapInArrow(run, rows.schema).where("raw IS NOT NULL")
     # The position stands in for the file's name while parsing, and comes back after it.
     tagged = fixed.select("project", F.concat_ws("\n", "file", F.col("pos").cast("string")).alias("file"), F.col("raw").alias("content"))
-    parsed = parse_files(tagged).where("kind = 'entry' AND error IS NULL AND pos = 0")
+    parsed = parse_files(tagged, decode).where("kind = 'entry' AND error IS NULL AND pos = 0")
     return parsed.select("project", F.split("file", "\n")[0].alias("file"), F.split("file", "\n")[1].cast("int").alias("pos"), "entry_type", "key_raw", "fields", "raw")
 
 
-def with_uncommented(entries: DataFrame) -> DataFrame:
+def with_uncommented(entries: DataFrame, decode: bool = False) -> DataFrame:
     """Entries with the readable commented ones in their own places; ``changed`` is 1 for these."""
-    u = uncomment(entries).select("project", "file", "pos", F.struct("entry_type", "key_raw", "fields", "raw").alias("u"))
+    u = uncomment(entries, decode).select("project", "file", "pos", F.struct("entry_type", "key_raw", "fields", "raw").alias("u"))
     j = entries.join(u, ["project", "file", "pos"], "left")
     own = F.col("u").isNotNull()
     take = lambda c: F.when(own, F.col("u")[c]).otherwise(F.col(c)).alias(c)

@@ -56,6 +56,13 @@ def basic_fixes(entries: DataFrame, journals: DataFrame | None) -> tuple[DataFra
     return entries, counts
 
 
+def uncommented(entries: DataFrame, counts: list[tuple[str, DataFrame]]) -> DataFrame:
+    """F10 with its count added to ``counts``; values are decoded as at reading."""
+    opened = cut_lineage(R.with_uncommented(entries, decode=True))
+    counts.append(("uncommented", opened.select("project", "file", "changed")))
+    return opened.drop("changed")
+
+
 def curate(bibs: DataFrame, tex: DataFrame, journals: DataFrame | None = None, metadata: DataFrame | None = None, preserve_keys: bool = False, enrich: bool = True, parity: bool = False) -> Curated:
     """Repairs, stable keys, unused and duplicate entries; ``metadata`` and ``journals`` stand for the outside services."""
     files = R.fix_files(bibs)
@@ -63,10 +70,10 @@ def curate(bibs: DataFrame, tex: DataFrame, journals: DataFrame | None = None, m
     if enrich:
         entries = G.enrich(entries, metadata)
     entries, counts = basic_fixes(entries, journals)
-    entries = R.drop_fields(entries).drop("changed")
-    opened = cut_lineage(R.with_uncommented(entries))
-    counts.append(("uncommented", opened.select("project", "file", "changed")))
-    entries = opened.drop("changed")
+    dropped = R.drop_fields(entries)
+    counts.append(("dropped", dropped.select("project", "file", "changed")))
+    entries = dropped.drop("changed")
+    entries = uncommented(entries, counts)
     maps = []
     if not preserve_keys:
         entries, m1 = K.sanitize(entries)
@@ -85,10 +92,17 @@ def curate(bibs: DataFrame, tex: DataFrame, journals: DataFrame | None = None, m
             entries, m = cut_lineage(entries), cut_lineage(m)
             tex = cut_lineage(C.rewrite_citations(tex, m).drop("changed"))
             maps.append(m)
+    # The closing pass: what was recovered from comments or taken over from other entries is repaired too.
+    closed = R.drop_fields(entries)
+    counts.append(("dropped", closed.select("project", "file", "changed")))
+    entries, more = basic_fixes(closed.drop("changed"), journals)
+    counts += more
+    entries = uncommented(entries, counts)
     fixes = None
     for name, c in counts:
-        row = R.count_changes(c).withColumn("step", F.lit(name))
+        row = c.select("project", "file", "changed", F.lit(name).alias("step"))
         fixes = row if fixes is None else fixes.unionByName(row)
+    fixes = fixes.groupBy("project", "file", "step").agg(F.sum("changed").cast("long").alias("fixes")).select("project", "file", "fixes", "step")
     empty = entries.sparkSession.createDataFrame([], "project string, old_key string, new_key string")
     return Curated(entries, tex, C.compose_maps(maps) if maps else empty, fixes)
 

@@ -54,6 +54,19 @@ def test_curate(spark):
     assert {r["key"] for r in kept.entries.collect()} == {"oldkey", "KeyA", "KeyB"}
 
 
+def test_closing_pass_repairs_recovered_entries(spark):
+    bibs, tex = project(spark, {
+        "main.tex": r"\cite{K,L}",
+        "references.bib": "@comment{@article{K,\n  title = {Caf\\'{e} \\& 5% &amp; x},\n  year = {2021-05-17},\n  month = {apr},\n  keywords = {a, b},\n  file = {/p}\n}}\n@article{L, title={t}, note={n}}",
+    })
+    done = workflow.curate(bibs, tex, preserve_keys=True)
+    out = {r["key"]: r for r in done.entries.collect()}
+    assert out["K"]["fields"] == {"title": "Cafe \\& 5\\% \\& x", "year": "2021", "month": "4"} and out["K"]["n_fields"] == 5
+    rows = [(r["step"], r["fixes"]) for r in done.fixes.collect()]
+    fixes = dict(rows)
+    assert len(rows) == len(fixes) and fixes["uncommented"] == 1 and fixes["year"] == 1 and fixes["month"] == 1 and fixes["percent"] == 1 and fixes["dropped"] == 3
+
+
 def test_cli(spark, tmp_path, capsys):
     (tmp_path / "main.tex").write_text(r"\cite{oldkey}")
     (tmp_path / "references.bib").write_text("@article{oldkey, author={Smith, J}, year={2021}, title={An x}}")
