@@ -121,12 +121,12 @@ def drop_fields(fields: Column, names: tuple[str, ...] = schema.DROPPED_FIELDS)
 def repair_commented(raw: str | None) -> str | None:
     """a commented entry without its wrapper, commas put in, brackets balanced. None if there is no entry inside.
 
-    At most 200 lines are taken for one entry.
+    The whole text is taken, however many lines it has; the parser has found its end.
     """
     m = re.match(r"@\s*comment\s*\{\s*(?=@\w+\s*\{)", raw or "", re.IGNORECASE)
     if not m or not re.match(r"@\w+\s*\{([^,}]+)", raw[m.end() :]):
         return None
-    body = "\n".join(raw[m.end() :].split("\n")[:200]).rstrip()
+    body = raw[m.end() :].rstrip()
     body = re.sub(r"\}(\s+)(?=[A-Za-z][\w-]*\s*=\s*[{\"\w])", r"},\1", body)
     depth = 0
     for i, c in enumerate(body):

@@ -79,6 +79,15 @@ def test_uncomment(spark):
     assert R.repair_commented("no comment") is None and R.repair_commented(None) is None
 
 
+def test_uncomment_takes_the_whole_body(spark):
+    lines = "\n".join(f"    line {n}" for n in range(300))
+    raw = "@comment{@article{X,\n  abstract = {" + lines + "},\n  title = {T},\n  year = {2020}\n}}"
+    e = entries(spark, [{"raw": raw, "is_commented": True, "fields": None}])
+    r = repairs.uncomment(e).head()
+    assert r["fields"]["title"] == "T" and r["fields"]["year"] == "2020" and r["fields"]["abstract"].endswith("line 299")
+    assert R.repair_commented(raw) == raw[len("@comment{") : -1]
+
+
 def test_drop(spark):
     e = entries(spark, [(1, "a.bib", "k", {"File": "/some/path", "title": "t", "Bdsk-Url-1": "u"})])
     r = repairs.drop_fields(e).head()
