@@ -139,7 +139,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("p3_survivors")
 def p3_survivors(spark: SparkSession, sf: str) -> DataFrame:
-    return survivor.survivors(table(spark, sf, "entries")).withColumn("fields", F.to_json("fields"))
+    return survivor.records(table(spark, sf, "entries")).withColumn("fields", F.to_json("fields"))
 
 
 @query("p9_containers")

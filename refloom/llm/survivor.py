@@ -11,8 +11,10 @@ many members it has, and the skyline is taken among those.
 For each field the policy is lexicographic: whole values first, then the last
 edit, then the largest id. The member so chosen for a field is always in the
 first layer (what dominates it would have the field whole and be more recent),
-so later layers are only asked for fields of which no member has a whole value;
-``layers`` gives them to callers with other policies.
+so later layers could only give values that aren't whole. These are taken where
+no member has a whole value, by the same policy over all members of the group,
+whatever their layer; so are fields that aren't judged, for which a value is
+whole if it is no stand-in. ``layers`` gives the layers to callers with other policies.
 
 A value is whole if it is neither blank nor a stand-in nor cut short. A title or
 author list is cut short if it ends in a mark for more, or if its words are the
@@ -33,6 +35,8 @@ from refloom.llm.hot_dedup import bare_doi
 from refloom.operators.skew import join_even
 
 FIELDS = ("ID", "author", "journal", "pages", "title", "volume", "year")
+#: Names of the key and the entry type among fields, whose own names are in lower case.
+KEY, TYPE = "ID", "ENTRYTYPE"
 #: Words that stand in for a missing value.
 STAND_INS = (
     "", "-", "--", "---", "?", "??", "???", ".", "...", "n/a", "na", "n.a.", "n.n.", "nn", "n.d.", "none", "null", "nil",
@@ -152,6 +156,18 @@ def group_layers(entries: DataFrame) -> DataFrame:
     return best.groupBy("group_id").agg(skyline(F.collect_list(F.struct("mask", F.col("top.modified_at").alias("modified_at"), F.col("top.entry_id").alias("entry_id")))).alias("first"))
 
 
+def _pick(able: Column) -> Column:
+    """The entry id of the most recent of an array of members; NULL for none."""
+    return F.array_max(F.transform(able, lambda x: F.struct(x["modified_at"], x["entry_id"])))["entry_id"]
+
+
+def _picks(g: DataFrame, more: tuple[Column, ...] = ()) -> DataFrame:
+    """``(group_id, field, entry_id)`` of the skylines ``g``: the member with the best whole value of each field, and what else is asked for."""
+    whole = lambda i: F.filter(F.col("first"), lambda x: x["mask"].bitwiseAND(F.lit(1 << i)) != 0)
+    picks = F.array(*[F.struct(F.lit(f).alias("field"), _pick(whole(i)).alias("entry_id")) for i, f in enumerate(FIELDS)], *more)
+    return g.select("group_id", F.explode(picks).alias("p")).select("group_id", "p.field", "p.entry_id").where("entry_id IS NOT NULL")
+
+
 def best_values(entries: DataFrame) -> DataFrame:
     """``(group_id, field, entry_id)``: the member whose value of a field the surviving record takes.
 
@@ -159,24 +175,53 @@ def best_values(entries: DataFrame) -> DataFrame:
     no group; copies of one record are members in their own right; equal edits go
     to the larger id, and a NULL edit is the oldest.
     """
-    g = group_layers(entries)
-
-    def pick(i: int) -> Column:
-        able = F.filter(F.col("first"), lambda x: x["mask"].bitwiseAND(F.lit(1 << i)) != 0)
-        return F.array_max(F.transform(able, lambda x: F.struct(x["modified_at"], x["entry_id"])))["entry_id"]
+    return _picks(group_layers(entries))
 
-    picks = F.array(*[F.struct(F.lit(f).alias("field"), pick(i).alias("entry_id")) for i, f in enumerate(FIELDS)])
-    return g.select("group_id", F.explode(picks).alias("p")).select("group_id", "p.field", "p.entry_id").where("entry_id IS NOT NULL")
 
+def best_there_is(entries: DataFrame) -> DataFrame:
+    """``(group_id, field, value)``: the best value of every field name of each group, of the key and of the entry type.
 
-def survivors(entries: DataFrame) -> DataFrame:
-    """``(group_id, key, fields)``: one surviving record for each group, with the best ID and the best value of each field."""
-    picks = best_values(entries)
-    values = entries.where("fields IS NOT NULL").select("entry_id", "key_raw", "fields")
+    The group's policy without the test against longer values: values that say
+    something come before stand-ins, then the last edit and the largest id decide. Titles
+    and author lists are asked for here only where all are cut short, so of these the one
+    with the most words is the best. Blank values are none.
+    """
+    m = F.col("fields")
+    e = entries.where(m.isNotNull()).select("entry_id", "modified_at", "key_raw", "entry_type", "fields", bare_doi(field(m, "doi")).alias("doi")).where(filled(F.col("doi")))
+    groups = e.groupBy("doi").agg(F.count(F.lit(1)).alias("n"), F.min("entry_id").alias("group_id")).where("n > 1").persist(StorageLevel.MEMORY_AND_DISK)
+    own = F.array(*[F.struct(F.lit(name).alias("key"), F.col(c).alias("value")) for name, c in ((KEY, "key_raw"), (TYPE, "entry_type"))])
+    named = F.transform(F.array_sort(F.map_entries(m)), lambda x: F.struct(F.lower(F.trim(x["key"])).alias("key"), x["value"].alias("value")))
+    rows = join_even(e, groups, "doi").select("group_id", "entry_id", "modified_at", F.posexplode(F.concat(own, named)).alias("at", "f"))
+    rows = rows.select("group_id", "entry_id", "modified_at", "at", F.col("f.key").alias("field"), F.col("f.value").alias("value")).where(bare(F.col("value")) != "")
+    said = filled(F.col("value"))
+    length = F.when(said & F.col("field").isin("title", "author"), F.size(words(F.col("value")))).otherwise(0)
+    best = F.max(F.struct(said.alias("said"), length.alias("length"), "modified_at", "entry_id", (-F.col("at")).alias("at"), "value"))
+    return rows.groupBy("group_id", "field").agg(best.alias("best")).select("group_id", "field", F.col("best.value").alias("value"))
+
+
+def records(entries: DataFrame) -> DataFrame:
+    """``(group_id, key, entry_type, fields)``: one whole record for each group, with the best value of every field name of its members.
+
+    The entry type is that of the member with the most whole values, then the
+    last edit and the largest id. Where no member has a whole value the best there
+    is takes its place, see ``best_there_is``.
+    """
+    most = F.array_max(F.transform("first", lambda x: F.bit_count(x["mask"])))
+    richest = _pick(F.filter(F.col("first"), lambda x: F.bit_count(x["mask"]) == most))
+    picks = _picks(group_layers(entries), (F.struct(F.lit(TYPE).alias("field"), richest.alias("entry_id")),))
+    values = entries.where("fields IS NOT NULL").select("entry_id", "key_raw", "entry_type", "fields")
     f = F.col("fields")
-    value = reduce(lambda acc, n: acc.when(F.col("field") == n, field(f, n)), FIELDS[1:], F.when(F.col("field") == "ID", F.col("key_raw")))
-    got = picks.join(values, "entry_id").select("group_id", "field", value.alias("value"))
-    return got.groupBy("group_id").agg(
-        F.max(F.when(F.col("field") == "ID", F.col("value"))).alias("key"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("field") != "ID", F.struct("field", "value"))))).alias("fields"),
+    value = reduce(lambda acc, n: acc.when(F.col("field") == n, field(f, n)), FIELDS[1:], F.when(F.col("field") == KEY, F.col("key_raw")).when(F.col("field") == TYPE, F.col("entry_type")))
+    whole = picks.join(values, "entry_id").select("group_id", "field", value.alias("value")).where(filled(F.col("value")) | (F.col("field") == KEY)).distinct()
+    both = whole.withColumn("whole", F.lit(1)).unionByName(best_there_is(entries).withColumn("whole", F.lit(0)))
+    best = both.groupBy("group_id", "field").agg(F.max(F.struct("whole", "value"))["value"].alias("value"))
+    return best.groupBy("group_id").agg(
+        F.max(F.when(F.col("field") == KEY, F.col("value"))).alias("key"),
+        F.max(F.when(F.col("field") == TYPE, F.col("value"))).alias("entry_type"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(~F.col("field").isin(KEY, TYPE), F.struct("field", "value"))))).alias("fields"),
     )
+
+
+def survivors(entries: DataFrame) -> DataFrame:
+    """``(group_id, key, fields)``: ``records`` with the judged fields only."""
+    return records(entries).select("group_id", "key", F.map_filter("fields", lambda k, _: k.isin(*FIELDS)).alias("fields"))

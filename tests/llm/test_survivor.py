@@ -65,3 +65,21 @@ def test_very_long_values(spark):
     f = {"doi": " " * 50_000 + "10.1/x", "title": "word " * 5_000 + "end", "author": "A Bee and " * 3_000 + "others", "pages": " " * 50_000}
     e = entries(spark, rows_of([(1, "k", f, T0), (2, "l", f | {"title": "word " * 4_000}, T0 + dt.timedelta(1))]))
     assert {tuple(r) for r in S.best_values(e).collect()} == {(1, "title", 1)}
+
+
+def test_records_hold_every_field_of_every_group(spark):
+    day = lambda n: T0 + dt.timedelta(days=n)
+    e = entries(spark, [r | {"entry_type": t} for r, t in zip(rows_of([
+        (1, "Smith2020Peat", {"doi": "10.1/x", "title": "Peat", "year": "2020", "Keywords": "bog, peat", "note": "old", "url": " "}, day(1)),
+        (2, "?", {"DOI": "10.1/X", "title": "Peat", "keywords": "n/a", "note": "new", "month": "tba"}, day(2)),
+        (3, "a b", {"doi": "10.1/y", "title": "Bogs in the early ...", "author": "A Roe et al."}, day(1)),
+        (4, "-", {"doi": "10.1/y", "title": "Bogs ..."}, day(2)),
+        (5, None, {"doi": "10.1/z"}, day(1)), (6, "", {"doi": "10.1/z", "file": "f"}, None),
+        (7, "K2020", {"doi": "10.1/alone", "title": "t"}, day(1)),
+    ]), ("article", "misc", "book", "misc", None, "thesis", "misc"))])
+    got = {r["group_id"]: (r["key"], r["entry_type"], r["fields"]) for r in S.records(e.unionByName(e.where("entry_id = 1"))).collect()}
+    assert got == {
+        1: ("Smith2020Peat", "article", {"doi": "10.1/X", "title": "Peat", "year": "2020", "keywords": "bog, peat", "note": "new", "month": "tba"}),
+        3: ("a b", "misc", {"doi": "10.1/y", "title": "Bogs in the early ...", "author": "A Roe et al."}),
+        5: (None, "thesis", {"doi": "10.1/z", "file": "f"}),
+    }
