@@ -5,6 +5,7 @@ Vector bin packing with the dot-product heuristic: a container has three limits
 and whose demands have the largest weighted dot product with the room left, so
 items that use what is plentiful come first. An item is cut only if it alone
 exceeds the capacity; all its pieces but the last fill containers of their own.
+A piece with more loss-bearing tokens than a container may hold is put in one alone.
 
 Items are dealt evenly to shards of bounded size by a hash of their id, so no
 source or programme can make a shard large; each shard is packed by itself.
@@ -33,24 +34,54 @@ SEGMENT_TOKENS = 64
 POOR = 0.98
 
 
-def demands(documents: DataFrame, rank_file: str | None = None) -> DataFrame:
-    """``(doc_id, tokens, loss_tokens)``: loss is borne by tokens of lines that hold letters, not by times and numbers."""
+def demands(documents: DataFrame, rank_file: str | None = None, capacities: tuple[int, ...] = ()) -> DataFrame:
+    """``(doc_id, tokens, loss_tokens)``: loss is borne by tokens of lines that hold letters, not by times and numbers.
+
+    A token belongs to the line in which it begins. With ``capacities`` there is also
+    ``pieces``, what a document is cut into for each of them, with the counts of each piece.
+    """
     rank_file = rank_file or default_rank_file()
+    pieces = pa.list_(pa.struct([(c, pa.int32()) for c in ("capacity", "piece", "tokens", "loss_tokens")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(rank_file)
+        width = _byte_lengths(enc)
         for batch in batches:
-            tokens, loss = [], []
+            tokens, loss, cut = [], [], []
             for t in batch.column(1).to_pylist():
-                n = len(encode_text(enc, t))
-                # The share of characters in lines with letters stands for their share of tokens.
-                lines = t.splitlines(keepends=True) if t else []
-                spoken = sum(len(x) for x in lines if any(c.isalpha() for c in x))
+                borne = np.concatenate([[0], np.cumsum(_bears_loss(encode_text(enc, t), t, width))])
+                n = len(borne) - 1
                 tokens.append(n)
-                loss.append(math.ceil(n * spoken / len(t)) if t else 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int32()), pa.array(loss, pa.int32())], names=["doc_id", "tokens", "loss_tokens"])
+                loss.append(int(borne[n]))
+                own = []
+                for c in capacities:
+                    ends = np.minimum(np.arange(-(-n // c) + 1) * c, n)
+                    own += [{"capacity": c, "piece": i, "tokens": int(x), "loss_tokens": int(y)} for i, (x, y) in enumerate(zip(np.diff(ends), np.diff(borne[ends])))]
+                cut.append(own)
+            columns = {"doc_id": batch.column(0), "tokens": pa.array(tokens, pa.int32()), "loss_tokens": pa.array(loss, pa.int32())}
+            yield pa.RecordBatch.from_pydict(columns | ({"pieces": pa.array(cut, pieces)} if capacities else {}))
+
+    schema = "doc_id long, tokens int, loss_tokens int" + (", pieces array<struct<capacity:int,piece:int,tokens:int,loss_tokens:int>>" if capacities else "")
+    return spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, schema)
+
+
+def _byte_lengths(enc) -> np.ndarray:
+    """The length in bytes of each id of a vocabulary."""
+    out = np.zeros(enc.max_token_value + 1, dtype=np.int64)
+    for token in enc.token_byte_values():
+        out[enc.encode_single_token(token)] = len(token)
+    return out
 
-    return spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, tokens int, loss_tokens int")
+
+def _bears_loss(ids: list[int], text: str | None, width: np.ndarray) -> np.ndarray:
+    """For each token of a text whether it begins in a line with letters."""
+    if not ids:
+        return np.zeros(0, dtype=bool)
+    lines = text.splitlines(keepends=True)
+    ends = np.cumsum([len(x.encode()) for x in lines])
+    spoken = np.array([any(c.isalpha() for c in x) for x in lines])
+    w = width[ids]
+    return spoken[np.searchsorted(ends, np.cumsum(w) - w, side="right")]
 
 
 def pack(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
@@ -102,14 +133,15 @@ def _packed(items: DataFrame, shard: str, prefix: str, segment_tokens: int, loss
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "piece"], ignore_index=True)
         capacity = int(pdf["capacity"].iloc[0])
-        limits = np.array([capacity, max(1, capacity // segment_tokens), max(1, int(capacity * loss_share))])
+        limits = np.array([capacity, max(1, capacity // segment_tokens), max(1, math.floor(capacity * loss_share))])
         sizes = np.stack([pdf["tokens"], np.ones(len(pdf), dtype=np.int64), pdf["loss_tokens"]], axis=1).astype(np.int64)
         number = pack(sizes, limits)
         pdf["container"] = [f"{prefix}{capacity}-{key[2]}-{c}" for c in number]
-        pdf["filled"] = pd.Series(sizes[:, 0]).groupby(number).transform("sum").to_numpy()
+        # A container is as full as the fuller of its two token limits.
+        pdf["filled"] = (pd.DataFrame(sizes[:, [0, 2]]).groupby(number).transform("sum").to_numpy() / limits[[0, 2]]).max(axis=1)
         return pdf[["pack_name", "capacity", "doc_id", "piece", "tokens", "loss_tokens", "container", "filled"]]
 
-    schema = "pack_name string, capacity int, doc_id long, piece int, tokens int, loss_tokens int, container string, filled long"
+    schema = "pack_name string, capacity int, doc_id long, piece int, tokens int, loss_tokens int, container string, filled double"
     return items.groupBy("pack_name", "capacity", shard).applyInPandas(run, schema)
 
 
@@ -120,28 +152,25 @@ def fill_containers(documents: DataFrame, packs: DataFrame, rank_file: str | Non
     where the piece begins in the document's ids. Empty and NULL texts have no
     tokens and take no room, so they go nowhere. A container holds one segment for
     each ``segment_tokens`` of its capacity and loss-bearing tokens up to
-    ``loss_share`` of it; an item whose own loss exceeds that share has it cut to the share. Packs of NULL or no capacity
-    are left out; an empty table of documents fills nothing.
+    ``loss_share`` of it; a piece whose own loss exceeds that has a container to itself (named x), as has
+    one of the whole capacity (named w), and its loss is counted in full. Packs of NULL or no capacity are left out; an empty table of documents fills nothing.
     """
-    measured = cut_lineage(demands(documents, rank_file).where("tokens > 0"))
-    rows = measured.count()
-    sizes = [(r["pack_name"], r["capacity"]) for r in packs.where("capacity > 0").select("pack_name", "capacity").distinct().collect()]
+    spark = documents.sparkSession
+    sizes = [(r["pack_name"], int(r["capacity"])) for r in packs.where("capacity > 0").select("pack_name", "capacity").distinct().collect()]
     if not sizes:
-        return documents.sparkSession.createDataFrame([], "pack_name string, container string, doc_id long, piece int, start_token long, tokens int, loss_tokens int")
-    each = F.explode(F.array(*[F.struct(F.lit(p).alias("pack_name"), F.lit(int(c)).alias("capacity")) for p, c in sizes]))
-    items = measured.select("doc_id", "tokens", "loss_tokens", each.alias("p")).select("doc_id", "tokens", "loss_tokens", "p.pack_name", "p.capacity")
-    cut = F.transform(
-        F.sequence(F.lit(0), F.ceil(F.col("tokens") / F.col("capacity")).cast("int") - 1),
-        lambda i: F.struct(i.alias("piece"), F.least(F.col("capacity"), F.col("tokens") - i * F.col("capacity")).alias("tokens")),
-    )
-    items = items.withColumn("share", F.col("loss_tokens") / F.col("tokens")).select("doc_id", "pack_name", "capacity", "share", F.explode(cut).alias("c"))
-    items = items.select("doc_id", "pack_name", "capacity", "c.piece", "c.tokens", F.least(F.col("c.tokens"), F.ceil(F.col("share") * F.col("c.tokens")).cast("int"), F.greatest(F.lit(1), F.floor(F.col("capacity") * loss_share)).cast("int")).alias("loss_tokens"))
-    whole = items.where("tokens = capacity").withColumns({"container": F.concat_ws("-", F.concat(F.lit("w"), F.col("capacity").cast("string")), "doc_id", "piece"), "filled": F.col("tokens").cast("long")})
-    first = cut_lineage(_packed(_shards(items.where("tokens < capacity"), rows, "s1"), "s1", "a", segment_tokens, loss_share))
-    poor = first.where(F.col("filled") < F.col("capacity") * POOR)
+        return spark.createDataFrame([], "pack_name string, container string, doc_id long, piece int, start_token long, tokens int, loss_tokens int")
+    measured = cut_lineage(demands(documents, rank_file, tuple(sorted({c for _, c in sizes}))).where("tokens > 0"))
+    rows = measured.count()
+    named = F.broadcast(spark.createDataFrame(sizes, "pack_name string, capacity int"))
+    items = measured.select("doc_id", F.explode("pieces").alias("c")).select("doc_id", "c.*").join(named, "capacity").select("doc_id", "pack_name", "capacity", "piece", "tokens", "loss_tokens")
+    alone = lambda kind: F.concat_ws("-", F.concat(F.lit(kind), F.col("capacity").cast("string")), "doc_id", "piece")
+    over = F.col("loss_tokens") > F.greatest(F.lit(1), F.floor(F.col("capacity") * F.lit(float(loss_share))))
+    single = items.where((F.col("tokens") == F.col("capacity")) | over).withColumn("container", F.when(F.col("tokens") == F.col("capacity"), alone("w")).otherwise(alone("x")))
+    first = cut_lineage(_packed(_shards(items.where((F.col("tokens") < F.col("capacity")) & ~over), rows, "s1"), "s1", "a", segment_tokens, loss_share))
+    poor = first.where(F.col("filled") < POOR)
     again = _packed(_shards(poor, poor.count(), "s2"), "s2", "b", segment_tokens, loss_share)
     columns = ["pack_name", "container", "doc_id", "piece", (F.col("piece").cast("long") * F.col("capacity")).alias("start_token"), "tokens", "loss_tokens"]
-    return whole.select(*columns).unionByName(first.where(F.col("filled") >= F.col("capacity") * POOR).select(*columns)).unionByName(again.select(*columns))
+    return single.select(*columns).unionByName(first.where(F.col("filled") >= POOR).select(*columns)).unionByName(again.select(*columns))
 
 
 def packing_report(filled: DataFrame, packs: DataFrame) -> DataFrame:

@@ -56,3 +56,33 @@ def test_all_limits_hold_together(spark):
     packs = spark.createDataFrame([("m", 400)], "pack_name string, capacity int")
     out = P.fill_containers(docs, packs, segment_tokens=80, loss_share=0.5).toPandas().groupby("container")
     assert (out.tokens.sum() <= 400).all() and (out.doc_id.count() <= 5).all() and (out.loss_tokens.sum() <= 200).all()
+
+
+@pytest.mark.skipif(not os.path.exists(default_rank_file()), reason="no rank file here")
+def test_loss_is_counted_from_tokens_and_never_clipped(spark):
+    from refloom.llm.token_ids import encode_text, encoder
+
+    enc = encoder(default_rank_file())
+    times, speech = "1 2 3 4 5 6 7 8 9 10 11 12\n", "extraordinary caf\u00e9\n"
+    n = lambda t: len(encode_text(enc, t))
+    rows = [(1, times + speech), (2, speech * 12), (3, times * 12), (4, (times + speech) * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["tokens"], r["loss_tokens"]) for r in P.demands(docs).collect()}
+    assert got[1] == (n(times) + n(speech), n(speech)) and got[2][0] == got[2][1] and got[3][1] == 0
+    limit = got[2][1] // 2
+    packs = spark.createDataFrame([("m", 4 * limit)], "pack_name string, capacity int")
+    out = P.fill_containers(docs, packs, loss_share=0.25).toPandas()
+    assert (out.groupby("doc_id").loss_tokens.sum() == [got[i][1] for i in (1, 2, 3, 4)]).all()
+    assert out[out.doc_id == 2].container.tolist() == [f"x{4 * limit}-2-0"]
+    shared = out[~out.container.str.startswith(("x", "w"))].groupby("container")
+    assert (shared.loss_tokens.sum() <= limit).all() and (out.groupby("container").tokens.sum() <= 4 * limit).all()
+    assert (out[out.container.str.startswith("x")].container.value_counts() == 1).all()
+
+
+@pytest.mark.skipif(not os.path.exists(default_rank_file()), reason="no rank file here")
+def test_registered_share_binds(spark, sf):
+    from refloom.llm import queries as Q
+    from refloom.runtime import table
+
+    d = P.demands(table(spark, sf, "documents")).selectExpr("sum(loss_tokens) / sum(tokens) AS share").head()
+    assert Q.LOSS_SHARE < d["share"]
