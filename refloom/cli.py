@@ -6,10 +6,13 @@ import argparse
 import os
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+from refloom import schema
 from refloom.plans import workflow
-from refloom.sources import bibtex, discovery, sinks
+from refloom.runtime import cut_lineage
+from refloom.sources import discovery, sinks
+from refloom.sources.journals import read_journals
 
 
 def parser() -> argparse.ArgumentParser:
@@ -20,6 +23,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--yes", "-y", action="store_true", help="don't ask")
     p.add_argument("--preserve-keys", action="store_true")
     p.add_argument("--no-enrich", action="store_true")
+    p.add_argument("--journals", nargs="*", default=(), metavar="CSV", help="lists of full and short journal names, later ones first; other names are shortened word by word")
+    p.add_argument("--metadata", metavar="TABLE", help="JSON lines or Parquet with columns doi and fields")
+    p.add_argument("--broad-citations", action="store_true", help="stars, optional arguments and capitals count as citations too")
     return p
 
 
@@ -27,30 +33,43 @@ def main(argv: list[str] | None = None) -> int:
     """0 if all is well, 1 if validation failed or there was nothing to do."""
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName("refloom").getOrCreate()
-    listing = discovery.list_files(spark, os.path.abspath(a.root))
+    # Read once: the files are written over later.
+    listing = cut_lineage(discovery.list_files(spark, os.path.abspath(a.root)))
     bibs, tex = discovery.bib_files(listing), discovery.tex_files(listing)
     tex = tex.withColumn("content", tex["content"].cast("string"))
     if bibs.isEmpty():
         print("no bib files")
         return 1
+    strict = not a.broad_citations
     if a.action == "validate":
-        return _show(workflow.validate(bibs, tex))
+        return _show(workflow.validate(bibs, tex, strict))
     if not a.yes and input("Files will be rewritten. Go on? [y/N] ").strip().lower() not in ("y", "yes"):
         return 1
     if a.action == "polish":
-        _show(workflow.validate(bibs, tex))
-    done = workflow.curate(bibs, tex, preserve_keys=a.preserve_keys, enrich=not (a.no_enrich or os.environ.get("REFLOOM_NO_ENRICH")))
-    new_bibs, new_tex = bibtex.file_texts(done.entries).persist(), done.tex.persist()
-    new_bibs.count(), new_tex.count()  # all is computed before a file is touched
+        _show(workflow.validate(bibs, tex, strict))
+    journals = read_journals(spark, *a.journals) if a.journals else spark.createDataFrame([], schema.JOURNALS)
+    enrich = not (a.no_enrich or os.environ.get("REFLOOM_NO_ENRICH"))
+    metadata = _metadata(spark, a.metadata) if a.metadata and enrich else None
+    done = workflow.curate(bibs, tex, journals=journals, metadata=metadata, preserve_keys=a.preserve_keys, enrich=enrich, strict=strict)
+    # All is computed before a file is touched.
+    new_bibs, new_tex = cut_lineage(done.texts()), cut_lineage(done.tex)
+    for r in done.warnings.toLocalIterator():
+        print(r["message"])
     if not a.no_backup:
-        sinks.create_backup(a.root)
-    sinks.write_files(new_bibs, a.root)
+        sinks.create_backup(listing, a.root).count()
+    sinks.write_files(sinks.changed_files(bibs, new_bibs), a.root)
     sinks.write_files(sinks.changed_files(tex, new_tex), a.root)
     if a.action == "polish":
-        _show(workflow.validate(new_bibs, new_tex))
+        _show(workflow.validate(new_bibs, new_tex, strict))
     return 0
 
 
+def _metadata(spark: SparkSession, path: str) -> DataFrame:
+    if path.endswith(".parquet"):
+        return spark.read.parquet(path)
+    return spark.read.schema("doi string, fields map<string,string>").json(path)
+
+
 def _show(result) -> int:
     found, verdict, summary = result
     for r in found.toLocalIterator():

@@ -10,7 +10,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +46,13 @@ def normalize_unicode(c: Column | str) -> Column:
     return _nfc(present(c))
 
 
+def with_nfc(df: DataFrame, source: str, target: str) -> DataFrame:
+    """``df`` with N1 of a column. ASCII values, nearly all of them, cross into Python as NULL and are taken as they are."""
+    own = present(F.col(source))
+    plain = own.rlike(r"^[\x00-\x7F]*$")
+    return df.withColumn(target, F.coalesce(F.when(plain, own), _nfc(F.when(~plain, own))))
+
+
 def normalize_doi(c: Column | str) -> Column:
     """Stripped, lower-cased DOI without the three known prefixes, removed in turn.
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refloom.functions.normalize import _nfc, present, strip
+from refloom.functions.normalize import present, strip, with_nfc
 from refloom.operators.skew import join_even
 from refloom.sources.discovery import corresponding_bib
 
@@ -19,11 +20,9 @@ BROAD_CITE = r"\\[A-Za-z]*[Cc]ite[a-zA-Z]*\*?(?:\s*\[[^\]]*\]){0,2}\s*\{([^}]+)\
 COMMENTED = r"@comment\s*\{@\w+\{([^,}]+)"
 
 
-def with_nfc(df: DataFrame, source: str, target: str) -> DataFrame:
-    """``df`` with the NFC form of a column. ASCII keys, nearly all of them, cross into Python as NULL and are taken as they are."""
-    own = present(F.col(source))
-    plain = own.rlike(r"^[\x00-\x7F]*$")
-    return df.withColumn(target, F.coalesce(F.when(plain, own), _nfc(F.when(~plain, own))))
+def pattern_of(strict: bool = True) -> str:
+    """The citation pattern, or the broad one that also sees stars, optional arguments and capitals."""
+    return CITE if strict else BROAD_CITE
 
 
 def citations(tex: DataFrame, pattern: str = CITE) -> DataFrame:
@@ -59,10 +58,14 @@ def commented(cites: DataFrame, wrapped: DataFrame) -> DataFrame:
     return cited_keys(cites).join(wrapped.select("project", "key").distinct(), ["project", "key"], "left_semi").select("project", "file", "key")
 
 
+def target_of(fields: Column) -> Column:
+    """What an entry refers to, under either spelling of the field; NULL for nothing."""
+    return F.coalesce(present(fields["crossref"]), present(fields["Crossref"]))
+
+
 def crossrefs(entries: DataFrame) -> DataFrame:
     """``(project, key, target)``: the entry each entry refers to; of equal keys the last in order of file and position."""
-    target = F.coalesce(present(F.col("fields")["crossref"]), present(F.col("fields")["Crossref"]))
-    rows = entries.where("key IS NOT NULL").select("project", "key", "file", "pos", target.alias("t")).where("t IS NOT NULL")
+    rows = entries.where("key IS NOT NULL").select("project", "key", "file", "pos", target_of(F.col("fields")).alias("t")).where("t IS NOT NULL")
     last = rows.groupBy("project", "key").agg(F.max_by("t", F.struct("file", "pos")).alias("t"))
     return with_nfc(last, "t", "target").select("project", "key", "target")
 
@@ -75,8 +78,7 @@ def missing_crossrefs(entries: DataFrame) -> DataFrame:
 
 def used_keys(entries: DataFrame, cites: DataFrame) -> DataFrame:
     """``(project, key)`` of what is cited or referred to by any entry."""
-    target = F.coalesce(present(F.col("fields")["crossref"]), present(F.col("fields")["Crossref"]))
-    referred = with_nfc(entries.select("project", target.alias("t")).where("t IS NOT NULL"), "t", "key").select("project", "key")
+    referred = with_nfc(entries.select("project", target_of(F.col("fields")).alias("t")).where("t IS NOT NULL"), "t", "key").select("project", "key")
     return cites.where("key IS NOT NULL").select("project", "key").unionByName(referred).distinct()
 
 
@@ -106,19 +108,20 @@ def citation_totals(cites: DataFrame, entries: DataFrame, wrapped: DataFrame) ->
     return out.withColumn("n_valid", F.col("n_cited") - F.col("n_missing") - F.col("n_commented"))
 
 
+def _set_list(keys: list[str], mapping: dict[str, str]) -> str:
+    """The keys of a citation by their new names, each once, as they are set."""
+    return ", ".join(dict.fromkeys(mapping.get(unicodedata.normalize("NFC", k), k) for k in keys if k))
+
+
 def rewrite_text(text: str | None, mapping: dict[str, str], pattern: re.Pattern) -> str | None:
     """A text with its citations' keys mapped, repeated keys of one citation dropped, and lists set with a comma and a blank."""
-    import unicodedata
-
-    if not text or not mapping:
+    if not text:
         return text
-
-    def group(m: re.Match) -> str:
-        keys = [k.strip() for k in m[1].split(",")]
-        new = dict.fromkeys(mapping.get(unicodedata.normalize("NFC", k), k) for k in keys if k)
-        return m[0][: m.start(1) - m.start()] + ", ".join(new) + m[0][m.end(1) - m.start() :]
-
-    return pattern.sub(group, text)
+    out, at = [], 0
+    for m in pattern.finditer(text):
+        out += text[at : m.start(1)], _set_list([k.strip() for k in m[1].split(",")], mapping)
+        at = m.end(1)
+    return "".join(out) + text[at:]
 
 
 def rewrite_citations(tex: DataFrame, key_map: DataFrame, pattern: str = CITE) -> DataFrame:
@@ -127,8 +130,7 @@ def rewrite_citations(tex: DataFrame, key_map: DataFrame, pattern: str = CITE) -
     Only the keys that a file cites travel to it: cites join the map, and each
     file gets its own small map. Files of projects without a map stay as they are.
     """
-    cites = citations(tex, pattern)
-    cited = cites.select("project", "file", "key").distinct().withColumn("k", F.struct("project", "key"))
+    cited = cited_keys(citations(tex, pattern)).withColumn("k", F.struct("project", "key"))
     renamed = key_map.select(F.struct("project", F.col("old_key").alias("key")).alias("k"), "new_key").distinct()
     hits = join_even(cited, cited.groupBy("k").agg(F.count(F.lit(1)).alias("n")).join(renamed, "k"), "k")
     maps = hits.groupBy("project", "file").agg(F.map_from_entries(F.collect_set(F.struct("key", "new_key"))).alias("m"))
@@ -138,9 +140,9 @@ def rewrite_citations(tex: DataFrame, key_map: DataFrame, pattern: str = CITE) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = re.compile(pattern)
         for b in batches:
-            texts, maps_, has = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("content", "m", "has_map"))
-            out = [rewrite_text(t, dict(m or ()) or {"": ""}, compiled) if h else t for t, m, h in zip(texts, maps_, has)]
             at = b.schema.get_field_index
+            texts, maps_, has = (b.column(at(c)).to_pylist() for c in ("content", "m", "has_map"))
+            out = [rewrite_text(t, dict(m or ()), compiled) if h else t for t, m, h in zip(texts, maps_, has)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(at("project")), b.column(at("file")), pa.array(out, pa.string()), pa.array([a != t for a, t in zip(out, texts)], pa.bool_())], names=["project", "file", "content", "changed"]
             )
@@ -148,16 +150,14 @@ def rewrite_citations(tex: DataFrame, key_map: DataFrame, pattern: str = CITE) -
     return joined.mapInArrow(run, "project string, file string, content string, changed boolean")
 
 
-def compose_maps(steps: list[DataFrame]) -> DataFrame:
-    """One map from several steps ``(project, old_key, new_key)``: what a step renames, the next may rename again."""
-    total = None
+def compose_maps(steps: list[DataFrame], keys: DataFrame) -> DataFrame:
+    """``(project, old_key, new_key)``: where each of the first keys ``(project, key)`` is after all steps ``(project, old_key, new_key)``.
+
+    A step renames what bears its old key just then, so a name that one step
+    gives out and another key had before it can't be mixed up.
+    """
+    total = keys.where("key IS NOT NULL").select("project", F.col("key").alias("old_key"), F.col("key").alias("now")).distinct()
     for step in steps:
-        s = step.select("project", F.col("old_key").alias("o"), F.col("new_key").alias("n"))
-        if total is None:
-            total = s
-            continue
-        t = total.select("project", F.col("o").alias("o0"), F.col("n").alias("o"))
-        on = t.join(s, ["project", "o"], "left").select("project", F.col("o0").alias("o"), F.coalesce("n", "o").alias("n"))
-        new = s.join(total.select("project", F.col("o")).distinct(), ["project", "o"], "left_anti").join(total.select("project", F.col("n").alias("o")).distinct(), ["project", "o"], "left_anti")
-        total = on.unionByName(new)
-    return total.select("project", F.col("o").alias("old_key"), F.col("n").alias("new_key")).where("old_key <> new_key").groupBy("project", "old_key").agg(F.min("new_key").alias("new_key"))
+        s = step.select("project", F.col("old_key").alias("now"), F.col("new_key").alias("then"))
+        total = total.join(s, ["project", "now"], "left").select("project", "old_key", F.coalesce("then", "now").alias("now"))
+    return total.where("old_key <> now").select("project", "old_key", F.col("now").alias("new_key"))

@@ -46,14 +46,15 @@ def duplicate_titles(entries: DataFrame) -> DataFrame:
 
 
 def best_entries(df: DataFrame, by: list[str]) -> DataFrame:
-    """``(by, score, file, pos, key, fields, n_fields, entry_type)`` of the best entry of each group; ties go to the first.
+    """``(by, score, file, pos, key, fields, n_fields, entry_type, n)`` of the best entry of each group of ``n``; ties go to the first.
 
     First the first entry of each score, then the highest score: both are
     aggregates with partial results, so a group of any size shrinks where it lies.
     """
     scored = df.withColumn("score", entry_score("fields", "n_fields"))
-    firsts = scored.groupBy(*by, "score").agg(F.min_by(F.struct("score", "file", "pos", "key", "fields", "n_fields", "entry_type"), F.struct("file", "pos")).alias("b"))
-    return firsts.groupBy(*by).agg(F.max_by("b", "score").alias("b")).select(*by, "b.*")
+    first = F.min_by(F.struct("score", "file", "pos", "key", "fields", "n_fields", "entry_type"), F.struct("file", "pos"))
+    firsts = scored.groupBy(*by, "score").agg(first.alias("b"), F.count(F.lit(1)).alias("c"))
+    return firsts.groupBy(*by).agg(F.max_by("b", "score").alias("b"), F.sum("c").alias("n")).select(*by, "b.*", "n")
 
 
 def best_keys(df: DataFrame, by: list[str]) -> DataFrame:
@@ -64,10 +65,8 @@ def best_keys(df: DataFrame, by: list[str]) -> DataFrame:
 
 def synchronize(entries: DataFrame) -> DataFrame:
     """Every entry of a key that occurs twice gets the best entry's type and fields; no row goes."""
-    groups = duplicate_keys(entries).withColumn("k", F.struct("project", "key"))
     rows = live(entries).where("key IS NOT NULL").withColumn("k", F.struct("project", "key"))
-    members = join_even(rows, groups.select("k", "n"), "k", how="left_semi")
-    best = best_entries(members, ["k"]).join(groups.select("k", "n"), "k").select("k", "n", F.struct("entry_type", "fields", "n_fields").alias("best"))
+    best = best_entries(rows, ["k"]).where("n > 1").select("k", "n", F.struct("entry_type", "fields", "n_fields").alias("best"))
     out = join_even(rows, best, "k", how="left")
     take = lambda c: F.coalesce(F.col("best")[c], F.col(c)).alias(c)
     columns = [take(c) if c in ("entry_type", "fields", "n_fields") else F.col(c) for c in entries.columns]
@@ -76,22 +75,21 @@ def synchronize(entries: DataFrame) -> DataFrame:
 
 
 def _consolidate(entries: DataFrame, grouped: DataFrame, by: str, groups: DataFrame, own_key: bool) -> tuple[DataFrame, DataFrame]:
-    sizes = groups.select(F.struct("project", by).alias("g"), "n")
-    members = join_even(grouped.withColumn("g", F.struct("project", by)), sizes, "g", how="left_semi")
-    best = best_entries(members, ["g"]).withColumnRenamed("key", "entry_key")
-    chosen = best.withColumn("best_key", F.col("entry_key")) if own_key else best.join(best_keys(members, ["g"]), "g", "left")
-    chosen = chosen.join(sizes, "g").select("g", "n", "best_key", F.struct("entry_type", "fields", "n_fields").alias("best"))
+    grouped = grouped.withColumn("g", F.struct("project", by))
+    best = best_entries(grouped, ["g"]).join(groups.select(F.struct("project", by).alias("g")), "g").withColumnRenamed("key", "best_key")
+    chosen = best if own_key else best.drop("best_key").join(best_keys(grouped, ["g"]), "g", "left")
     # One member stands for the group: the first that bears the best key.
-    slim = members.select("g", "file", "pos", "key")
-    bearers = join_even(slim, chosen.select("g", "n", "best_key"), "g").where("key = best_key")
-    stand = bearers.groupBy("g").agg(F.min(F.struct("file", "pos")).alias("at"))
-    roles = join_even(slim, chosen.join(stand, "g"), "g").select(
-        F.col("g.project").alias("project"), "file", "pos", "key", "best_key", "best", (F.struct("file", "pos") == F.col("at")).alias("stands")
+    bearers = grouped.where("key IS NOT NULL").groupBy("g", F.col("key").alias("best_key")).agg(F.min(F.struct("file", "pos")).alias("at"))
+    chosen = chosen.join(bearers, ["g", "best_key"]).select("g", "n", "best_key", "at", F.struct("entry_type", "fields", "n_fields").alias("best"))
+    roles = join_even(grouped.select("g", "file", "pos", "key"), chosen.drop("best"), "g").select(
+        F.col("g.project").alias("project"), "g", "file", "pos", "key", "best_key", (F.struct("file", "pos") == F.col("at")).alias("stands")
     )
     # An entry is in one group at most, as it has one DOI and one title; rows that repeat an entry share its role.
-    role = roles.groupBy("project", "file", "pos").agg(F.first("best").alias("best"), F.max("stands").alias("stands"))
-    marked = entries.join(role, ["project", "file", "pos"], "left")
-    kept = marked.where("stands IS NULL OR stands OR is_commented")
+    role = roles.groupBy("project", "file", "pos").agg(F.max("stands").alias("stands"))
+    kept = entries.join(role, ["project", "file", "pos"], "left").where("stands IS NULL OR stands OR is_commented")
+    # The best content goes to the rows that stand, and to no others.
+    content = chosen.select(F.col("g.project").alias("project"), "at.file", "at.pos", "best")
+    kept = kept.join(content, ["project", "file", "pos"], "left")
     take = lambda c: F.coalesce(F.col("best")[c], F.col(c)).alias(c)
     columns = [take(c) if c in ("entry_type", "fields", "n_fields") else F.col(c) for c in entries.columns]
     key_map = roles.where("key IS NOT NULL AND key <> best_key").select("project", F.col("key").alias("old_key"), F.col("best_key").alias("new_key"))

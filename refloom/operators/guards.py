@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refloom.functions.normalize import lookup, normalize_doi, present
+from refloom.operators.skew import join_even
 
 
 def _doi(df: DataFrame, name: str) -> DataFrame:
@@ -47,8 +48,12 @@ def enrich(entries: DataFrame, metadata: DataFrame | None) -> DataFrame:
     """
     if metadata is None:
         return entries
-    known = metadata.select(normalize_doi("doi").alias("_doi"), F.col("fields").alias("_more")).where("_doi <> ''").groupBy("_doi").agg(F.first("_more").alias("_more"))
-    j = entries.withColumn("_doi", normalize_doi(lookup("fields", "doi", "DOI", "Doi"))).join(known, "_doi", "left")
+    known = metadata.select(normalize_doi("doi").alias("_doi"), F.col("fields").alias("_more")).where("_doi <> ''").groupBy("_doi").agg(F.min_by("_more", F.to_json("_more")).alias("_more"))
+    marked = entries.withColumn("_doi", F.nullif(normalize_doi(lookup("fields", "doi", "DOI", "Doi")), F.lit("")))
+    # Entries without a DOI don't take part in the join, and a common DOI is met where its entries lie.
+    named, bare = marked.where("_doi IS NOT NULL"), marked.where("_doi IS NULL")
+    sizes = named.groupBy("_doi").agg(F.count(F.lit(1)).alias("_n")).join(known, "_doi")
+    j = join_even(named, sizes, "_doi", count="_n", how="left").unionByName(bare.withColumn("_more", F.lit(None).cast(sizes.schema["_more"].dataType)))
     own = F.map_filter("fields", lambda _, v: present(v).isNotNull())
     more = F.map_filter("_more", lambda k, _: ~F.array_contains(F.map_keys(own), k))
     merged = F.when(F.col("_more").isNull() | F.col("fields").isNull(), F.col("fields")).otherwise(F.map_concat(own, more))

@@ -1,90 +1,121 @@
-"""Stable citation keys for entries."""
+"""Stable citation keys for entries.
+
+Keys are given out by one routine: the distinct old keys of a wanted name are
+numbered, the first takes the name itself, the others the name and their number.
+A name that two of them would get, or that is cited without an entry, is told
+apart by a digest of the old key. Old keys that differ never end up alike.
+"""
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import count
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from refloom.functions.keys import citation_key, sanitized
 from refloom.functions.normalize import present
-from refloom.operators.citations import with_nfc
 from refloom.operators.skew import join_even
 
+PLACE = ["project", "file", "pos"]
 
-def sanitize(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entries with clean keys and the map ``(project, old_key, new_key)`` of those that changed."""
-    new = F.when(F.col("key_raw").isNotNull(), sanitized(F.col("key_raw")))
-    step = entries.withColumn("_new", new)
-    key_map = step.where("key IS NOT NULL AND _new <> key_raw").select("project", F.col("key").alias("old_key"), F.col("_new").alias("new_key")).distinct()
-    out = with_nfc(step.withColumn("key_raw", F.coalesce("_new", "key_raw")).drop("key"), "key_raw", "key")
+
+def allocate(rows: DataFrame, reserved: DataFrame | None = None) -> DataFrame:
+    """``(project, file, pos, new_key)`` for rows ``(project, file, pos, key, base)``; copies of one key and base share their name.
+
+    Numbers follow file and position; an old key that is the base itself comes
+    first. They are counted over files in two levels, so no base, however common,
+    makes one task order all its rows. ``reserved`` holds ``(project, key)`` that nothing may be named.
+    """
+    rows = rows.select(*PLACE, "key", "base").distinct()
+    old = rows.groupBy("project", "base", "key").agg(F.min(F.struct("file", "pos")).alias("at"), F.count(F.lit(1)).alias("rows"))
+    # The empty file name sorts first, so an old key that is the base itself does.
+    old = old.withColumn("file", F.when(F.col("key") == F.col("base"), "").otherwise(F.col("at.file"))).withColumn("pos", F.col("at.pos"))
+    per_file = old.groupBy("project", "base", "file").agg(F.count(F.lit(1)).alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("project", "base").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    n = F.row_number().over(Window.partitionBy("project", "base", "file").orderBy("pos", "key"))
+    numbered = old.withColumn("n", n).join(per_file.withColumn("before", before).drop("c"), ["project", "base", "file"]).withColumn("n", F.col("n") + F.col("before") - 1)
+    # Behind a digit a number could be read as part of the base.
+    number = F.concat(F.when(F.col("base").rlike("[0-9]$"), "_").otherwise(""), F.col("n").cast("string"))
+    named = numbered.withColumn("name", F.when(F.col("n") == 0, F.col("base")).otherwise(F.concat("base", number)))
+    taken = named.groupBy("project", "name").agg(F.count(F.lit(1)).alias("claims"))
+    if reserved is not None:
+        held = reserved.select("project", F.col("key").alias("name")).distinct().withColumn("held", F.lit(True))
+        taken = taken.join(held, ["project", "name"], "left")
+    else:
+        taken = taken.withColumn("held", F.lit(None).cast("boolean"))
+    taken = taken.where("claims > 1 OR held")
+    named = named.join(taken, ["project", "name"], "left")
+    stays = F.col("key") == F.col("base")
+    apart = ~stays & (F.col("held").isNotNull() | ((F.col("n") > 0) & (F.coalesce("claims", F.lit(0)) > 1)))
+    new = F.when(apart, F.concat("base", F.lit("_"), F.substring(F.md5("key"), 1, 8))).otherwise(F.col("name"))
+    keyed = named.select(F.struct("project", "base", "key").alias("k"), F.col("rows").alias("n"), new.alias("new_key"))
+    return join_even(rows.withColumn("k", F.struct("project", "base", "key")), keyed, "k").select(*PLACE, "new_key")
+
+
+def renamed(entries: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries with the keys of ``(project, file, pos, new_key)``, and the map ``(project, old_key, new_key)`` of those that changed.
+
+    An old key that several entries bear maps to the last of their new keys in order of file and position.
+    """
+    step = entries.join(names, PLACE, "left")
+    key_map = step.where("new_key IS NOT NULL AND new_key <> key").groupBy("project", F.col("key").alias("old_key")).agg(F.max_by("new_key", F.struct("file", "pos")).alias("new_key"))
+    out = step.withColumns({"key_raw": F.coalesce("new_key", "key_raw"), "key": F.coalesce("new_key", "key")})
     return out.select(entries.columns), key_map
 
 
-def _allocate(pdf: pd.DataFrame) -> pd.DataFrame:
-    used: set[str] = set()
-    out = []
-    for key, base in zip(pdf["key"], pdf["base"]):
-        if not base or base == key:
-            used.add(key)
-            out.append(key)
-            continue
-        new, i = base, 1
-        while new in used:
-            new, i = f"{base}{i}", i + 1
-        used.add(new)
-        out.append(new)
-    return pdf.assign(new_key=out)[["project", "file", "pos", "new_key"]]
+def _wanted(entries: DataFrame, base: Column) -> DataFrame:
+    return entries.where("key IS NOT NULL").select(*PLACE, "key", base.alias("base"))
 
 
-def standardized_by_file(entries: DataFrame) -> DataFrame:
+def sanitized_keys(entries: DataFrame, reserved: DataFrame | None = None) -> DataFrame:
+    """``(project, file, pos, new_key)``: keys without characters that citations can't hold; two old keys never merge."""
+    return allocate(_wanted(entries, sanitized(F.col("key"))), reserved)
+
+
+def sanitize(entries: DataFrame, reserved: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Entries with clean keys and the map ``(project, old_key, new_key)`` of those that changed."""
+    return renamed(entries, sanitized_keys(entries, reserved))
+
+
+def _in_turn(keys: Iterator[str], bases: Iterator[str]) -> Iterator[str]:
+    """A name for each key of a file in turn; every base has a counter of its own, so no number is tried twice."""
+    numbers: dict[str, count] = defaultdict(count)
+    given: set[str] = set()
+    for key, base in zip(keys, bases):
+        own = not base or base == key
+        names = (key,) if own else (f"{base}{n or ''}" for n in numbers[base])
+        name = next(x for x in names if own or x not in given)
+        given.add(name)
+        yield name
+
+
+def standardized_by_file(entries: DataFrame, base: Column | None = None) -> DataFrame:
     """D6 as in the original: ``(project, file, pos, new_key)``, keys being unique within what precedes them in their file.
 
     Sequential by definition; a file's keys meet in one task, as they did when the file was parsed.
     """
-    rows = entries.where("key IS NOT NULL").select("project", "file", "pos", "key", citation_key(F.col("fields")).alias("base"))
+    rows = _wanted(entries, citation_key(F.col("fields")) if base is None else base).distinct()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _allocate(pdf.sort_values("pos", ignore_index=True))
+        pdf = pdf.sort_values("pos", ignore_index=True)
+        return pdf.assign(new_key=list(_in_turn(pdf["key"], pdf["base"])))[[*PLACE, "new_key"]]
 
     return rows.groupBy("project", "file").applyInPandas(run, "project string, file string, pos int, new_key string")
 
 
-def standardized(entries: DataFrame) -> DataFrame:
+def standardized(entries: DataFrame, reserved: DataFrame | None = None, base: Column | None = None) -> DataFrame:
     """D6 for whole projects: ``(project, file, pos, new_key)``, no two entries of different old keys in a project alike.
 
-    The n-th old key of a base gets n as suffix, counted over files in two levels, so
-    no base, however common, makes one task order all its rows. A key that equals
-    another base gets its suffix behind an underscore, which no base holds.
+    ``base`` is the wanted key, by default the one generated from the fields; a blank one leaves the old key.
     """
-    rows = entries.where("key IS NOT NULL").select("project", "file", "pos", "key", citation_key(F.col("fields")).alias("base"))
-    rows = rows.withColumn("base", F.coalesce(present("base"), F.col("key")))
-    # Copies of one key and base share their new key, so citations stay unambiguous.
-    distinct = rows.groupBy("project", "base", "key").agg(F.min(F.struct("file", "pos")).alias("at"), F.count(F.lit(1)).alias("rows"))
-    distinct = distinct.select("project", "base", "key", "rows", F.col("at.file").alias("file"), F.col("at.pos").alias("pos"))
-    per_file = distinct.groupBy("project", "base", "file").agg(F.count(F.lit(1)).alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.partitionBy("project", "base").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = per_file.withColumn("before", before).drop("c")
-    n = F.row_number().over(Window.partitionBy("project", "base", "file").orderBy("pos", "key"))
-    numbered = distinct.withColumn("n", n).join(offsets, ["project", "base", "file"]).withColumn("n", F.col("n") + F.col("before") - 1)
-    plain = F.when(F.col("n") == 0, F.col("base")).otherwise(F.concat("base", F.col("n").cast("string")))
-    taken = distinct.select("project", F.col("base").alias("candidate")).distinct().withColumn("clash", F.lit(True))
-    named = numbered.withColumn("candidate", plain).join(taken, ["project", "candidate"], "left")
-    # Behind a digit a number could be read as part of the base, so there the underscore is always set.
-    apart = F.coalesce("clash", F.lit(False)) | F.col("base").rlike("[0-9]$")
-    new = F.when((F.col("n") > 0) & apart, F.concat("base", F.lit("_"), F.col("n").cast("string"))).otherwise(F.col("candidate"))
-    keyed = named.select(F.struct("project", "base", "key").alias("k"), F.col("rows").alias("n"), new.alias("new_key"))
-    return join_even(rows.withColumn("k", F.struct("project", "base", "key")), keyed, "k").select("project", "file", "pos", "new_key")
+    base = citation_key(F.col("fields")) if base is None else base
+    return allocate(_wanted(entries, F.coalesce(present(base), F.col("key"))), reserved)
 
 
-def standardize(entries: DataFrame, parity: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Entries with generated keys, and the map ``(project, old_key, new_key)``; ``parity`` allocates file by file.
-
-    An old key that several entries bear maps to the last of their new keys in order of file and position.
-    """
-    new = standardized_by_file(entries) if parity else standardized(entries)
-    step = entries.join(new, ["project", "file", "pos"], "left")
-    changed = step.where("new_key IS NOT NULL AND new_key <> key")
-    key_map = changed.groupBy("project", F.col("key").alias("old_key")).agg(F.max_by("new_key", F.struct("file", "pos")).alias("new_key"))
-    out = step.withColumns({"key_raw": F.coalesce("new_key", "key_raw"), "key": F.coalesce("new_key", "key")})
-    return out.select(entries.columns), key_map
+def standardize(entries: DataFrame, parity: bool = False, reserved: DataFrame | None = None, base: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Entries with generated keys, and the map ``(project, old_key, new_key)``; ``parity`` allocates file by file."""
+    return renamed(entries, standardized_by_file(entries, base) if parity else standardized(entries, reserved, base))

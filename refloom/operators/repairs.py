@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from refloom.functions import repair as R
-from refloom.functions.normalize import _nfc, present
-from refloom.sources.bibtex import parse_files
+from refloom.functions.latex import decode as latex_decode
+from refloom.functions.normalize import present
+from refloom.sources.bibtex import parse_blocks
 
 
 def walk_fields(entries: DataFrame) -> DataFrame:
@@ -122,32 +124,33 @@ def uncomment(entries: DataFrame, decode: bool = False) -> DataFrame:
 
     With ``decode`` LaTeX accents and escapes in values become plain characters, as in ``parse_files``.
     """
-    rows = entries.where("is_commented").select("project", "file", "pos", "raw")
+    return opened(entries.where("is_commented"), decode).where("changed = 1").select("project", "file", "pos", "entry_type", "key_raw", "fields", "raw")
+
+
+def opened(commented: DataFrame, decode: bool) -> DataFrame:
+    """Commented entries, the readable ones as entries; ``changed`` is 1 for these. Rows change where they lie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([R.repair_commented(r) for r in b.column(3).to_pylist()], pa.string())], names=b.schema.names)
-
-    fixed = rows.mapInArrow(run, rows.schema).where("raw IS NOT NULL")
-    # The position stands in for the file's name while parsing, and comes back after it.
-    tagged = fixed.select("project", F.concat_ws("\n", "file", F.col("pos").cast("string")).alias("file"), F.col("raw").alias("content"))
-    parsed = parse_files(tagged, decode).where("kind = 'entry' AND error IS NULL AND pos = 0")
-    return parsed.select("project", F.split("file", "\n")[0].alias("file"), F.split("file", "\n")[1].cast("int").alias("pos"), "entry_type", "key_raw", "fields", "raw")
+            rows = b.to_pylist(maps_as_pydicts="strict")
+            for r in rows:
+                text = R.repair_commented(r["raw"])
+                first = next(parse_blocks(text), None) if text else None
+                r["changed"] = int(bool(first) and first["kind"] == "entry" and not first["error"])
+                if r["changed"]:
+                    fields = {k: latex_decode(v) for k, v in first["fields"].items()} if decode else first["fields"]
+                    key = unicodedata.normalize("NFC", first["key_raw"]) or None
+                    r |= {"entry_type": first["entry_type"], "key_raw": first["key_raw"], "key": key, "fields": fields, "n_fields": len(fields) + 2, "is_commented": False, "raw": text}
+                r["fields"] = r["fields"] and list(r["fields"].items())
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([*b.schema, pa.field("changed", pa.int32())]))
+
+    # The batch schema follows the rows', so other columns travel along.
+    return commented.mapInArrow(run, T.StructType([*commented.schema.fields, T.StructField("changed", T.IntegerType())]))
 
 
 def with_uncommented(entries: DataFrame, decode: bool = False) -> DataFrame:
-    """Entries with the readable commented ones in their own places; ``changed`` is 1 for these."""
-    u = uncomment(entries, decode).select("project", "file", "pos", F.struct("entry_type", "key_raw", "fields", "raw").alias("u"))
-    j = entries.join(u, ["project", "file", "pos"], "left")
-    own = F.col("u").isNotNull()
-    take = lambda c: F.when(own, F.col("u")[c]).otherwise(F.col(c)).alias(c)
-    columns = {
-        "entry_type": take("entry_type"), "key_raw": take("key_raw"), "fields": take("fields"), "raw": take("raw"),
-        "key": F.when(own, _nfc(present(F.col("u.key_raw")))).otherwise(F.col("key")).alias("key"),
-        "n_fields": F.when(own, F.size("u.fields") + 2).otherwise(F.col("n_fields")).alias("n_fields"),
-        "is_commented": (F.col("is_commented") & ~own).alias("is_commented"),
-    }
-    return j.select(*[columns.get(c, F.col(c)) for c in entries.columns], own.cast("int").alias("changed"))
+    """Entries with the readable commented ones in their own places; ``changed`` is 1 for these. Nothing is shuffled for it."""
+    return entries.where("NOT is_commented").withColumn("changed", F.lit(0)).unionByName(opened(entries.where("is_commented"), decode))
 
 
 def count_changes(df: DataFrame) -> DataFrame:

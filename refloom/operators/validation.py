@@ -38,8 +38,8 @@ def percent_lines(files: DataFrame) -> DataFrame:
 
 
 def syntax_errors(blocks: DataFrame) -> DataFrame:
-    """``(project, file, pos, error)`` of blocks that can't be read."""
-    return blocks.where("error IS NOT NULL").select("project", "file", "pos", "error")
+    """``(project, file, pos, error)`` of blocks that can't be read; ``pos`` counts the entries before it. Comments that never close are errors too."""
+    return blocks.where("error IS NOT NULL").select("project", "file", F.col("at").alias("pos"), "error")
 
 
 def malformed_authors(entries: DataFrame) -> DataFrame:

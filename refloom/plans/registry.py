@@ -5,11 +5,13 @@ Each query runs over its whole tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from refloom import schema
 from refloom.functions import keys as key_functions
 from refloom.functions import normalize as N
 from refloom.functions import repair as R
@@ -21,7 +23,7 @@ from refloom.operators import packed_fields
 from refloom.operators import repairs
 from refloom.operators import validation as V
 from refloom.plans import workflow
-from refloom.runtime import table
+from refloom.runtime import cut_lineage, ensure_checkpoint_dir, table
 from refloom.sources import bibtex, discovery, journals, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,9 +102,10 @@ def n1(spark: SparkSession, sf: str) -> DataFrame:
     return _values(sf, spark, "title").select("entry_id", N.normalize_unicode("v").alias("nfc"))
 
 
-@query("n2_doi", f"SELECT entry_id, {_doi('v')} AS doi FROM ({_field('doi')})")
+@query("n2_doi", f"SELECT entry_id, {_doi(_ANY_DOI)} AS doi FROM entries WHERE {_ANY_DOI} IS NOT NULL")
 def n2(spark: SparkSession, sf: str) -> DataFrame:
-    return _values(sf, spark, "doi").select("entry_id", N.normalize_doi("v").alias("doi"))
+    v = N.lookup("fields", "doi", "DOI", "Doi")
+    return table(spark, sf, "entries").where(v.isNotNull()).select("entry_id", N.normalize_doi(v).alias("doi"))
 
 
 @query(
@@ -181,9 +184,16 @@ def s1(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("project", "file", "pos", "entry_type", "key_raw", F.coalesce("n_fields", F.lit(0)).alias("n_fields"), "is_commented", "raw", body.alias("body"))
 
 
+#: Files that begin with a line of their writer's.
+_HEAD = r"regexp_matches(replace(content::VARCHAR, '\x00', ''), '^(\\xEF\\xBB\\xBF|\\xFF\\xFE|\\xFE\\xFF)?%')"
+_UNCLOSED = "length(raw) - length(replace(raw, '{', '')) <> length(raw) - length(replace(raw, '}', ''))"
+
+
 @query(
     "s3_blocks",
-    """SELECT project, file, CASE WHEN is_commented THEN 'commented' ELSE 'entry' END AS kind, count(DISTINCT pos) AS n, 0::BIGINT AS n_errors FROM entries GROUP BY ALL""",
+    f"""SELECT project, file, CASE WHEN is_commented THEN 'commented' ELSE 'entry' END AS kind, count(*) AS n, count(CASE WHEN is_commented AND {_UNCLOSED} THEN 1 END) AS n_errors
+        FROM (SELECT DISTINCT project, file, pos, is_commented, raw FROM entries) GROUP BY ALL
+        UNION ALL SELECT project, file, 'text', 1, 0 FROM bib_files WHERE {_HEAD}""",
 )
 def s3(spark: SparkSession, sf: str) -> DataFrame:
     return bibtex.parse_files(table(spark, sf, "bib_files")).groupBy("project", "file", "kind").agg(F.count(F.lit(1)).alias("n"), F.count("error").alias("n_errors"))
@@ -267,7 +277,7 @@ def j2(spark: SparkSession, sf: str) -> DataFrame:
     return C.commented(table(spark, sf, "citations"), C.commented_keys(_bib_text(spark, sf)))
 
 
-# No entry has a crossref in the given tables, so the url field's number stands in for one: "see entry n of the project's file".
+# No entry has a crossref in the given tables, so one is made from its key.
 def _with_crossref(entries: DataFrame) -> DataFrame:
     other = F.concat(F.regexp_replace("key_raw", "_dup$", ""), F.when(F.col("pos") % 3 == 0, F.lit("")).otherwise(F.lit("x")))
     return entries.withColumn("fields", F.when(F.col("fields").isNotNull(), F.map_concat("fields", F.create_map(F.lit("crossref"), other))))
@@ -316,19 +326,25 @@ def g1(spark: SparkSession, sf: str) -> DataFrame:
     return G.guarded(before, before.withColumn("fields", changed)).select("entry_id", N.lookup("fields", "doi", "DOI", "Doi").alias("doi"))
 
 
-@query("g2_unparsable")
+@query("g2_unparsable", r"SELECT project, file FROM bib_files WHERE starts_with(file, 'sections/') AND contains(content::VARCHAR, '@')")
 def g2(spark: SparkSession, sf: str) -> DataFrame:
-    files = table(spark, sf, "bib_files")
+    """With the braces of all files in the sections folder gone, so that none of these can be read."""
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    files = table(spark, sf, "bib_files").withColumn("content", F.when(F.startswith("file", F.lit("sections/")), F.translate(text, "{}()", "")).otherwise(text).cast("binary"))
     return G.unparsable(files, bibtex.read_entries(files))
 
 
-@query("g3_format_warnings", """
+@query("g3_format_warnings", f"""
    SELECT project, 'title_changed' AS "check", file, key, 'title changed: ' || key AS message FROM entries WHERE key IS NOT NULL GROUP BY project, file, key
-   HAVING max(fields['title']) IS DISTINCT FROM max(trim(fields['title']))""")
+   HAVING max(fields['title']) IS DISTINCT FROM max(trim(fields['title']))
+   UNION ALL SELECT project, 'doi_changed', file, key, 'DOI changed: ' || key FROM (
+     SELECT project, file, key, max({_doi(_ANY_DOI)}) AS before, max({_doi("CASE WHEN pos % 7 = 0 THEN " + _ANY_DOI + " || 'x' ELSE " + _ANY_DOI + " END")}) AS after FROM entries WHERE key IS NOT NULL GROUP BY project, file, key)
+   WHERE before <> '' AND after <> '' AND before <> after""")
 def g3(spark: SparkSession, sf: str) -> DataFrame:
+    """A formatter that trims titles and spoils every seventh DOI."""
     before = table(spark, sf, "entries")
-    after = before.withColumn("fields", F.transform_values("fields", lambda k, v: F.when(k == "title", F.trim(v)).otherwise(v)))
-    return G.format_warnings(before, after)
+    value = lambda k, v: F.when(k == "title", F.trim(v)).when((F.lower(k) == "doi") & (v != "") & (F.col("pos") % 7 == 0), F.concat(v, F.lit("x"))).otherwise(v)
+    return G.format_warnings(before, before.withColumn("fields", F.transform_values("fields", value)))
 
 
 @query("j9_correspondence", f"SELECT project, bool_and(bib IS NOT NULL) AS ok FROM ({_CORRESPONDING}) GROUP BY project")
@@ -339,43 +355,102 @@ def j9(spark: SparkSession, sf: str) -> DataFrame:
 # Repairs (F1-F12) ----------------------------------------------------------------------
 
 
-@query("f1_f2_files")
+#: Bytes as the oracle writes them: what isn't printable ASCII as \xNN, the backslash too.
+_SEQ = r"\\x(?:C[2-9A-F]|D[0-9A-F])\\x[89AB][0-9A-F]|\\xE0\\x[AB][0-9A-F]\\x[89AB][0-9A-F]|\\x(?:E[1-9A-CEF])(?:\\x[89AB][0-9A-F]){2}|\\xED\\x[89][0-9A-F]\\x[89AB][0-9A-F]|\\xF0\\x[9AB][0-9A-F](?:\\x[89AB][0-9A-F]){2}|\\xF[123](?:\\x[89AB][0-9A-F]){3}|\\xF4\\x8[0-9A-F](?:\\x[89AB][0-9A-F]){2}"
+_VALID = rf"replace(decode(regexp_replace(content::VARCHAR, '({_SEQ})|\\x[89A-F][0-9A-F]', '\1', 'g')::BLOB), chr(65533), '')"
+_F1 = "t"
+for _o, _n in (("chr(776)", "'\"'"), ("chr(769)", r"'\'''"), ("'ś'", r"'\''{s}'"), ("'ł'", r"'\l{}'")):
+    _F1 = rf"replace({_F1}, '\\' || {_o}, {_n})"
+_F2 = rf"array_to_string(list_transform(string_split({_F1}, chr(10)), lambda x: CASE WHEN starts_with({_STRIP % 'x'}, '%') THEN x ELSE regexp_replace(replace(x, chr(9472), '--'), '(\p{{L}})\x{{301}}', '\\''{{\1}}', 'g') END), chr(10))"
+
+
+@query("f1_f2_files", f"SELECT project, file, f AS content, f <> t AS changed FROM (SELECT *, {_F2} AS f FROM (SELECT project, file, {_VALID} AS t FROM bib_files))")
 def f1(spark: SparkSession, sf: str) -> DataFrame:
     return repairs.fix_files(table(spark, sf, "bib_files"))
 
 
-def _repair(name: str, field: str, sql: str, f) -> None:
-    @query(name, f"SELECT entry_id, {sql} AS value FROM ({_field(field)})")
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        return _values(sf, spark, field).select("entry_id", f(F.col("v")).alias("value"))
+def _body(df: DataFrame) -> DataFrame:
+    """``(entry_id, key_raw, entry_type, body, changed)``: all fields in order of name as one text."""
+    pairs = F.array_sort(F.transform(F.map_entries("fields"), lambda x: F.concat_ws("=", x["key"], x["value"])))
+    return df.select("entry_id", "key_raw", "entry_type", F.array_join(pairs, "|").alias("body"), "changed")
+
+
+def _body_sql(value: str, where: str = "true", also: str = "") -> str:
+    """The oracle's ``_body`` with ``value``, an expression of x, for each value whose field name k meets a condition."""
+    new = f"CASE WHEN {where} THEN {value.replace('@x', 'e.value')} ELSE e.value END".replace("@k", "e.key")
+    n = f"len(list_filter(map_entries(fields), lambda e: ({new}) <> e.value))"
+    keys = f"{value.replace('@x', 'key_raw')} AS key_raw, {value.replace('@x', 'entry_type')} AS entry_type" if also else "key_raw, entry_type"
+    more = f" + CASE WHEN ({value.replace('@x', 'key_raw')}) <> key_raw THEN 1 ELSE 0 END + CASE WHEN ({value.replace('@x', 'entry_type')}) <> entry_type THEN 1 ELSE 0 END" if also else ""
+    return f"""SELECT entry_id, {keys}, array_to_string(list_sort(list_transform(map_entries(fields), lambda e: e.key || '=' || {new})), '|') AS body,
+               (CASE WHEN fields IS NULL THEN 0 ELSE {n} END{more})::INT AS changed FROM entries"""
 
 
-_ENT = "v"
-for _old, _new in R.ENTITIES:
-    _ENT = f"replace({_ENT}, '{_old}', '{_new.replace(chr(39), chr(39) * 2)}')"
 # The oracle's patterns have no look-behind: escaped ampersands are set aside first. After the entities none stand.
-_repair("f3_html", "journal", rf"replace(replace(replace({_ENT}, '\&', chr(1)), '&', '\&'), chr(1), '\&')", R.fix_html)
+_HTML = "@x"
+for _o, _n in (("&amp;", r"\&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''")):
+    _HTML = f"replace({_HTML}, '{_o}', '{_n}')"
+_HTML = rf"replace(replace(replace({_HTML}, '\&', chr(1)), '&', '\&'), chr(1), '\&')"
 _PCT = r"regexp_replace(%s, '(^|[^\\])((?:\\\\)*)%%', '\1\2\\%%', 'g')"
-_repair("f4_percent", "title", _PCT % (_PCT % "v"), R.escape_percent)
-_AUTHOR = "v"
-for _o, _n, _g in ((r"([A-Za-z])\\{4,}([a-z]+)", r'\1{\\"u}\2', "g"), (r"\\{4,}", r"\\", "g"), (r",\s*\\+\s*([,}])", r",\1", "g"), (r"([A-Za-z])\s*\\+\s*$", r"\1", "g")):
-    _AUTHOR = f"regexp_replace({_AUTHOR}, '{_o}', '{_n}', '{_g}')"
-for _o, _n in (("\\ν", "\\'{n}"), ("\\μ", "\\'{u}"), ("\\149", "\\'{n}"), *R.AUTHOR_LETTERS.items()):
-    _AUTHOR = f"replace({_AUTHOR}, '{_o}', '{_n.replace(chr(39), chr(39) * 2)}')"
-_repair("f5_author", "author", _AUTHOR, R.fix_author)
-_repair("f8_year", "year", rf"CASE WHEN regexp_matches(regexp_replace({_STRIP % 'v'}, '^[{{}}]+|[{{}}]+$', '', 'g'), '^[0-9]{{4}}[-/]') THEN regexp_replace({_STRIP % 'v'}, '^[{{}}]+|[{{}}]+$', '', 'g')[1:4] ELSE v END", R.fix_year)
-_repair("f9_month", "month", "CASE lower(regexp_replace(" + (_STRIP % "v") + ", '^[{}]+|[{}]+$', '', 'g')) " + " ".join(f"WHEN '{k}' THEN '{n}'" for k, n in R.MONTHS.items()) + " ELSE v END", R.fix_month)
-
-
-_PLAIN = "v"
+_AUTHOR = "@x"
+for _o, _n in ((r"([A-Za-z])\\{4,}([a-z]+)", r'\1{\\"u}\2'), (r"\\{4,}", r"\\"), (r",\s*\\+\s*([,}])", r",\1"), (r"([A-Za-z])\s*\\+\s*$", r"\1")):
+    _AUTHOR = f"regexp_replace({_AUTHOR}, '{_o}', '{_n}', 'g')"
+for _o, _n in ((r"\ν", "n"), (r"\μ", "u"), (r"\149", "n"), ("ń", "n"), ("á", "a"), ("é", "e"), ("í", "i"), ("ó", "o"), ("ú", "u")):
+    _AUTHOR = rf"replace({_AUTHOR}, '{_o}', '\''{{{_n}}}')"
+for _o, _n in (("ü", r"\"{u}"), ("ö", r"\"{o}"), ("ł", r"\l{}"), ("ć", r"\''{c}"), ("ś", r"\''{s}"), ("ź", r"\''{z}"), ("ą", r"\''{a}"), ("ę", r"\''{e}")):
+    _AUTHOR = f"replace({_AUTHOR}, '{_o}', '{_n}')"
+
+
+@query("f3_html", _body_sql(_HTML))
+def f3(spark: SparkSession, sf: str) -> DataFrame:
+    return _body(repairs.fix_html(table(spark, sf, "entries")))
+
+
+@query("f4_percent", _body_sql(_PCT % (_PCT % "@x"), also="ID and type"))
+def f4(spark: SparkSession, sf: str) -> DataFrame:
+    return _body(repairs.fix_percent(table(spark, sf, "entries")))
+
+
+@query("f5_author", _body_sql(_AUTHOR, "@k = 'author'"))
+def f5(spark: SparkSession, sf: str) -> DataFrame:
+    return _body(repairs.fix_authors(table(spark, sf, "entries")))
+
+
+_PLAIN = "@x"
 for _cmd in (r"\\['\x22`^~=]\{([^}]+)\}", r"\\.\{([^}]+)\}"):
     _PLAIN = "regexp_replace(" + _PLAIN + ", '" + _cmd.replace("'", "''") + "', '\\1', 'g')"
 _PLAIN = f"nfc_normalize(strip_accents({_PLAIN}))"
 
 
-@query("f6_accents", "SELECT entry_id, " + ", ".join(_PLAIN.replace("(v,", f"(fields['{x}'],") + f" AS {x}" for x in ("author", "title")) + " FROM entries")
+@query("f6_accents", _body_sql(_PLAIN, "@k IN ('author', 'editor', 'translator', 'title', 'booktitle', 'journal')"))
 def f6(spark: SparkSession, sf: str) -> DataFrame:
-    return repairs.remove_accents(table(spark, sf, "entries")).select("entry_id", F.col("fields")["author"].alias("author"), F.col("fields")["title"].alias("title"))
+    return _body(repairs.remove_accents(table(spark, sf, "entries")))
+
+
+def _spelling_sql(names: tuple[str, ...], value: str) -> str:
+    """The first spelling of a field that an entry has, mapped by an expression of @x; blank values stay."""
+    first = "CASE " + " ".join(f"WHEN fields['{n}'] IS NOT NULL THEN '{n}'" for n in names) + " END"
+    inner = _body_sql(f"CASE WHEN @x = '' THEN @x ELSE {value} END", "@k = spelling")
+    return inner.replace("FROM entries", f"FROM (SELECT *, {first} AS spelling FROM entries)")
+
+
+_UNBRACED = f"regexp_replace({_STRIP % '@x'}, '^[{{}}]+|[{{}}]+$', '', 'g')"
+_MONTH_SQL = f"coalesce(CASE lower({_UNBRACED}) " + " ".join(
+    f"WHEN '{w}' THEN '{n}'"
+    for n, ws in {
+        1: "jan january", 2: "feb february", 3: "mar march", 4: "apr april", 5: "may", 6: "jun june", 7: "jul july", 8: "aug august", 9: "sep sept september",
+        10: "oct october", 11: "nov november", 12: "dec december",
+    }.items() for w in ws.split()
+) + " END, @x)"
+
+
+@query("f8_year", _spelling_sql(("year", "Year", "YEAR"), f"CASE WHEN regexp_matches({_UNBRACED}, '^[0-9]{{4}}[-/]') THEN {_UNBRACED}[1:4] ELSE @x END"))
+def f8(spark: SparkSession, sf: str) -> DataFrame:
+    return _body(repairs.fix_years(table(spark, sf, "entries")))
+
+
+@query("f9_month", _spelling_sql(("month", "Month", "MONTH"), _MONTH_SQL))
+def f9(spark: SparkSession, sf: str) -> DataFrame:
+    return _body(repairs.fix_months(table(spark, sf, "entries")))
 
 
 @query("f7_abbreviate", f"SELECT project, file, sum(CASE WHEN j.short IS NULL THEN 0 ELSE 1 END)::BIGINT AS fixes FROM entries LEFT JOIN {_LOOKUP} j ON lower(nullif(fields['journal'], '')) = j.name GROUP BY project, file")
@@ -391,7 +466,7 @@ def f10(spark: SparkSession, sf: str) -> DataFrame:
     return repairs.uncomment(table(spark, sf, "entries")).select("project", "file", "pos", "entry_type", "key_raw", F.size("fields").alias("n")).distinct()
 
 
-_DROPPED = ", ".join(f"'{x.lower()}'" for x in ("file", "urldate", "langid", "keywords", "abstract", "Bdsk-Url-1", "Bdsk-Url-2", "note", "annote", "comment", "timestamp", "date-added", "date-modified"))
+_DROPPED = ", ".join(f"'{x.lower()}'" for x in schema.DROPPED_FIELDS)
 
 
 @query("f11_drop_fields", f"SELECT entry_id, len(list_filter(map_keys(fields), lambda k: lower(k) IN ({_DROPPED})))::INT AS changed, (2 + len(list_filter(map_keys(fields), lambda k: lower(k) NOT IN ({_DROPPED}))))::INT AS n_fields FROM {_LIVE}")
@@ -410,6 +485,35 @@ def k1(spark: SparkSession, sf: str) -> DataFrame:
     return j.groupBy("project").agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("n_same"))
 
 
+_EXTRA = "@string{own = {words}}\n@preamble{p}\n@comment{free}\nloose words\n@misc{unreadable title={x}}\n"
+
+
+@query("k2_whole_files", f"""
+   SELECT b.project, b.file, coalesce(e.n_entry, 0) AS n_entry, coalesce(e.n_commented, 0) AS n_commented, 1::BIGINT AS n_string, 1::BIGINT AS n_preamble, 1::BIGINT AS n_comment, CASE WHEN {_HEAD} THEN 2::BIGINT ELSE 1 END AS n_text, 1::BIGINT AS n_unreadable
+   FROM bib_files b LEFT JOIN (SELECT project, file, count(DISTINCT pos) FILTER (WHERE NOT is_commented) AS n_entry, count(DISTINCT pos) FILTER (WHERE is_commented) AS n_commented FROM entries GROUP BY ALL) e USING (project, file)""")
+def k2(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks of every kind put before each file's own, all written and read again."""
+    files = table(spark, sf, "bib_files")
+    own = bibtex.parse_files(files)
+    extra = bibtex.parse_files(files.withColumn("content", F.lit(_EXTRA).cast("binary")))
+    back = bibtex.parse_files(bibtex.file_texts(bibtex.entries(own), bibtex.others(own).unionByName(bibtex.others(extra)), files))
+    n = lambda name, condition: F.count_if(F.expr(condition)).alias(f"n_{name}")
+    kinds = [n("entry", "kind = 'entry' AND error IS NULL"), n("unreadable", "kind = 'entry' AND error IS NOT NULL"), *[n(k, f"kind = '{k}'") for k in ("commented", "string", "preamble", "comment", "text")]]
+    return back.groupBy("project", "file").agg(*kinds)
+
+
+@query("k3_backups", "SELECT project, file || suffix AS file, md5(content) AS digest FROM tex_files, (VALUES (''), ('.backup')) s(suffix)")
+def k3(spark: SparkSession, sf: str) -> DataFrame:
+    """K2, K3: the files and their backups, written to the shared folder and read from there."""
+    root = f"{ensure_checkpoint_dir(spark)}/written-{uuid.uuid4().hex}"
+    files = table(spark, sf, "tex_files")
+    sinks.write_files(files, root, by_project=True)
+    sinks.create_backup(files, root, by_project=True)
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    path = F.regexp_extract("path", r"/written-[0-9a-f]+/(.*)$", 1)
+    return read.select(F.split_part(path, F.lit("/"), F.lit(1)).alias("project"), F.regexp_replace(path, "^[^/]+/", "").alias("file"), F.md5("content").alias("digest"))
+
+
 @query("n7_heuristic_abbreviation", f"SELECT entry_id, CASE WHEN contains(v, '.') OR len(list_filter(regexp_split_to_array(v, '{_BW}'), lambda w: w <> '')) < 2 THEN v ELSE coalesce(nullif(upper(v), ''), v) END AS value FROM ({_field('journal')})")
 def n7(spark: SparkSession, sf: str) -> DataFrame:
     """With upper case standing for the abbreviating function a caller supplies."""
@@ -446,12 +550,6 @@ def s8(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "tex_files").select("project", "file", F.size(V.lines(F.col("content"))).alias("n_lines"))
 
 
-@query("k4_changed_files")
-def k4(spark: SparkSession, sf: str) -> DataFrame:
-    tex = table(spark, sf, "tex_files")
-    return sinks.changed_files(tex, C.rewrite_citations(tex, K.standardize(table(spark, sf, "entries"))[1]))
-
-
 # Aggregates (A1-A17) ----------------------------------------------------------------------
 
 
@@ -517,7 +615,12 @@ def a8(spark: SparkSession, sf: str) -> DataFrame:
     return out.fillna(0).select("project", "n_titles", "n_dois", (F.col("n_keys") > 0).alias("any_key"))
 
 
-@query("a11_percent_lines")
+_BYTE_LINES = r"regexp_split_to_array(replace(content::VARCHAR, '\x5C', chr(1)), '\\x0D\\x0A|\\x0[ABCD]|\\x1[CDE]|\\xC2\\x85|\\xE2\\x80\\xA[89]')"
+_BYTE_BLANK = r"(?: |\\x09|\\x1F|\\xC2\\xA0|\\xE1\\x9A\\x80|\\xE2\\x80\\x8[0-9A]|\\xE2\\x80\\xAF|\\xE2\\x81\\x9F|\\xE3\\x80\\x80)*"
+_PERCENT_LINES = rf"SELECT project, file, len(list_filter({_BYTE_LINES}, lambda x: NOT regexp_matches(x, '^{_BYTE_BLANK}%') AND regexp_matches(x, '(^|[^\x01])(\x01\x01)*%')))::INT AS n_lines FROM bib_files"
+
+
+@query("a11_percent_lines", _PERCENT_LINES)
 def a11(spark: SparkSession, sf: str) -> DataFrame:
     return V.percent_lines(table(spark, sf, "bib_files"))
 
@@ -553,7 +656,10 @@ def a15(spark: SparkSession, sf: str) -> DataFrame:
     return V.malformed_authors(table(spark, sf, "entries"))
 
 
-@query("a16_syntax_errors")
+_SYNTAX = f"SELECT DISTINCT project, file, pos, 'brackets not closed' AS error FROM entries WHERE is_commented AND {_UNCLOSED}"
+
+
+@query("a16_syntax_errors", _SYNTAX)
 def a16(spark: SparkSession, sf: str) -> DataFrame:
     return V.syntax_errors(bibtex.parse_files(table(spark, sf, "bib_files")))
 
@@ -599,36 +705,97 @@ def d4(spark: SparkSession, sf: str) -> DataFrame:
     return D.drop_cross_file(table(spark, sf, "entries")).select("project", "key_raw", "file", "pos").distinct()
 
 
-@query("d5_sanitize", """SELECT DISTINCT project, key AS old_key, CASE WHEN c = '' THEN key_raw ELSE c END AS new_key FROM (SELECT *, regexp_replace(key_raw, '[^A-Za-z0-9_:-]', '', 'g') AS c FROM entries WHERE key IS NOT NULL) WHERE c <> '' AND c <> key_raw""")
+def _allocated(base: str) -> str:
+    """The oracle's names for keys: numbered within a base, told apart by a digest where two would be alike."""
+    return f"""
+      SELECT project, base, key, CASE WHEN key <> base AND n > 0 AND count(*) OVER (PARTITION BY project, name) > 1 THEN base || '_' || md5(key)[1:8] ELSE name END AS new_key FROM (
+        SELECT *, CASE WHEN n = 0 THEN base ELSE base || CASE WHEN regexp_matches(base, '[0-9]$') THEN '_' ELSE '' END || n END AS name FROM (
+          SELECT project, base, key, row_number() OVER (PARTITION BY project, base ORDER BY CASE WHEN key = base THEN '' ELSE file END, pos, key) - 1 AS n
+          FROM (SELECT project, base, key, min(struct_pack(f := file, p := pos)).f AS file, min(struct_pack(f := file, p := pos)).p AS pos FROM ({base}) GROUP BY project, base, key)))"""
+
+
+_SANITIZED = "SELECT project, file, pos, key, CASE WHEN c = '' THEN key ELSE c END AS base FROM (SELECT *, regexp_replace(key, '[^A-Za-z0-9_:-]', '', 'g') AS c FROM entries WHERE key IS NOT NULL)"
+
+
+@query("d5_sanitize", f"SELECT project, key AS old_key, new_key FROM ({_allocated(_SANITIZED)}) WHERE new_key <> key")
 def d5(spark: SparkSession, sf: str) -> DataFrame:
     return K.sanitize(table(spark, sf, "entries"))[1]
 
 
-@query("d6_standardize")
+_WANTED = f"SELECT project, file, pos, key, CASE WHEN base = '' THEN key ELSE base END AS base FROM ({_KEY}) WHERE key IS NOT NULL"
+_NEW_KEYS = f"""
+  SELECT project, key AS old_key, arg_max(new_key, struct_pack(f := file, p := pos)) AS new_key
+  FROM (SELECT w.project, w.file, w.pos, w.key, a.new_key FROM ({_WANTED}) w JOIN ({_allocated(_WANTED)}) a USING (project, base, key)) WHERE new_key <> key GROUP BY project, key"""
+
+
+@query("d6_standardize", _NEW_KEYS)
 def d6(spark: SparkSession, sf: str) -> DataFrame:
     return K.standardize(table(spark, sf, "entries"))[1]
 
 
-@query("d6_standardize_by_file")
+# In a file the n-th of equal bases gets n; one that bears the base as its key takes the base, if it comes first.
+@query(
+    "d6_standardize_by_file",
+    f"""SELECT project, key AS old_key, arg_max(new_key, struct_pack(f := file, p := pos)) AS new_key FROM (
+          SELECT *, CASE WHEN base = '' OR base = key THEN key WHEN n = 0 THEN base ELSE base || n END AS new_key FROM (
+            SELECT *, count(*) FILTER (WHERE key <> base) OVER w + CASE WHEN row_number() OVER w > 1 AND first_value(key = base) OVER w THEN 1 ELSE 0 END - CASE WHEN key <> base THEN 1 ELSE 0 END AS n
+            FROM (SELECT DISTINCT project, file, pos, key, base FROM ({_KEY}) WHERE key IS NOT NULL)
+            WINDOW w AS (PARTITION BY project, file, base ORDER BY pos ROWS UNBOUNDED PRECEDING))) WHERE new_key <> key GROUP BY project, key""",
+)
 def d6_parity(spark: SparkSession, sf: str) -> DataFrame:
     return K.standardize(table(spark, sf, "entries"), parity=True)[1]
 
 
-@query("d7_rewrite_citations")
+_CITE = r"\\[A-Za-z]*cite[a-zA-Z]*\{([^}]+)\}"
+_REWRITTEN = rf"""
+  WITH m AS ({_NEW_KEYS}),
+       t AS (SELECT project, file, content, regexp_extract_all(content, '{_CITE}', 0) AS whole, regexp_extract_all(content, '{_CITE}', 1) AS inner_, regexp_split_to_array(content, '{_CITE}') AS between_ FROM tex_files),
+       g AS (SELECT project, file, unnest(whole) AS w, unnest(inner_) AS g, unnest(range(len(whole))) AS i FROM t),
+       k AS (SELECT project, file, i, unnest(string_split(g, ',')) AS raw, unnest(range(len(string_split(g, ',')))) AS j FROM g),
+       n AS (SELECT k.project, k.file, i, j, coalesce(new_key, {_STRIP % "raw"}) AS key FROM k LEFT JOIN m ON m.project = k.project AND m.old_key = nfc_normalize({_STRIP % "raw"}) WHERE {_STRIP % "raw"} <> ''),
+       o AS (SELECT project, file, i, key, min(j) AS j FROM n GROUP BY ALL),
+       l AS (SELECT project, file, i, string_agg(key, ', ' ORDER BY j) AS keys FROM o GROUP BY ALL),
+       s AS (SELECT g.project, g.file, i, w[1:strpos(w, '{{')] || coalesce(keys, '') || '}}' AS set_ FROM g LEFT JOIN l USING (project, file, i)),
+       c AS (SELECT t.project, t.file, string_agg(set_ || between_[i + 2], '' ORDER BY i) AS tail FROM t JOIN s USING (project, file) GROUP BY ALL)
+  SELECT t.project, t.file, CASE WHEN EXISTS (SELECT 1 FROM m WHERE m.project = t.project) AND tail IS NOT NULL THEN between_[1] || tail ELSE content END AS content
+  FROM t LEFT JOIN c USING (project, file)"""
+
+
+@query("d7_rewrite_citations", f"SELECT r.project, r.file, r.content, r.content <> t.content AS changed FROM ({_REWRITTEN}) r JOIN tex_files t USING (project, file)")
 def d7(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "entries")
-    return C.rewrite_citations(table(spark, sf, "tex_files"), K.standardize(e)[1])
+    return C.rewrite_citations(table(spark, sf, "tex_files"), cut_lineage(K.standardize(table(spark, sf, "entries"))[1]))
+
+
+@query("k4_changed_files", f"SELECT r.project, r.file, r.content FROM ({_REWRITTEN}) r JOIN tex_files t USING (project, file) WHERE r.content <> t.content")
+def k4(spark: SparkSession, sf: str) -> DataFrame:
+    tex = table(spark, sf, "tex_files")
+    return sinks.changed_files(tex, C.rewrite_citations(tex, cut_lineage(K.standardize(table(spark, sf, "entries"))[1])))
 
 
 # Workflows --------------------------------------------------------------------------------------
 
 
-@query("g4_verdict")
+_BASE = "regexp_extract(file, '([^/]*)$', 1)"
+_E = "(SELECT DISTINCT project, file, pos, entry_type, key, fields, n_fields, raw, is_commented FROM entries)"
+_E_LIVE = f"(SELECT * FROM {_E} WHERE NOT is_commented)"
+_ISSUES = f"""
+  WITH bib AS ({_CORRESPONDING}), cited AS (SELECT DISTINCT c.project, c.file, c.key FROM citations c JOIN bib USING (project, file) WHERE bib IS NOT NULL AND key IS NOT NULL)
+  SELECT project, 'no_bib' AS "check", file, NULL::VARCHAR AS key, {_BASE} || ': no bib file' AS message FROM bib WHERE bib IS NULL
+  UNION ALL SELECT project, 'missing', file, key, {_BASE} || ': missing ' || key FROM cited c WHERE NOT EXISTS (SELECT 1 FROM entries e WHERE e.project = c.project AND e.key = c.key)
+  UNION ALL SELECT project, 'commented', file, key, {_BASE} || ': commented ' || key FROM cited c WHERE EXISTS (SELECT 1 FROM ({_WRAPPED}) w WHERE w.project = c.project AND nfc_normalize(w.key) = c.key)
+  UNION ALL SELECT project, 'duplicate_key', NULL, key, 'duplicate key: ' || key FROM {_E_LIVE} WHERE key IS NOT NULL GROUP BY project, key HAVING count(*) > 1
+  UNION ALL SELECT project, 'duplicate_doi', NULL, NULL, 'duplicate DOI: ' || d FROM (SELECT project, key, {_doi(_ANY_DOI)} AS d FROM {_E_LIVE}) WHERE d <> '' GROUP BY project, d HAVING count(DISTINCT coalesce(key, '')) > 1
+  UNION ALL SELECT project, 'duplicate_title', NULL, NULL, 'duplicate title: ' || t FROM (SELECT project, {_title("fields['title']")} AS t FROM {_E_LIVE}) WHERE t <> '' GROUP BY project, t HAVING count(*) > 1
+  UNION ALL SELECT project, 'percent', file, NULL, {_BASE} || ': unescaped % in lines: ' || n_lines FROM ({_PERCENT_LINES}) WHERE n_lines > 0
+  UNION ALL SELECT project, 'syntax', file, NULL, {_BASE} || ': ' || error FROM ({_SYNTAX})"""
+
+
+@query("g4_verdict", f"SELECT project, bool_and(i.project IS NULL) AS ok FROM (SELECT project FROM bib_files UNION SELECT project FROM tex_files) p LEFT JOIN (SELECT project FROM ({_ISSUES}) WHERE \"check\" <> 'duplicate_key') i USING (project) GROUP BY project")
 def g4(spark: SparkSession, sf: str) -> DataFrame:
     return workflow.validate(table(spark, sf, "bib_files"), table(spark, sf, "tex_files"))[1]
 
 
-@query("v_issues")
+@query("v_issues", _ISSUES)
 def v_issues(spark: SparkSession, sf: str) -> DataFrame:
     return workflow.validate(table(spark, sf, "bib_files"), table(spark, sf, "tex_files"))[0]
 

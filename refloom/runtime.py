@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import os
 import tempfile
 import zipfile
@@ -38,8 +37,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster.
 
-    The folder named by ``spark.checkpoint.dir`` wins; a temporary one is set
-    only where the setting is absent, as in local tests.
+    The folder named by ``spark.checkpoint.dir`` wins. Without the setting a
+    temporary one is made in local mode, as in tests; on a cluster that is an error.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
@@ -49,6 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if named is None:
         named = sc.getConf().get("spark.checkpoint.dir", None)
     if named is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="refloom-checkpoint-")
     sc.setCheckpointDir(named)
     return named
@@ -63,12 +64,6 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-def shuffle_width(spark: SparkSession, rows: int, rows_per_task: int) -> int:
-    """A task count that follows the data but never falls under the session's."""
-    floor = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(floor, math.ceil(rows / max(1, rows_per_task)))
-
-
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many tasks as there are cores, for costly work on rows that a few input splits hold.
 

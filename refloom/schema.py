@@ -7,10 +7,10 @@ ENTRIES = (
     "project string, file string, pos int, entry_type string, key_raw string, key string, "
     "fields map<string,string>, n_fields int, is_commented boolean, raw string"
 )
-BLOCKS = "pos int, kind string, entry_type string, key_raw string, fields map<string,string>, raw string, error string"
+BLOCKS = "pos int, at int, kind string, entry_type string, key_raw string, fields map<string,string>, raw string, error string"
 CITATIONS = "project string, file string, cite_pos int, key_pos int, key_raw string, key string"
 KEY_MAP = "project string, step int, seq long, file string, old_key string, new_key string"
-JOURNALS = "full string, short string, priority int, row_no int"
+JOURNALS = "full string, short string, priority int, row_no long"
 ISSUES = "project string, check string, file string, key string, message string"
 
 #: Fields that the formatter drops.

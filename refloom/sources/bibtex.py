@@ -8,18 +8,20 @@ Arrow batches; a file is the unit of work.
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from refloom import schema
 from refloom.functions.latex import decode as latex_decode
-from refloom.functions.normalize import normalize_unicode
+from refloom.functions.normalize import with_nfc
 from refloom.runtime import spread
 
 _OPEN = re.compile(r"@[ \t]*([A-Za-z][\w-]*)[ \t\r\n]*([{(])")
@@ -113,13 +115,30 @@ def parse_entry(body: str, strings: dict[str, str]) -> tuple[str, dict[str, str]
 
 
 def parse_blocks(text: str) -> Iterator[dict]:
-    """All blocks of a text in order, as dicts of the columns of ``schema.BLOCKS``."""
+    """All blocks of a text in order, as dicts of the columns of ``schema.BLOCKS``.
+
+    ``at`` counts the readable and the commented entries alone; other blocks have
+    the number of the next of these. What stands between blocks is a block of kind "text".
+    """
+    kept = 0
+    for pos, row in enumerate(_scan(text)):
+        yield row | {"pos": pos, "at": kept}
+        kept += row["kind"] == "commented" or (row["kind"] == "entry" and not row["error"])
+
+
+def _scan(text: str) -> Iterator[dict]:
     strings: dict[str, str] = {}
-    at, pos = 0, 0
-    while m := _OPEN.search(text, at):
+    at = 0
+    while True:
+        m = _OPEN.search(text, at)
+        loose = text[at : m.start() if m else len(text)].strip()
+        if loose:
+            yield {"kind": "text", "entry_type": None, "key_raw": None, "fields": None, "error": None, "raw": loose}
+        if not m:
+            return
         kind = m[1].lower()
         end = _close(text, m.end() - 1)
-        row = {"pos": pos, "kind": "entry", "entry_type": m[1], "key_raw": None, "fields": None, "error": None}
+        row = {"kind": "entry", "entry_type": m[1], "key_raw": None, "fields": None, "error": None}
         if end < 0:
             after = _NEXT.search(text, m.end())
             end = after.start() if after else len(text)
@@ -133,7 +152,6 @@ def parse_blocks(text: str) -> Iterator[dict]:
         inner = text[m.end() : end]
         if kind == "comment":
             row["kind"] = "commented" if _WRAPPED.match(row["raw"]) else "comment"
-            row["error"] = None
             if row["kind"] == "commented":
                 row["entry_type"] = re.match(r"@\s*(\w+)", _WRAPPED.match(row["raw"])[1])[1]
         elif kind == "preamble":
@@ -151,7 +169,6 @@ def parse_blocks(text: str) -> Iterator[dict]:
             except ValueError as e:
                 row["error"] = str(e)
         yield row
-        pos += 1
 
 
 def _nfc(key: str | None) -> str | None:
@@ -159,16 +176,16 @@ def _nfc(key: str | None) -> str | None:
 
 
 def parse_files(files: DataFrame, decode: bool = False) -> DataFrame:
-    """``(project, file, pos, kind, entry_type, key_raw, fields, raw, error)`` of all blocks of ``(project, file, content)``.
+    """``(project, file, pos, at, kind, entry_type, key_raw, fields, raw, error)`` of all blocks of ``(project, file, content)``.
 
-    ``pos`` counts a file's blocks from 0. NULL and empty contents have none. With
+    ``pos`` counts a file's blocks from 0, ``at`` its entries. NULL and empty contents have none. With
     ``decode`` LaTeX accents and escapes in values become plain characters.
     """
     parts = schema.BLOCKS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = ("pos", "kind", "entry_type", "key_raw", "fields", "raw", "error")
-        kinds = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string())
+        columns = ("pos", "at", "kind", "entry_type", "key_raw", "fields", "raw", "error")
+        kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string())
         for batch in batches:
             for i in range(batch.num_rows):  # a batch out for each file bounds memory by the largest file
                 project, file, content = (batch.column(c)[i].as_py() for c in range(3))
@@ -181,23 +198,32 @@ def parse_files(files: DataFrame, decode: bool = False) -> DataFrame:
     return spread(files.select("project", "file", "content")).mapInArrow(run, f"project string, file string, {parts}")
 
 
+_KEPT = "(kind = 'entry' AND error IS NULL) OR kind = 'commented'"
+
+
 def entries(blocks: DataFrame) -> DataFrame:
     """Blocks as the entries table: readable entries and commented ones; ``pos`` counts these from 0 in a file."""
-    kept = blocks.where("(kind = 'entry' AND error IS NULL) OR kind = 'commented'")
+    own = lambda c: F.when(F.col("kind") == "entry", c)
+    kept = with_nfc(blocks.where(_KEPT).withColumn("key_raw", own(F.col("key_raw"))), "key_raw", "key")
     return kept.select(
         "project",
         "file",
-        (F.row_number().over(Window.partitionBy("project", "file").orderBy("pos")) - 1).alias("pos"),
+        F.col("at").alias("pos"),
         "entry_type",
-        F.when(F.col("kind") == "entry", F.col("key_raw")).alias("key_raw"),
-        normalize_unicode(F.when(F.col("kind") == "entry", F.col("key_raw"))).alias("key"),
+        "key_raw",
+        "key",
         "fields",
-        F.when(F.col("kind") == "entry", F.size("fields") + 2).alias("n_fields"),
+        own(F.size("fields") + 2).alias("n_fields"),
         (F.col("kind") == "commented").alias("is_commented"),
         "raw",
     )
 
 
+def others(blocks: DataFrame) -> DataFrame:
+    """``(project, file, at, pos, raw)`` of all that ``entries`` leaves out: strings, preambles, comments, loose text, unreadable entries."""
+    return blocks.where(f"NOT ({_KEPT})").select("project", "file", "at", "pos", "raw")
+
+
 def read_entries(files: DataFrame, decode: bool = False) -> DataFrame:
     """The entries of ``(project, file, content)``."""
     return entries(parse_files(files, decode))
@@ -221,81 +247,97 @@ def entry_text(entry_type, key, fields):
     return F.concat(F.concat_ws(",\n", F.concat(F.array(head), lines)), F.lit("\n}"))
 
 
-def file_texts(table: DataFrame) -> DataFrame:
+def file_texts(table: DataFrame, rest: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
     """``(project, file, content)``: each file's entries as text, in order of position; commented entries keep their own text.
 
-    A file is written whole by one task, so its entries meet in one group; a file's size bounds that group.
+    ``rest`` holds the blocks of other kinds (see ``others``), which keep their text
+    and their place before the entry they preceded. With ``files`` every file of it
+    comes out, empty where nothing is left of it. A file is written whole by one
+    task, so its entries meet in one group; a file's size bounds that group.
     """
     text = F.when(F.col("is_commented"), F.col("raw")).otherwise(entry_text(F.col("entry_type"), F.col("key_raw"), F.col("fields")))
-    parts = F.array_sort(F.collect_list(F.struct("pos", text.alias("t"))))
-    return table.groupBy("project", "file").agg(F.concat(F.array_join(F.transform(parts, lambda p: p["t"]), "\n\n"), F.lit("\n")).alias("content"))
+    rows = table.select("project", "file", F.struct(F.col("pos").alias("at"), F.lit(1).alias("own"), F.col("pos").alias("pos"), text.alias("t")).alias("b"))
+    if rest is not None:
+        rows = rows.unionByName(rest.select("project", "file", F.struct("at", F.lit(0).alias("own"), "pos", F.col("raw").alias("t")).alias("b")))
+    parts = F.array_sort(F.collect_list("b"))
+    texts = rows.groupBy("project", "file").agg(F.concat(F.array_join(F.transform(parts, lambda p: p["t"]), "\n\n"), F.lit("\n")).alias("content"))
+    if files is None:
+        return texts
+    return files.select("project", "file").join(texts, ["project", "file"], "left").select("project", "file", F.coalesce("content", F.lit("")).alias("content"))
+
+
+#: A split of the reader holds files of about so many bytes.
+SPLIT_BYTES = 32 << 20
+
+
+class _Split(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
 
-class _FilePartition(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+def _filesystem(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a path or URI, and the path there."""
+    path = re.sub("^file:/+", "/", path)
+    return pyarrow.fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.options = options
-        self.project = options.get("project", "default")
+        self.path, self.project = options["path"], options.get("project", "default")
 
     def partitions(self):
-        import glob
-        import os
-
-        path = self.options["path"]
-        names = sorted(glob.glob(os.path.join(path, "**", "*.bib"), recursive=True)) if os.path.isdir(path) else sorted(glob.glob(path))
-        return [_FilePartition(p) for p in names] or [_FilePartition("")]
+        fs, root = _filesystem(self.path)
+        info = fs.get_file_info(root)
+        found = [info] if info.is_file else fs.get_file_info(pyarrow.fs.FileSelector(root, allow_not_found=True, recursive=True))
+        out, room = [], 0
+        for f in sorted((f for f in found if f.is_file and f.path.endswith(".bib")), key=lambda f: f.path):
+            if not out or room < f.size:
+                out.append(_Split([]))
+                room = SPLIT_BYTES
+            out[-1].paths.append(f.path)
+            room -= f.size
+        return out or [_Split([])]
 
     def read(self, partition):
-        if not partition.path:
-            return
-        with open(partition.path, "rb") as f:
-            text = decode_text(f.read())
-        n = 0
-        for r in parse_blocks(text):
-            if (r["kind"] == "entry" and not r["error"]) or r["kind"] == "commented":
-                key = r["key_raw"]
-                yield (self.project, partition.path, n, r["entry_type"], key, _nfc(key), r["fields"], None if r["fields"] is None else len(r["fields"]) + 2, r["kind"] == "commented", r["raw"])
-                n += 1
+        fs, _ = _filesystem(self.path)
+        for path in partition.paths:
+            with fs.open_input_stream(path) as f:
+                text = decode_text(f.read())
+            for r in parse_blocks(text):
+                if (r["kind"] == "entry" and not r["error"]) or r["kind"] == "commented":
+                    key = r["key_raw"]
+                    yield (self.project, path, r["at"], r["entry_type"], key, _nfc(key), r["fields"], None if r["fields"] is None else len(r["fields"]) + 2, r["kind"] == "commented", r["raw"])
+
+
+def put_file(root: str, name: str, content: str | bytes | None) -> None:
+    """A file under ``root``, written beside its place and moved there, so readers never see a part of it."""
+    fs, base = _filesystem(root)
+    target = f"{base}/{name}"
+    fs.create_dir(os.path.dirname(target), recursive=True)
+    with fs.open_output_stream(f"{target}.part") as f:
+        f.write(content.encode() if isinstance(content, str) else content or b"")
+    fs.move(f"{target}.part", target)
 
 
 class _Writer(DataSourceWriter):
-    """One file for each ``file`` of the rows; written beside its place and moved there, so readers never see a part."""
+    """One file under path/project for each row of ``file_texts``."""
 
     def __init__(self, options: dict):
         self.path = options["path"]
 
     def write(self, rows):
-        import os
-
-        texts = {}
         for r in rows:
-            texts.setdefault(r["file"], []).append((r["pos"], _plain_text(r)))
-        for file, parts in texts.items():
-            target = os.path.join(self.path, os.path.basename(file) if os.path.isabs(file) else file)
-            os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
-            with open(target + ".part", "w", encoding="utf-8") as f:
-                f.write("\n\n".join(t for _, t in sorted(parts)) + "\n")
-            os.replace(target + ".part", target)
+            # Rows of entries may lie in several tasks, none of which has a whole file.
+            if "content" not in r:
+                raise ValueError("the format bibtex writes (project, file, content), one row a file: write file_texts(entries)")
+            put_file(self.path, f"{r['project']}/{r['file'].lstrip('/')}", r["content"])
         return WriterCommitMessage()
 
 
-def _plain_text(row) -> str:
-    if row["is_commented"]:
-        return row["raw"]
-    rank = {f: i for i, f in enumerate(schema.FIELD_ORDER)}
-    pairs = sorted((row["fields"] or {}).items(), key=lambda kv: (rank.get(kv[0].lower(), 99), kv[0]))
-    lines = [f"@{row['entry_type'] or 'misc'}{{{row['key_raw'] or ''}", *[f"  {k} = {{{v or ''}}}" for k, v in pairs]]
-    return ",\n".join(lines) + "\n}"
-
-
 class BibtexSource(DataSource):
-    """``spark.read.format("bibtex").load(path)`` and ``df.repartition("file").write.format("bibtex").save(path)``.
+    """``spark.read.format("bibtex").load(path)`` gives entries; ``file_texts(entries).write.format("bibtex")`` writes files.
 
-    For paths every worker can open; other file systems go through ``read_bib_files``.
+    ``path`` is a folder or file on a file system that the workers reach: a mounted folder or a URI that pyarrow knows.
     """
 
     @classmethod

@@ -17,10 +17,11 @@ def read_journals(spark: SparkSession, *paths: str) -> DataFrame:
     """``(full, short, priority, row_no)`` of CSV lists; a later list has priority over an earlier one.
 
     Cells are stripped; rows with fewer than two cells or a blank one are left out.
+    ``row_no`` grows in the order of a list's rows, with gaps, however many splits it is read in.
     """
     out = None
     for priority, path in enumerate(paths):
-        raw = spark.read.schema("full string, short string").csv(path).withColumn("row_no", F.monotonically_increasing_id().cast("int") + 1)
+        raw = spark.read.schema("full string, short string").csv(path).withColumn("row_no", F.monotonically_increasing_id() + 1)
         rows = raw.select(strip("full").alias("full"), strip("short").alias("short"), F.lit(priority).alias("priority"), "row_no")
         rows = rows.where((F.col("full") != "") & (F.col("short") != ""))
         out = rows if out is None else out.unionByName(rows)
@@ -49,8 +50,7 @@ def abbreviate(entries: DataFrame, journals: DataFrame, fallback: Callable[[Colu
     small = F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
     own = present(F.col("fields")["journal"])
     joined = entries.withColumn("_name", F.lower(own)).join(small.withColumnRenamed("name", "_name"), "_name", "left")
-    other = heuristic_abbreviation(own, fallback)
-    value = F.coalesce("short", other)
-    changed = F.when(own.isNull(), 0).when(F.col("short").isNotNull() | (other != own), 1).otherwise(0)
-    fields = F.when(changed == 1, F.transform_values("fields", lambda k, v: F.when(k == "journal", value).otherwise(v))).otherwise(F.col("fields"))
-    return joined.withColumns({"changed": changed, "fields": fields}).drop("_name", "short")
+    joined = joined.withColumn("_value", F.coalesce("short", heuristic_abbreviation(own, fallback)))
+    changed = F.when(own.isNull(), 0).when(F.col("short").isNotNull() | (F.col("_value") != own), 1).otherwise(0)
+    fields = F.when(changed == 1, F.transform_values("fields", lambda k, v: F.when(k == "journal", F.col("_value")).otherwise(v))).otherwise(F.col("fields"))
+    return joined.withColumns({"changed": changed, "fields": fields}).drop("_name", "short", "_value")

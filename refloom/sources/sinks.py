@@ -1,13 +1,12 @@
-"""Writing files back (K1-K4): one directory of new files, swapped in when complete."""
+"""Writing files back (K2-K4)."""
 
 from __future__ import annotations
 
-import os
-import shutil
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from refloom.sources.bibtex import put_file
+
 
 def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
     """K4: ``(project, file, content)`` of the later texts that differ from the earlier ones or are new."""
@@ -16,34 +15,26 @@ def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
     return j.where(F.col("_old").isNull() | (F.col("_old") != F.col("content"))).select("project", "file", "content")
 
 
-def write_files(texts: DataFrame, root: str) -> None:
-    """``(project, file, content)`` as files under ``root``/file, each written beside its place and moved there.
+def write_files(texts: DataFrame, root: str, by_project: bool = False) -> None:
+    """``(project, file, content)`` as files under ``root``/file, with ``by_project`` under ``root``/project/file.
 
-    Runs in the tasks, so ``root`` must be a folder all executors share. Files
-    that no row names stay; a task that is repeated writes the same bytes again.
+    Each is written beside its place and moved there. Runs in the tasks, so ``root``
+    must be a folder that all executors share, or the URI of a file system that
+    pyarrow knows. Files that no row names stay; a task that is repeated writes the same bytes again.
     """
 
     def write(rows) -> None:
         for r in rows:
-            target = os.path.join(root, r["file"])
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            with open(f"{target}.part", "w", encoding="utf-8", newline="") as f:
-                f.write(r["content"] or "")
-            os.replace(f"{target}.part", target)
+            put_file(root, f"{r['project']}/{r['file']}" if by_project else r["file"], r["content"])
 
     texts.select("project", "file", "content").foreachPartition(write)
 
 
-def create_backup(root: str) -> list[str]:
-    """K3: copies of all .bib and .tex files of a project as <name>.backup beside them; driver-side, before a commit."""
-    made = []
-    for folder in (root, os.path.join(root, "sections")):
-        for name in sorted(os.listdir(folder)) if os.path.isdir(folder) else ():
-            if name.endswith((".bib", ".tex")):
-                source = os.path.join(folder, name)
-                shutil.copy2(source, f"{source}.backup")
-                made.append(f"{source}.backup")
-    return made
+def create_backup(files: DataFrame, root: str, by_project: bool = False) -> DataFrame:
+    """K3: a copy of each file of ``(project, file, content)`` as <name>.backup beside it, byte for byte; gives ``(project, file)`` of the copies."""
+    copies = files.select("project", F.concat("file", F.lit(".backup")).alias("file"), "content")
+    write_files(copies, root, by_project)
+    return copies.select("project", "file")
 
 
 def save_table(df: DataFrame, path: str) -> None:

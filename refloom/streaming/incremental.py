@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.plans.workflow import basic_fixes
+from refloom.plans.workflow import repaired
 from refloom.sources import bibtex
 
 
@@ -21,7 +21,7 @@ def curate_stream(files: DataFrame, target: str, checkpoint: str, journals: Data
     """Starts a query that appends the repaired entries of new files to a Parquet table; a batch that is repeated writes its own folder again."""
 
     def batch(df: DataFrame, number: int) -> None:
-        entries, _ = basic_fixes(bibtex.read_entries(df, decode=True), journals)
+        entries = repaired(bibtex.read_entries(df, decode=True), journals).drop("fixes")
         entries.write.mode("overwrite").parquet(f"{target}/batch={number}")
         if on_batch:
             on_batch(entries)

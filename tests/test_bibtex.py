@@ -64,8 +64,30 @@ def test_source_and_sink(spark, tmp_path):
     B.register(spark)
     df = spark.read.format("bibtex").load(str(tmp_path / "in"))
     assert sorted((r["pos"], r["key"], r["n_fields"], r["is_commented"]) for r in df.select("pos", "key", "n_fields", "is_commented").collect()) == [(0, "k", 3, False), (1, None, None, True)]
-    df.repartition("file").write.format("bibtex").mode("append").save(str(tmp_path / "out"))
-    assert "title = {T}" in (tmp_path / "out" / "a.bib").read_text()
+    e = entries(spark, [{"entry_id": i, "project": f"p{i % 3}", "file": "references.bib", "key_raw": f"K{i}", "fields": {"title": f"T{i}"}, "pos": i} for i in range(24)])
+    B.file_texts(e.repartition(4)).write.format("bibtex").mode("append").save(str(tmp_path / "out"))
+    for p in range(3):
+        text = (tmp_path / "out" / f"p{p}" / "references.bib").read_text()
+        assert [r["key_raw"] for r in B.parse_blocks(text)] == [f"K{i}" for i in range(p, 24, 3)]
+    try:
+        df.write.format("bibtex").mode("append").save(str(tmp_path / "no"))
+    except Exception as x:
+        assert "file_texts" in str(x)
+    else:
+        raise AssertionError("entries were written without their files")
+
+
+def test_whole_files_survive(spark):
+    more = TEXT + "loose words\n@article{tail, title={z}}\nend"
+    files = spark.createDataFrame([("p", "a.bib", more.encode()), ("q", "a.bib", b"@string{x = {y}}"), ("p", "empty.bib", b""), ("q", "null.bib", None)], "project string, file string, content binary").repartition(3)
+    blocks = B.parse_files(files).cache()
+    texts = B.file_texts(B.entries(blocks), B.others(blocks), files)
+    again = B.parse_files(texts)
+    what = lambda df: sorted((r["project"], r["file"], r["pos"], r["kind"], r["key_raw"] or "", r["raw"] if r["kind"] != "entry" or r["error"] else "") for r in df.collect())
+    assert what(again) == what(blocks) and {r["kind"] for r in blocks.collect()} == {"string", "comment", "preamble", "entry", "commented", "text"}
+    assert {(r["project"], r["file"]) for r in texts.collect()} == {("p", "a.bib"), ("q", "a.bib"), ("p", "empty.bib"), ("q", "null.bib")}
+    gone = B.file_texts(B.entries(blocks).limit(0), None, files)
+    assert {r["content"] for r in gone.collect()} == {""}
 
 
 @settings(max_examples=60, deadline=None)

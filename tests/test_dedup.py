@@ -51,6 +51,18 @@ def test_sanitize(spark):
     assert [(r["old_key"], r["new_key"]) for r in m.collect()] == [("Bad!Key", "BadKey")] and {r["key"] for r in out.collect()} == {"BadKey", "good_key", None}
 
 
+def test_sanitize_never_merges(spark):
+    keys = ["Ab!c", "Abc", "Ab?c", "Abc1", "x!", "x?", "!!", "\u00e9t"]
+    e = entries(spark, [(i, f"f{i % 2}", k, {"a": "b"}) for i, k in enumerate(keys)] + [(8, "z", "Ab!c", {"a": "b"})])
+    held = spark.createDataFrame([("p", "x")], "project string, key string")
+    out, m = K.sanitize(e, held)
+    new = {r["old_key"]: r["new_key"] for r in m.collect()}
+    by_old = {k: new.get(k, k) for k in keys}
+    assert by_old["Abc"] == "Abc" and by_old["!!"] == "!!" and by_old["\u00e9t"] == "t" and by_old["Abc1"] == "Abc1"
+    assert len(set(by_old.values())) == len(keys) and "x" not in by_old.values()
+    assert sorted(r["key"] for r in out.collect()) == sorted([*by_old.values(), by_old["Ab!c"]])
+
+
 def test_standardize_by_file(spark):
     e = entries(spark, [(1, "a", "k1", SMITH), (2, "a", "k2", SMITH), (3, "a", "k3", SMITH), (4, "b", "k4", SMITH), (5, "b", "Smith2021JAn", SMITH), (6, "b", "none", {"x": "y"})])
     new = {r["pos"]: r["new_key"] for r in K.standardized_by_file(e).collect()}

@@ -98,6 +98,10 @@ def test_journals(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Journal of the American Chemical Society, J. Am. Chem. Soc. \nlonely\n,x\nNature,Nat.\n")
     (tmp_path / "b.csv").write_text("nature,Nat\n")
     j = journals.read_journals(spark, str(tmp_path / "a.csv"), str(tmp_path / "b.csv"))
+    (tmp_path / "many").mkdir()
+    for i in range(6):
+        (tmp_path / "many" / f"{i}.csv").write_text("".join(f"Name {i} {n},N {i} {n}\n" for n in range(50)))
+    assert journals.read_journals(spark, str(tmp_path / "many")).select("row_no").distinct().count() == 300
     e = entries(spark, [(i, "a.bib", "k", {"journal": v} if v is not None else {"x": "y"}) for i, v in enumerate(["JOURNAL of the american chemical society", "Nature", "J. Some.", "Unknown Paper", None, ""])])
     out = {r["entry_id"]: (r["fields"].get("journal"), r["changed"]) for r in journals.abbreviate(e, j, lambda c: F.concat(F.substring(c, 1, 2), F.lit("x"))).collect()}
     assert out == {0: ("J. Am. Chem. Soc.", 1), 1: ("Nat", 1), 2: ("J. Some.", 0), 3: ("Unx", 1), 4: (None, 0), 5: ("", 0)}

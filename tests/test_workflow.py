@@ -67,6 +67,78 @@ def test_closing_pass_repairs_recovered_entries(spark):
     assert len(rows) == len(fixes) and fixes["uncommented"] == 1 and fixes["year"] == 1 and fixes["month"] == 1 and fixes["percent"] == 1 and fixes["dropped"] == 3
 
 
+def test_keys_never_mislead(spark):
+    bibs, tex = project(spark, {
+        "main.tex": r"\cite{Ab!c} and \cite{Abc} and \cite{Gone}",
+        "references.bib": "@article{Ab!c, author={Doe, J}, year={2020}, title={First}}\n@article{Abc, author={Roe, J}, year={2021}, title={Second}, crossref={Par!ent}}\n@book{Par!ent, author={Poe, E}, year={1999}, title={Whole}}",
+    })
+    done = workflow.curate(bibs, tex)
+    assert done.tex.head()["content"] == r"\cite{Doe2020First} and \cite{Roe2021Second} and \cite{Gone}"
+    out = {r["key"]: r["fields"] for r in done.entries.collect()}
+    assert set(out) == {"Doe2020First", "Roe2021Second", "Poe1999Whole"} and out["Roe2021Second"]["crossref"] == "Poe1999Whole"
+    # A generated key never takes the name of a cited key that has no entry.
+    bibs, tex = project(spark, {"main.tex": r"\cite{a,Doe2020First}", "references.bib": "@article{a, author={Doe, J}, year={2020}, title={First}}"})
+    done = workflow.curate(bibs, tex)
+    assert [r["key"] for r in done.entries.collect()] != ["Doe2020First"] and done.tex.head()["content"].endswith(", Doe2020First}")
+
+
+def test_curation_keeps_what_is_no_entry(spark):
+    bibs, tex = project(spark, {
+        "main.tex": r"\cite{K}",
+        "references.bib": "@string{s = {X}}\n@preamble{p}\n@comment{free}\n@article{K, title={t}, journal=s}\n@article{broken title={x}}\n@article{unused, title={u}}",
+        "sections/all_unused.bib": "@article{U, title={v}}", "sections/bad.bib": "@article{A title={MissingEquals}}",
+    })
+    done = workflow.curate(bibs, tex, preserve_keys=True)
+    texts = {r["file"]: r["content"] for r in done.texts().collect()}
+    assert all(x in texts["references.bib"] for x in ("@string{s = {X}}", "@preamble{p}", "@comment{free}", "@article{K,", "@article{broken title={x}}")) and "unused" not in texts["references.bib"]
+    assert texts["sections/all_unused.bib"] == "" and texts["sections/bad.bib"] == "@article{A title={MissingEquals}}\n"
+    assert {(r["check"], r["file"]) for r in done.warnings.collect()} == {("unparsable", "sections/bad.bib")}
+
+
+def test_broad_citations(spark):
+    bibs, tex = project(spark, {"main.tex": r"\citep[see]{K} \citet*{L}", "references.bib": "@article{K, title={t}}\n@article{L, title={u}}\n@article{M, title={v}}"})
+    keys = lambda **o: {r["key"] for r in workflow.curate(bibs, tex, preserve_keys=True, **o).entries.collect()}
+    assert keys() == set() and keys(strict=False) == {"K", "L"}
+
+
+def test_journals_fall_back_word_by_word(spark):
+    from helpers import one_column
+    from refloom.functions.iso4 import abbreviation
+
+    given = ["Journal of Applied Physics", "Annals of the Royal Society", "Zoology Letters", "Proceedings of the National Academy of Sciences", "Glimmer Reports", None]
+    assert one_column(spark, given, abbreviation) == ["J. Appl. Phys.", "Ann. R. Soc.", "Zool. Lett.", "Proc. Natl. Acad. Sci.", "Glimmer Rep.", None]
+    bibs, tex = project(spark, {"main.tex": r"\cite{K,L}", "references.bib": "@article{K, title={t}, journal={Journal of Applied Physics}}\n@article{L, title={u}, journal={Nature}}"})
+    none = spark.createDataFrame([], "full string, short string, priority int, row_no long")
+    out = {r["key"]: r["fields"]["journal"] for r in workflow.curate(bibs, tex, none, preserve_keys=True).entries.collect()}
+    assert out == {"K": "J. Appl. Phys.", "L": "Nature"}
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster():
+    import pytest
+    from refloom import runtime
+
+    class Nothing:
+        def __getattr__(self, _):
+            return self
+
+        def __call__(self, *a, **k):
+            return self
+
+        master = "spark://host:7077"
+
+        def get(self, *a):
+            return None
+
+        def isDefined(self):  # noqa: N802
+            return False
+
+    class Session:
+        sparkContext = conf = Nothing()  # noqa: N815
+
+    with pytest.raises(RuntimeError):
+        runtime.ensure_checkpoint_dir(Session())
+
+
 def test_cli(spark, tmp_path, capsys):
     (tmp_path / "main.tex").write_text(r"\cite{oldkey}")
     (tmp_path / "references.bib").write_text("@article{oldkey, author={Smith, J}, year={2021}, title={An x}}")
@@ -74,6 +146,14 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main(["polish", str(tmp_path), "--yes"]) == 0
     assert (tmp_path / "main.tex").read_text() == r"\cite{Smith2021An}" and "@article{Smith2021An" in (tmp_path / "references.bib").read_text()
     assert (tmp_path / "references.bib.backup").exists() and "unique keys: 1" in capsys.readouterr().out
+    (tmp_path / "list.csv").write_text("Journal of Odd Things,J. Odd\n")
+    (tmp_path / "more.json").write_text('{"doi": "10.1/x", "fields": {"publisher": "House"}}\n')
+    (tmp_path / "main.tex").write_text(r"\citep[p. 1]{a,b}")
+    (tmp_path / "references.bib").write_text("@string{x = {y}}\n@article{a, journal={journal of odd things}, doi={10.1/x}}\n@article{b, journal={Annals of Physics}}")
+    assert cli.main(["curate", str(tmp_path), "--yes", "--preserve-keys", "--broad-citations", "--journals", str(tmp_path / "list.csv"), "--metadata", str(tmp_path / "more.json")]) == 0
+    text = (tmp_path / "references.bib").read_text()
+    assert "J. Odd}" in text and "Ann. Phys.}" in text and "publisher = {House}" in text and "@string{x = {y}}" in text
+    assert "@string" in (tmp_path / "references.bib.backup").read_text()
     empty = tmp_path / "empty"
     empty.mkdir()
     assert cli.main(["validate", str(empty)]) == 1
