@@ -7,8 +7,12 @@ ones become a dictionary. A multi-pattern automaton finds its entries in a
 field; dynamic programming then picks the most likely cover of the field by
 pieces, known ones at their frequency, unknown ones by their shape.
 
-The dictionary holds pieces with at least total / DICTIONARY occurrences, so it
-can't have more than DICTIONARY entries, whatever the data's size.
+Pieces with two occurrences or more are known. Those with a share of e^-11 of all
+or more, at most e^11 in number whatever the data's size, are sent to all workers.
+A rarer one only matters where its shape alone would cost it (a delimiter inside, a
+single word for a name): no other can score above an unknown piece. These are
+joined to the values they stand in, on the word before their first delimiter, and
+travel with the rows. So a value's pieces don't depend on which way they came.
 """
 
 from __future__ import annotations
@@ -24,10 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from refloom.runtime import spread
+from refloom.runtime import cut_lineage, spread
 
-DICTIONARY = 50_000
+#: No more pieces than this can have a share that outweighs UNKNOWN.
+DICTIONARY = 59_875
+#: Up to so many values with rare pieces in them are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 20_000
 FIELDS = ("author", "keywords")
+#: An unknown piece spans so many cuts at most, as each costs it CROSSED; known ones have no such bound.
+NEAR = 6
 UNKNOWN, MALFORMED, CROSSED = -11.0, -30.0, -20.0
 
 #: Delimiters outside quotes and braces; the word between names and the sign for it need blanks around them.
@@ -136,21 +145,25 @@ def plausible(value: str, field: str) -> bool:
     return not comma or ("," not in right and not (full_name(left) and full_name(right)))
 
 
+def _sheltered(piece: str, field: str) -> bool:
+    """Whether a known piece has delimiters to protect. Of names only those with a joining word inside do; their commas are told by shape."""
+    return bool(re.search(r"\s(?:and|&)\s" if field == "author" else _DELIMITER.pattern, piece))
+
+
 class Segmenter:
-    """Cuts fields with the help of a dictionary of known values."""
+    """Cuts fields with the help of a dictionary of known values; ``totals`` are the occurrences of all known pieces by field."""
 
-    def __init__(self, counts: dict[str, dict[str, int]], phrases: set[str] = frozenset()):
+    def __init__(self, counts: dict[str, dict[str, int]], phrases: set[str] = frozenset(), totals: dict[str, int] | None = None):
         import ahocorasick
 
         counts = {f: {v: n for v, n in c.items() if plausible(v, f)} for f, c in counts.items()}
         self.counts, self.phrases = counts, phrases
-        self.total = {f: max(1, sum(c.values())) for f, c in counts.items()}
+        self.total = {f: max(1, (totals or {}).get(f, sum(c.values()))) for f, c in counts.items()} | {f: max(1, n) for f, n in (totals or {}).items()}
+        self.rare: dict[str, int] = {}
         self.automata = {}
         for f, c in counts.items():
             a = ahocorasick.Automaton()
-            # Of names only those with a joining word inside need shelter; their commas are told by shape.
-            inside = (r"\s(?:and|&)\s" if f == "author" else _DELIMITER.pattern)
-            for v in [v for v in c if re.search(inside, v)] + (list(phrases) if f == "author" else []):
+            for v in [v for v in c if _sheltered(v, f)] + (list(phrases) if f == "author" else []):
                 a.add_word(v, v)
             if len(a):
                 a.make_automaton()
@@ -160,10 +173,14 @@ class Segmenter:
         """Where known values with delimiters inside stand, at word ends only."""
         a = self.automata.get(field)
         low = text.lower()
-        if a is None or len(low) != len(text):
+        if len(low) != len(text):
             return []
         out = []
-        for end, v in a.iter(low):
+        spots = [(end, v) for end, v in a.iter(low)] if a is not None else []
+        for v, n in self.rare.items():
+            if not n or _sheltered(v, field):
+                spots += [(m.end() - 1, v) for m in re.finditer(re.escape(v), low)]
+        for end, v in spots:
             start = end - len(v) + 1
             if (start == 0 or not low[start - 1].isalnum()) and (end + 1 == len(low) or not low[end + 1].isalnum()):
                 out.append((start, end + 1))
@@ -174,7 +191,8 @@ class Segmenter:
             return 0.0
         if crossed and not wrapped and re.search(r'["{}]', piece):
             return UNKNOWN + CROSSED * len(crossed)
-        n = self.counts.get(field, {}).get(normal(unwrap(piece)), 0)
+        own = normal(unwrap(piece))
+        n = self.counts.get(field, {}).get(own, 0) or self.rare.get(own, 0)
         known = math.log((n + 0.1) / self.total.get(field, 1)) if n else None
         if field == "author":
             shape = self._author_shape(piece, crossed, shielded, wrapped)
@@ -203,8 +221,12 @@ class Segmenter:
             return MALFORMED
         return UNKNOWN - 4.0
 
-    def split(self, text: str | None, field: str) -> list[str]:
-        """The values of a field in order. NULL and blank fields hold none; empty pieces and closing marks are none."""
+    def split(self, text: str | None, field: str, rare: dict[str, int] | None = None) -> list[str]:
+        """The values of a field in order. NULL and blank fields hold none; empty pieces and closing marks are none.
+
+        ``rare`` holds known pieces beyond the dictionary and their counts, 0 for a phrase.
+        """
+        self.rare = {v: n for v, n in (rare or {}).items() if not n or plausible(v, field)}
         if not text or not text.strip():
             return []
         if field == "author":
@@ -233,11 +255,18 @@ class Segmenter:
         begins, reach = [a for a, _ in safe], list(accumulate((b for _, b in safe), max))
         shields = [(k := bisect.bisect_right(begins, s) - 1) >= 0 and reach[k] >= e for s, e, _ in cuts]
         edges = [(0, 0), *[(s, e) for s, e, _ in cuts], (len(text), len(text))]
+        # A known value may reach over any number of cuts: from the last edge before it to the first one behind it.
+        far: dict[int, set[int]] = {}
+        ends, heads = [e for _, e in edges], [s for s, _ in edges]
+        for a, b in safe:
+            i, j = bisect.bisect_right(ends, a) - 1, bisect.bisect_left(heads, b, lo=1)
+            if 0 <= i < j < len(edges) and j - i > NEAR:
+                far.setdefault(j, set()).add(i)
         best: list[float] = [0.0]
         back: list[int] = [0]
         for j in range(1, len(edges)):
             top, arg = -math.inf, j - 1
-            for i in range(j - 1, max(-1, j - 7), -1):
+            for i in (*range(j - 1, max(-1, j - NEAR - 1), -1), *sorted(far.get(j, ()), reverse=True)):
                 piece = text[edges[i][1] : edges[j][0]].strip()
                 kinds = [cuts[k][2] for k in range(i, j - 1)]
                 held = [shields[k] for k in range(i, j - 1)]
@@ -276,26 +305,78 @@ def _pieces(v: Column, field: Column) -> Column:
     return F.concat(braced, quoted, F.when(field == "author", names).otherwise(terms))
 
 
-def dictionary(values: DataFrame, size: int = DICTIONARY) -> tuple[dict[str, dict[str, int]], set[str]]:
-    """Frequent pieces by field with their counts, and the phrases that hold a joining word inside wrapped author values."""
+def _tidy(c: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))
+
+
+def known_pieces(values: DataFrame) -> DataFrame:
+    """``(field, p, n, phrase)`` of the pieces with two occurrences or more, and of the phrases with a joining word inside wrapped names."""
+    pieces = values.select("field", F.explode(_pieces(F.col("v"), F.col("field"))).alias("p")).select("field", _tidy(F.col("p")).alias("p"), F.lit(False).alias("phrase"))
+    orgs = values.where("field = 'author'").select("field", F.explode(F.regexp_extract_all("v", F.lit(r"\{([^{}]+)\}"), F.lit(1))).alias("p"))
+    phrases = orgs.select("field", _tidy(F.regexp_extract("p", r"(?U)(\w[\w'’.-]*\s+(?:and|&)\s+\w[\w'’-]*)", 1)).alias("p"), F.lit(True).alias("phrase"))
+    return pieces.unionByName(phrases).where("p <> ''").groupBy("field", "p", "phrase").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+
+
+#: A word and the delimiter behind it; and a word alone between delimiters.
+_STEP = r"([^\s,;|/&{}\"]+)(?:\s*([,;|/·•])|\s+(and|&)\s)"
+_ALONE = r"(?:^|[;,|/&]|\sand\s)\s*([^\s,;|/&{}\"]+)\s*(?=$|[;,|/&]|\sand\s)"
+
+
+def _steps(text: Column) -> Column:
+    """The words of a text before its delimiters, with the delimiter."""
+    return F.transform(F.regexp_extract_all(text, F.lit(_STEP), F.lit(0)), lambda x: F.regexp_replace(x, r"\s+", ""))
+
+
+def _costly(piece: str, field: str) -> bool:
+    """Whether a piece's shape alone would score it below an unknown value, so that knowing it matters."""
+    if not plausible(piece, field):
+        return False
+    kinds = [m[0] for m in _DELIMITER.finditer(piece)]
+    if field != "author":
+        return any(k not in ("and", "&", "/") for k in kinds)
+    return any(k != "," for k in kinds) or Segmenter._author_shape(None, piece, kinds, [False] * len(kinds), False) < UNKNOWN
+
+
+def rare_in(values: DataFrame, rare: DataFrame) -> DataFrame:
+    """``(field, v, rare)``: the values in which rare known pieces stand, and these as a map to their counts, 0 for a phrase."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [bool(ph) or _costly(p, f) for f, p, ph in zip(*(b.column(i).to_pylist() for i in range(3)))]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    costly = rare.select("field", "p", "phrase", F.when(F.col("phrase"), 0).otherwise(F.col("n")).cast("long").alias("n"))
+    costly = costly.mapInArrow(run, costly.schema).withColumn("s", _steps(F.col("p")))
+    keyed = costly.select("field", "p", "n", F.coalesce(F.try_element_at("s", F.lit(1)), F.concat(F.lit("="), "p")).alias("k"))
+    low = F.regexp_replace(F.lower("v"), r"(?U)\s+", " ")
+    alone = F.when(F.col("field") == "author", F.transform(F.regexp_extract_all(low, F.lit(_ALONE), F.lit(1)), lambda x: F.concat(F.lit("="), x))).otherwise(F.array().cast("array<string>"))
+    probes = values.select("field", "v", F.explode(F.array_distinct(F.concat(_steps(low), alone))).alias("k"))
+    hits = probes.join(keyed, ["field", "k"]).where(F.contains(low, F.col("p")))
+    return hits.groupBy("field", "v").agg(F.map_from_entries(F.collect_set(F.struct("p", "n"))).alias("rare"))
+
+
+def split_values(values: DataFrame, size: int = DICTIONARY, of: Column | None = None) -> DataFrame:
+    """``(entry_id, field, vs, n)``: the values of each field in order, and how many; the dictionary is learned from all of ``values``, and those of ``of`` are split."""
+    known = known_pieces(values).persist()
+    totals = {r["field"]: r["n"] for r in known.where("NOT phrase").groupBy("field").agg(F.sum("n").alias("n")).collect()}
+    least = math.ceil(sum(totals.values()) / size)
     counts: dict[str, dict[str, int]] = {}
-    tidy = lambda c: F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))
-    pieces = values.select("field", F.explode(_pieces(F.col("v"), F.col("field"))).alias("p")).select("field", tidy(F.col("p")).alias("p")).where("p <> ''")
-    counted = pieces.groupBy("field", "p").agg(F.count(F.lit(1)).alias("n")).persist()
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
-    for r in counted.where(F.col("n") >= max(2, math.ceil(total / size))).collect():
-        counts.setdefault(r["field"], {})[r["p"]] = r["n"]
-    counted.unpersist()
-    orgs = values.where("field = 'author'").select(F.explode(F.regexp_extract_all("v", F.lit(r"\{([^{}]+)\}"), F.lit(1))).alias("p"))
-    joined = orgs.select(tidy(F.regexp_extract("p", r"(?U)(\w[\w'’.-]*\s+(?:and|&)\s+\w[\w'’-]*)", 1)).alias("p")).where("p <> ''")
-    counted = joined.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-    phrases = {r["p"] for r in counted.where(F.col("n") >= F.greatest(F.lit(2), F.lit(math.ceil(total / size)))).collect()}
-    return counts, phrases
-
-
-def split_values(values: DataFrame, counts: dict[str, dict[str, int]], phrases: set[str]) -> DataFrame:
-    """``(entry_id, field, pos, value)`` of each value; ``pos`` counts from 1."""
-    shared = values.sparkSession.sparkContext.broadcast((counts, phrases))
+    phrases: set[str] = set()
+    for r in known.where(F.col("n") >= least).collect():
+        if r["phrase"]:
+            phrases.add(r["p"])
+        else:
+            counts.setdefault(r["field"], {})[r["p"]] = r["n"]
+    values = values if of is None else values.where(of)
+    rows = spread(values.select("entry_id", "field", "v"))
+    if least > 2:
+        found = cut_lineage(rare_in(values, known.where(F.col("n") < least)))
+        found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+        rows = rows.join(found, ["field", "v"], "left").select("entry_id", "field", "v", "rare")
+    else:
+        rows = rows.withColumn("rare", F.lit(None).cast("map<string,bigint>"))
+    known.unpersist()
+    shared = values.sparkSession.sparkContext.broadcast((counts, phrases, totals))
     made: list[Segmenter] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,12 +384,12 @@ def split_values(values: DataFrame, counts: dict[str, dict[str, int]], phrases:
             made.append(Segmenter(*shared.value))
         seg = made[0]
         for batch in batches:
-            out = [seg.split(v, f) for f, v in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            fields, texts, rare = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            out = [seg.split(v, f, dict(r) if r else None) for f, v, r in zip(fields, texts, rare)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.string()))], names=["entry_id", "field", "vs"])
 
     schema = T.StructType([values.schema["entry_id"], T.StructField("field", T.StringType()), T.StructField("vs", T.ArrayType(T.StringType()))])
-    rows = spread(values.select("entry_id", "field", "v")).mapInArrow(run, schema)
-    return rows.select("entry_id", "field", "vs", F.size("vs").alias("n"))
+    return rows.mapInArrow(run, schema).select("entry_id", "field", "vs", F.size("vs").alias("n"))
 
 
 def unpack(entries: DataFrame, names: tuple[str, ...] = FIELDS, least: int = 1) -> DataFrame:
@@ -318,7 +399,6 @@ def unpack(entries: DataFrame, names: tuple[str, ...] = FIELDS, least: int = 1)
     empty table gives no rows. Very long fields are taken whole.
     """
     values = field_values(entries, names)
-    if least > 1:
-        values = values.where(F.col("v").rlike(r"(?iU)[,;|/\n\t\r·&•]|\sand\s"))
-    rows = split_values(values, *dictionary(field_values(entries, names))).where(F.col("n") >= least)
+    several = F.col("v").rlike(r"(?iU)[,;|/\n\t\r·&•]|\sand\s") if least > 1 else F.lit(True)
+    rows = split_values(values, of=several).where(F.col("n") >= least)
     return rows.select("entry_id", "field", F.posexplode("vs").alias("p", "value")).select("entry_id", "field", (F.col("p") + 1).alias("pos"), "value")

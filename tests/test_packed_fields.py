@@ -34,6 +34,25 @@ def test_authors():
     assert s.split("Institute of Rivers and Shores and Bob Xylo", "author") == ["Institute of Rivers and Shores", "Bob Xylo"]
 
 
+def test_known_values_of_any_length():
+    s = P.Segmenter({"keywords": {"alpha, b, c, d, e, f, g, h": 500, "kiln": 50}})
+    assert s.split("Alpha, b, c, d, e, f, g, h; other", "keywords") == ["Alpha, b, c, d, e, f, g, h", "other"]
+    assert s.split("kiln, alpha, b, c, d, e, f, g, h, kiln", "keywords") == ["kiln", "alpha, b, c, d, e, f, g, h", "kiln"]
+    long = ", ".join(f"w{i}" for i in range(60))
+    assert P.Segmenter({"keywords": {long: 2, "x": 9}}).split(f"x; {long}; y", "keywords") == ["x", long, "y"]
+
+
+def test_rare_pieces_come_by_join(spark):
+    """Split alike whether a known piece is in the dictionary or is joined."""
+    rows = [(i, "a.bib", "k", {"keywords": "kiln; clay; chalk"}) for i in range(200)]
+    rows += [(300 + i, "a.bib", "k", {"keywords": "{water, brackish; deep}; kiln", "author": "{Institute of Rivers and Shores} and {Plato} and Ann Bee"}) for i in range(2)]
+    rows += [(400, "a.bib", "k", {"keywords": "clay, water, brackish; deep, kiln", "author": "Plato and Institute of Rivers and Shores and Bob Xylo"})]
+    values = P.field_values(entries(spark, rows))
+    out = {(r["entry_id"], r["field"]): r["vs"] for r in P.split_values(values).where("entry_id = 400").collect()}
+    by_join = {(r["entry_id"], r["field"]): r["vs"] for r in P.split_values(values, size=20).where("entry_id = 400").collect()}
+    assert out == by_join == {(400, "keywords"): ["clay", "water, brackish; deep", "kiln"], (400, "author"): ["Plato", "Institute of Rivers and Shores", "Bob Xylo"]}
+
+
 def test_edges():
     s = seg()
     for v in (None, "", "  ", ";;", '""', "and", "{", '"', ", ,"):
