@@ -12,7 +12,8 @@ brackets, volume, year and publisher notes don't count, and inverted titles
    into k+1 segments. A name within k edits keeps one segment whole, shifted by
    k places at most, so names join on (length, segment number, substring) and
    every candidate is verified with the built-in bounded levenshtein, over the
-   whole name and word by word. A word that the list itself knows is never taken
+   whole name and word by word, or without blanks where an edit touched one. Short
+   forms are cut and joined likewise. A word that the list itself knows is never taken
    for a misspelling of another one, so another form of title is another journal.
 
 Names that match nothing are found by anti-join and get -1. The listed names are
@@ -111,11 +112,19 @@ def _near(q: Column, r: Column, known: Column, close: Column) -> Column:
         slack = F.when(F.length(b) >= 9, 3).when(F.length(b) >= 4, 2).otherwise(0)
         has_close = F.exists(close, lambda c: F.startswith(c, F.concat(a, F.lit("|"))))
         meant = F.when(has_close, F.array_contains(close, F.concat_ws("|", a, b))).otherwise(F.levenshtein(a, b) <= slack)
-        return (a == b) | (~F.array_contains(known, a) & meant)
+        # A joining word may have run into its neighbour.
+        glued = F.exists(F.array(*map(F.lit, JOINING)), lambda j: (a == F.concat(b, j)) | (a == F.concat(j, b)))
+        return (a == b) | (~F.array_contains(known, a) & (meant | glued))
 
     return F.forall(F.zip_with(q, r, lambda a, b: word(a, b)), lambda x: x)
 
 
+def _parted(q: Column, r: Column) -> Column:
+    """Words that run together or are broken apart: without blanks the same letters, but for one that may be another."""
+    a, b = F.array_join(q, ""), F.array_join(r, "")
+    return (F.abs(F.size(q) - F.size(r)) == 1) & (F.length(a) == F.length(b)) & (F.levenshtein(a, b) <= 1)
+
+
 def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
@@ -143,9 +152,12 @@ def match_names(names: DataFrame, journals: DataFrame, k: int = K) -> DataFrame:
     # Left-over letters decide between journals that an abbreviation may mean.
     short = cut_lineage(short.groupBy("qt").agg(F.min_by("row_no", F.struct(F.length("rt"), "row_no")).alias("row_no")))
 
-    cut = full.select("row_no", "rw", "rt", F.length("rt").alias("ln"), F.explode(_segments(F.col("rt"), k)).alias("s")).select("row_no", "rw", "rt", "ln", "s.i", "s.seg")
+    # Short forms are cut like full names; in these few letters a single edit or swap is all that may part them.
+    short_forms = refs.where("form = 'short'").select("row_no", F.col("words").alias("rw"), _text(F.col("words")).alias("rt"))
+    forms = full.withColumn("most", F.lit(k)).unionByName(short_forms.withColumn("most", F.lit(1)))
+    cut = forms.select("row_no", "rw", "rt", "most", F.length("rt").alias("ln"), F.explode(_segments(F.col("rt"), k)).alias("s")).select("row_no", "rw", "rt", "most", "ln", "s.i", "s.seg")
     open_names = cut_lineage(texts.join(exact, "qt", "left_anti").join(short, "qt", "left_anti"))
-    vocabulary = full.select(F.explode("rw").alias("w")).distinct()
+    vocabulary = forms.select(F.explode("rw").alias("w")).distinct()
     used = open_names.select("qt", F.explode("qw").alias("w")).distinct()
     # Listed words a single error away, by equality of deletion keys.
     v = vocabulary.where(F.length("w") >= 4).select(F.col("w").alias("listed"), F.explode(deletion_keys(F.col("w"))).alias("k"))
@@ -157,10 +169,12 @@ def match_names(names: DataFrame, journals: DataFrame, k: int = K) -> DataFrame:
     open_names = cut_lineage(open_names.join(notes, "qt"))
     # Few bytes, but much work: over all cores.
     probes = spread(open_names.select("qt")).select("qt", F.explode(_probes(F.col("qt"), k)).alias("p")).select("qt", "p.ln", "p.i", "p.seg")
-    pairs = probes.join(_maybe_broadcast(cut.select("ln", "i", "seg", "row_no", "rt"), n_refs * (k + 1)), ["ln", "i", "seg"]).withColumn("d", F.levenshtein("qt", "rt", k)).where("d >= 0")
-    near = pairs.select("qt", "row_no", "d").distinct().join(open_names, "qt").join(_maybe_broadcast(full.select("row_no", "rw"), n_refs), "row_no")
-    near = near.where(F.size("qw") == F.size("rw")).where(_near(F.col("qw"), F.col("rw"), F.col("own"), F.col("close")))
-    near = cut_lineage(near.groupBy("qt").agg(F.min_by("row_no", F.struct("d", "row_no")).alias("row_no")))
+    pairs = probes.join(_maybe_broadcast(cut.select("ln", "i", "seg", "row_no", "rt", "most"), n_refs * (k + 1)), ["ln", "i", "seg"]).withColumn("d", F.levenshtein("qt", "rt", k)).where((F.col("d") >= 0) & ((F.col("d") <= F.col("most")) | ((F.col("d") == 2) & one_error(F.col("qt"), F.col("rt")))))
+    near = pairs.select("qt", "row_no", "rt", "most", "d").distinct().join(open_names, "qt").join(_maybe_broadcast(forms.select("row_no", "rt", "rw"), n_refs), ["row_no", "rt"])
+    by_word = (F.size("qw") == F.size("rw")) & _near(F.col("qw"), F.col("rw"), F.col("own"), F.col("close"))
+    near = near.where(by_word | _parted(F.col("qw"), F.col("rw")))
+    # A full name comes before a short form, so that of equal edits the longer text decides.
+    near = cut_lineage(near.groupBy("qt").agg(F.min_by("row_no", F.struct("d", -F.col("most"), "row_no")).alias("row_no")))
     found = exact.unionByName(short).unionByName(near)
     return q.select("name", "qt").join(found, "qt").select("name", "row_no")
 

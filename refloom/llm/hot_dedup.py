@@ -76,7 +76,7 @@ def copies(canon: DataFrame, row_id: str = "entry_id", hot_rows: int = HOT_ROWS,
 
     rest = canon.where(~is_hot)
     found = rest.groupBy("d").agg(F.min(row_id).alias("group_id"), F.count(F.lit(1)).alias("n_copies")).where("n_copies > 1")
-    cold = rest.join(found.hint("shuffle_hash"), "d").select("group_id", row_id, "n_copies")
+    cold = rest.join(found, "d").select("group_id", row_id, "n_copies")
     if not hot_list:
         return cold
 

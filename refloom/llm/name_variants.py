@@ -2,21 +2,27 @@
 
 Merge-and-rematch resolution. Names are parsed into surname, given name (nicknames
 resolved), initials; organisations into place and subject. Equal parses are one
-node. Nodes are merged along equality joins only:
+node, and a node's profile is all that its entity has gathered. Profiles merge
+along equality joins only:
 
+* middle initials that continue one another under one surname and given name;
 * one typing error in the given name: (surname, deletion key of the given name);
 * one typing error in the surname or place: (deletion key of the surname, given name);
 * a particle written together with the surname.
 
-Merging unions the spellings, given names and initials of a profile, so nodes
-that only have initials are matched against profiles, not against nodes: such a
-node joins a profile if it is the only one of its surname (any spelling the
-profile has gathered) that its initials fit. Merges make profiles fewer and
-richer, hence such nodes re-enter until a round merges nothing.
-
-No pairs are made inside a block: blocks are keyed by deletion keys over
-distinct parses, whose number is bounded by the alphabet. Components come from
-minimum labels with pointer jumping, checkpointed to the shared folder.
+Where the middle initials under a surname and given name contradict, there are
+several people: each initial is one of them, and a bare name says which of them
+only once they have merged. Such names, those with initials only and nicknames of several names are
+loose: one joins a profile if it is the only one of its surname (any spelling
+the profile has gathered) that it fits. Merging unions spellings, given names and
+middle initials, so in every round all profiles enter the blocking again, first along typing
+errors, then the loose ones, until a round merges nothing.
+
+Typing errors are looked for among distinct pairs of surname and given name, so a key
+holds only words within one deletion of each other, whose number the alphabet
+bounds, however many middle initials or spellings a pair has; people are then
+met by their first middle initial. Components come from minimum labels with
+pointer jumping, checkpointed to the shared folder.
 """
 
 from __future__ import annotations
@@ -30,21 +36,25 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from refloom.operators.skew import join_even
 from refloom.runtime import cut_lineage
 
-#: Short forms of given names.
+#: Short forms of given names and the names they stand for, several where usage differs.
 NICKNAMES = {
-    "alex": "alexander", "sasha": "alexander", "sandy": "alexander", "toni": "antonia", "tonya": "antonia", "ben": "benjamin", "benny": "benjamin", "benji": "benjamin",
-    "carmina": "carmen", "dan": "daniel", "danny": "daniel", "lola": "dolores", "lolita": "dolores", "ed": "edward", "eddie": "edward", "ted": "edward", "ned": "edward",
-    "nell": "eleanor", "nora": "eleanor", "ellie": "eleanor", "liz": "elizabeth", "beth": "elizabeth", "lisa": "elizabeth", "betty": "elizabeth", "eliza": "elizabeth",
-    "eva": "ewa", "paco": "francisco", "pancho": "francisco", "curro": "francisco", "fred": "frederick", "freddy": "frederick", "fritz": "frederick", "gabe": "gabriel",
-    "beppe": "giuseppe", "peppe": "giuseppe", "pino": "giuseppe", "hans": "johannes", "hannes": "johannes", "jan": "johannes", "jo": "josephine", "josie": "josephine",
-    "pepe": "jose", "kate": "katherine", "kathy": "katherine", "katie": "katherine", "kitty": "katherine", "leo": "leonard", "len": "leonard", "lenny": "leonard",
-    "peggy": "margaret", "maggie": "margaret", "meg": "margaret", "greta": "margaret", "mike": "michael", "mick": "michael", "nick": "nicholas", "klaus": "nicholas",
-    "niko": "nicholas", "andy": "ondrej", "pat": "patricia", "patty": "patricia", "trish": "patricia", "tricia": "patricia", "becky": "rebecca", "becca": "rebecca",
-    "dick": "richard", "rick": "richard", "rich": "richard", "bob": "robert", "rob": "robert", "bobby": "robert", "bert": "robert", "sam": "samuel", "sammy": "samuel",
-    "sue": "susanna", "susie": "susanna", "dora": "theodora", "thea": "theodora", "tom": "tomas", "tommy": "tomas", "uli": "ulrich", "vic": "victoria", "vicky": "victoria",
-    "tori": "victoria", "bill": "william", "will": "william", "billy": "william", "liam": "william", "wendy": "wanda", "quin": "quentin", "jurg": "jurgen",
+    "abby": "abigail", "alex": "alexander", "sasha": "alexander", "sandy": "alexander", "andy": "andrew andreas ondrej anders", "drew": "andrew", "toni": "antonia", "tonya": "antonia",
+    "tony": "anthony antonio", "ben": "benjamin", "benny": "benjamin", "benji": "benjamin", "bernie": "bernard", "cathy": "catherine", "carmina": "carmen", "chuck": "charles", "charlie": "charles",
+    "chris": "christopher christian christine", "dan": "daniel", "danny": "daniel", "dave": "david", "debbie": "deborah", "lola": "dolores", "lolita": "dolores", "don": "donald", "doug": "douglas",
+    "ed": "edward", "eddie": "edward", "ted": "edward theodore", "ned": "edward", "nell": "eleanor", "nora": "eleanor", "ellie": "eleanor", "liz": "elizabeth", "beth": "elizabeth",
+    "lisa": "elizabeth", "betty": "elizabeth", "eliza": "elizabeth", "eva": "ewa", "paco": "francisco", "pancho": "francisco", "curro": "francisco", "fred": "frederick", "freddy": "frederick",
+    "fritz": "frederick", "gabe": "gabriel", "jerry": "gerald jerome", "beppe": "giuseppe", "peppe": "giuseppe", "pino": "giuseppe", "greg": "gregory", "harry": "harold henry", "jim": "james",
+    "jimmy": "james", "jeff": "jeffrey", "jenny": "jennifer", "hans": "johannes", "hannes": "johannes", "jan": "johannes", "johnny": "john", "jo": "josephine", "josie": "josephine",
+    "joe": "joseph", "pepe": "jose", "kate": "katherine", "kathy": "katherine", "katie": "katherine", "kitty": "katherine", "ken": "kenneth", "larry": "lawrence", "leo": "leonard",
+    "len": "leonard", "lenny": "leonard", "peggy": "margaret", "maggie": "margaret", "meg": "margaret", "greta": "margaret", "matt": "matthew", "mike": "michael", "mick": "michael",
+    "nick": "nicholas", "klaus": "nicholas", "niko": "nicholas", "pat": "patricia patrick", "patty": "patricia", "trish": "patricia", "tricia": "patricia", "pete": "peter", "phil": "philip",
+    "ray": "raymond", "becky": "rebecca", "becca": "rebecca", "dick": "richard", "rick": "richard", "rich": "richard", "bob": "robert", "rob": "robert", "bobby": "robert", "bert": "robert albert",
+    "ron": "ronald", "sam": "samuel", "sammy": "samuel", "steve": "steven stephen", "sue": "susanna", "susie": "susanna", "dora": "theodora", "thea": "theodora", "tom": "tomas thomas",
+    "tommy": "tomas thomas", "tim": "timothy", "uli": "ulrich", "vic": "victoria victor", "vicky": "victoria", "tori": "victoria", "walt": "walter", "wendy": "wanda", "bill": "william",
+    "will": "william", "billy": "william", "liam": "william", "quin": "quentin", "jurg": "jurgen",
 }
 PARTICLES = frozenset("van von der den de la le di da du del ten ter zu d".split())
 #: Words and short forms by which organisations are told from persons.
@@ -56,7 +66,11 @@ ORG_WORDS = {
 _DROPPED = frozenset("the of at and for in on".split())
 #: Letters without a canonical decomposition.
 _PLAIN = str.maketrans({"ø": "o", "ł": "l", "ß": "ss", "æ": "ae", "œ": "oe", "đ": "d", "ð": "d", "þ": "th", "ı": "i"})
-LEXICON = 20_000
+SALTS = 16
+#: A given name is common if so many names have it where only given names stand.
+COMMON = 3
+#: Up to so many common given names are sent to the workers; more are joined to the names' words.
+BROADCAST_ROWS = 200_000
 
 
 def fold(text: str) -> str:
@@ -109,7 +123,8 @@ def parse(name: str | None, given_lexicon: frozenset[str] | set[str] = frozenset
     if not tokens:
         return surname, "", "", "", whole
     first, rest = tokens[0], tokens[1:]
-    full = NICKNAMES.get(first, first) if len(first) > 1 else ""
+    meant = NICKNAMES.get(first, first)
+    full = "" if len(first) == 1 else first if " " in meant else meant
     return surname, full, (full or first)[0], "".join(t[0] for t in rest), whole
 
 
@@ -121,8 +136,8 @@ def _known(token: str, lexicon) -> bool:
     return token in lexicon or token in NICKNAMES
 
 
-def given_lexicon(names: DataFrame, size: int = LEXICON) -> set[str]:
-    """Frequent given names: those that stand behind the comma or first in many names; at most ``size``."""
+def given_lexicon(names: DataFrame) -> DataFrame:
+    """``(g, n)``: common given names, those that stand behind the comma or first in ``COMMON`` names or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,25 +150,46 @@ def given_lexicon(names: DataFrame, size: int = LEXICON) -> set[str]:
                     out.append(t[0].rstrip("."))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["g"])
 
-    counted = names.select("name").mapInArrow(run, "g string").groupBy("g").agg(F.count(F.lit(1)).alias("n")).persist()
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
-    found = {r["g"] for r in counted.where(F.col("n") >= max(3, -(-total // size))).collect()}
-    counted.unpersist()
-    return found
+    return names.select("name").mapInArrow(run, "g string").groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+
+
+def _words_asked(name: str | None) -> list[str]:
+    """The words that ``parse`` may look up in the lexicon."""
+    words = re.findall(r"[^\W\d_]+", fold(name or "")) + fold(name or "").strip("{}\" \t\n").rstrip(",").split()
+    return list({*words, *(NICKNAMES[w] for w in words if w in NICKNAMES)})
+
+
+def parsed(names: DataFrame, lexicon: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``(name_id, sur, given, fi, mid, whole, common)``; names that parse to nothing are left out.
 
+    A lexicon of more than ``most`` rows is joined to the words of the names, with the same outcome.
+    """
+    names = names.select(F.col("name_id").cast("long").alias("name_id"), "name")
+    lexicon = cut_lineage(lexicon)
+    small = lexicon.count() <= most
+    if small:
+        asked = names.withColumn("known", F.array().cast("array<string>"))
+        shared = names.sparkSession.sparkContext.broadcast(frozenset(r["g"] for r in lexicon.select("g").toLocalIterator()))
+    else:
+        def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_words_asked(n) for n in batch.column(1).to_pylist()], pa.list_(pa.string()))], names=["name_id", "name", "ws"])
 
-def parsed(names: DataFrame, lexicon: set[str]) -> DataFrame:
-    """``(name_id, sur, given, fi, mid, whole, common)``; names that parse to nothing are left out."""
-    shared = names.sparkSession.sparkContext.broadcast(frozenset(lexicon))
+        each = names.mapInArrow(words, "name_id long, name string, ws array<string>").select("name_id", "name", F.explode_outer("ws").alias("g"))
+        uses = each.groupBy("g").agg(F.count(F.lit(1)).alias("n")).join(lexicon.select("g", F.lit(True).alias("hit")), "g")
+        asked = join_even(each, uses, "g", how="left").groupBy("name_id", "name").agg(F.collect_set(F.when(F.col("hit"), F.col("g"))).alias("known"))
+        shared = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [parse(n, shared.value) for n in batch.column(1).to_pylist()]
+            texts, known = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            own = [shared.value if small else set(k) for k in known]
+            rows = [parse(n, k) for n, k in zip(texts, own)]
             cols = [pa.array([r[i] for r in rows], pa.string()) for i in range(5)]
-            common = pa.array([r[1] in shared.value for r in rows], pa.bool_())
+            common = pa.array([r[1] in k for r, k in zip(rows, own)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols, common], names=["name_id", "sur", "given", "fi", "mid", "whole", "common"])
 
-    return names.select(F.col("name_id").cast("long").alias("name_id"), "name").mapInArrow(run, "name_id long, sur string, given string, fi string, mid string, whole string, common boolean").where("sur <> '' OR fi = '#'")
+    return asked.mapInArrow(run, "name_id long, sur string, given string, fi string, mid string, whole string, common boolean").where("sur <> '' OR fi = '#'")
 
 
 def deletion_keys(c: Column) -> Column:
@@ -186,45 +222,74 @@ def _mids_fit(a: Column, b: Column) -> Column:
     return F.startswith(a, b) | F.startswith(b, a)
 
 
-def _typing_edges(nodes: DataFrame) -> DataFrame:
-    """Nodes one typing error apart, or apart by a particle written together with the surname; one self-join on keys."""
+#: What names have in common before middle initials are looked at.
+PAIR = ["sur", "given", "fi"]
+
+
+def _people(nodes: DataFrame) -> DataFrame:
+    """Nodes with ``m1``, ``low`` and ``loose``: the smallest node of their person, by middle initials alone.
+
+    The middle initials under a surname and given name are one person's if all
+    continue one another; else each first initial is a person, unless its own contradict, and bare names are loose.
+    """
+    x = nodes.withColumn("m1", F.substring("mid", 1, 1)).withColumn("k", F.struct(*PAIR, "m1"))
+    c = x.groupBy("k").agg(F.max_by("mid", F.struct(F.length("mid"), "mid")).alias("longest"), F.min("node").alias("low1"), F.count(F.lit(1)).alias("n"))
+    x = join_even(x, c, "k").withColumn("fits", F.startswith("longest", F.col("mid")))
+    c = x.groupBy("k").agg(F.bool_and("fits").alias("ok"), F.min("node").alias("low1"), F.count(F.lit(1)).alias("n"))
+    g = c.groupBy(*[F.col(f"k.{p}").alias(p) for p in PAIR]).agg((F.bool_and("ok") & (F.count_if(F.col("k.m1") != "") <= 1)).alias("one"), F.min("low1").alias("low"))
+    both = c.select("k", "n", "ok", "low1", *[F.col(f"k.{p}").alias(p) for p in PAIR]).join(g, PAIR).select("k", "n", "ok", "low1", "one", "low")
+    x = join_even(x.drop("low1", "longest", "fits"), both, "k")
+    low = F.when(F.col("one"), F.col("low")).when((F.col("m1") != "") & F.col("ok"), F.col("low1")).otherwise(F.col("node"))
+    several = F.col("given").isin(*[n for n, v in NICKNAMES.items() if " " in v])
+    loose = F.when(F.col("fi") == "#", False).otherwise((F.col("given") == "") | several | (~F.col("one") & (F.col("m1") == "")))
+    return x.select("node", *PAIR, "mid", "whole", "common", "m1", low.alias("low"), loose.alias("loose"))
+
+
+def _typing_edges(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(a, b)``: labels of profiles one typing error apart, or apart by a particle written together with the surname."""
     glued = F.regexp_replace("sur", "^(?:vander|vanden|van|vonder|von|dela|della|del|de|di|du|d)(?=.{4})", "")
     by_sur = F.array_union(F.array_union(deletion_keys(F.col("sur")), deletion_keys(F.col("whole"))), F.array(glued))
     by_given = F.when(F.col("fi") != "#", deletion_keys(F.col("given"))).otherwise(F.array().cast("array<string>"))
     keys = F.concat(F.transform(by_given, lambda k: F.concat(F.lit("g|"), F.col("sur"), F.lit("|"), k)), F.transform(by_sur, lambda k: F.concat(F.lit("s|"), F.col("given"), F.lit("|"), k)))
-    keyed = nodes.where("given <> ''").withColumn("glued", glued).select(F.explode(keys).alias("key"), F.struct("node", "sur", "given", "mid", "whole", "glued", "common").alias("x"))
-    pairs = keyed.withColumnRenamed("x", "l").join(keyed.withColumnRenamed("x", "r"), "key").where(F.col("l.node") < F.col("r.node"))
+    n = nodes.where("given <> '' AND NOT loose").join(labels, "node")
+    forms = n.groupBy(*PAIR, "whole").agg(F.bool_or("common").alias("common")).withColumn("glued", glued)
+    keyed = forms.select(F.explode(keys).alias("key"), F.struct(*PAIR, "whole", "glued", "common").alias("x"))
+    pairs = keyed.withColumnRenamed("x", "l").join(keyed.withColumnRenamed("x", "r"), "key").where(F.struct("l.sur", "l.given", "l.whole") < F.struct("r.sur", "r.given", "r.whole"))
     same_given = (F.col("l.given") == F.col("r.given")) & (
         one_error(F.col("l.sur"), F.col("r.sur")) | one_error(F.col("l.whole"), F.col("r.whole")) | (F.col("l.glued") == F.col("r.sur")) | (F.col("l.sur") == F.col("r.glued"))
     )
     # Two given names that are both common are two names, however near.
     same_sur = (F.col("l.sur") == F.col("r.sur")) & one_error(F.col("l.given"), F.col("r.given")) & ~(F.col("l.common") & F.col("r.common"))
-    fit = pairs.where(_mids_fit(F.col("l.mid"), F.col("r.mid")) & (same_given | same_sur))
-    return fit.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
-
-
-def _middle_edges(nodes: DataFrame) -> DataFrame:
-    """Nodes of one surname and given name (or initial) whose middle initials don't contradict: all to the smallest of them."""
-    g = nodes.groupBy("sur", "given", "fi").agg(
-        F.max_by("mid", F.struct(F.length("mid"), "mid")).alias("longest"), F.collect_set("mid").alias("mids"), F.min("node").alias("low")
-    )
-    one = g.where(F.forall("mids", lambda m: F.startswith("longest", m)))
-    return nodes.join(one.select("sur", "given", "fi", "low"), ["sur", "given", "fi"]).where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-
-
-def _initial_edges(nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(a, label, b)``: nodes with initials only, their label, and the one profile of their surname that fits.
+    apart = (F.col("l.sur") != F.col("r.sur")) | (F.col("l.given") != F.col("r.given"))
+    near = pairs.where(apart & (same_given | same_sur)).select(F.struct("l.sur", "l.given").alias("p"), F.struct("r.sur", "r.given").alias("q")).distinct()
+    # A pair that has become one profile meets others whatever their initials, several are met by their first middle initial.
+    own = n.groupBy(F.struct("sur", "given").alias("p"), "label", "m1").agg(F.max_by("mid", F.struct(F.length("mid"), "mid")).alias("mid"))
+    one = own.groupBy("p").agg((F.min("label") == F.max("label")).alias("one"))
+    own = own.join(one, "p")
+    whole = own.where("one").groupBy("p", "label").agg(F.max_by("mid", F.struct(F.length("mid"), "mid")).alias("mid")).withColumn("by", F.lit("*"))
+    people = whole.unionByName(own.where("m1 <> ''").select("p", "label", "mid", F.col("m1").alias("by")))
+    left = near.join(people, "p").select("q", "by", F.col("label").alias("a"), F.col("mid").alias("mid_a"))
+    met = left.join(people.select(F.col("p").alias("q"), "by", F.col("label").alias("b"), "mid"), ["q", "by"])
+    return met.where(_mids_fit(F.col("mid_a"), F.col("mid"))).where("a <> b").select("a", "b").distinct()
+
+
+def _loose_edges(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(a, b)``: the label of each loose node and the one profile of its surname that fits it.
 
     Two that fit are none, unless only one of them bears the node's own middle
     initial. A surname with a single error will do where no profile has the very one.
     """
     n = nodes.join(labels, "node")
     longest = F.max_by("mid", F.struct(F.length("mid"), "mid"))
-    profiles = n.where("given <> '' AND fi <> '#'").groupBy("label").agg(longest.alias("pmid"), F.collect_set(F.struct("sur", "fi")).alias("forms"))
-    profiles = profiles.select(F.col("label").alias("to"), "pmid", F.explode("forms").alias("f")).select("to", "pmid", F.col("f.sur").alias("psur"), "f.fi", F.explode(deletion_keys(F.col("f.sur"))).alias("k"))
-    mine = n.where("given = '' AND fi <> '#'").select("node", "label", "sur", "fi", "mid", F.explode(deletion_keys(F.col("sur"))).alias("k"))
+    profiles = n.where("given <> '' AND fi <> '#' AND NOT loose").groupBy("label").agg(longest.alias("pmid"), F.collect_set(F.struct("sur", "fi", "given")).alias("forms"))
+    profiles = profiles.select(F.col("label").alias("to"), "pmid", F.explode("forms").alias("f")).select("to", "pmid", F.col("f.sur").alias("psur"), "f.fi", F.col("f.given").alias("pgiven"), F.explode(deletion_keys(F.col("f.sur"))).alias("k"))
+    several = F.create_map(*[F.lit(x) for n_, v in NICKNAMES.items() if " " in v for x in (n_, v)])
+    means = F.split(F.coalesce(F.try_element_at(several, F.col("given")), F.col("given")), " ")
+    mine = n.where("loose").withColumn("means", means).select("node", "label", "sur", "mid", "means", F.explode(F.array_distinct(F.transform("means", lambda g: F.when(g == "", F.col("fi")).otherwise(F.substring(g, 1, 1))))).alias("fi"))
+    mine = mine.withColumn("k", F.explode(deletion_keys(F.col("sur"))))
     same = F.col("sur") == F.col("psur")
-    hits = mine.join(profiles, ["k", "fi"]).where(same | ((F.length("sur") >= 5) & one_error(F.col("sur"), F.col("psur"))))
+    named = F.array_contains("means", F.lit("")) | F.array_contains("means", F.col("pgiven"))
+    hits = mine.join(profiles, ["k", "fi"]).where(named & (same | ((F.length("sur") >= 5) & one_error(F.col("sur"), F.col("psur")))))
     each = hits.groupBy("node", "label", "to").agg(
         F.max(same.cast("int")).alias("same"), F.max(_mids_fit(F.col("mid"), F.col("pmid")).cast("int")).alias("fits"), F.max(((F.col("mid") != "") & (F.col("pmid") != "")).cast("int")).alias("named")
     )
@@ -235,7 +300,7 @@ def _initial_edges(nodes: DataFrame, labels: DataFrame) -> DataFrame:
 
     exact = F.coalesce(only("same = 1"), only("same = 1 AND named = 1"))
     near = F.when(F.max("same") == 0, F.coalesce(only("true"), only("named = 1")))
-    return each.groupBy("node", "label").agg(F.coalesce(exact, near).alias("b")).where("b IS NOT NULL").select(F.col("node").alias("a"), "label", "b")
+    return each.groupBy("node", "label").agg(F.coalesce(exact, near).alias("b")).where("b IS NOT NULL AND label <> b").select(F.col("label").alias("a"), "b")
 
 
 def resolve(names: DataFrame) -> DataFrame:
@@ -245,24 +310,36 @@ def resolve(names: DataFrame) -> DataFrame:
     names, should an id repeat, meet in one node. An empty table gives no rows.
     """
     names = names.select("name_id", "name")
-    lexicon = given_lexicon(names)
-    p = cut_lineage(parsed(names, lexicon))
-    nodes = cut_lineage(p.groupBy("sur", "given", "fi", "mid", "whole").agg(F.min("name_id").alias("node"), F.first("common").alias("common")))
-    edges = _typing_edges(nodes).unionByName(_middle_edges(nodes))
-    labels = components(cut_lineage(edges), nodes.select("node", F.col("node").alias("label")))
-    while True:
-        fresh = cut_lineage(_initial_edges(nodes, labels).where("label <> b"))
-        if fresh.isEmpty():
-            break
-        # Whole profiles merge: labels are joined, not only the node that was matched.
-        merged = components(fresh.select(F.col("label").alias("a"), "b"), labels.select(F.col("label").alias("node"), "label").distinct())
-        labels = cut_lineage(labels.withColumnRenamed("label", "l").join(merged.select(F.col("node").alias("l"), "label"), "l").select("node", "label"))
-    keyed = p.join(nodes, ["sur", "given", "fi", "mid", "whole"]).select("name_id", "node")
+    p = cut_lineage(parsed(names, given_lexicon(names)))
+    nodes = p.groupBy(*PAIR, "mid", "whole").agg(F.min("name_id").alias("node"), F.bool_or("common").alias("common"))
+    nodes = cut_lineage(_people(cut_lineage(nodes)))
+    labels = cut_lineage(nodes.select("node", F.col("low").alias("label")))
+    merged = True
+    while merged:
+        merged = False
+        for edges in (_typing_edges, _loose_edges):
+            fresh = cut_lineage(edges(nodes, labels))
+            if fresh.isEmpty():
+                continue
+            # Whole profiles merge: labels are joined, not only the nodes that were matched.
+            joined = components(fresh, labels.select(F.col("label").alias("node"), "label").distinct())
+            labels = cut_lineage(labels.withColumnRenamed("label", "l").join(joined.select(F.col("node").alias("l"), "label"), "l").select("node", "label"))
+            merged = True
+    keyed = p.join(nodes.select("node", *PAIR, "mid", "whole"), [*PAIR, "mid", "whole"]).select("name_id", "node")
     return keyed.join(labels, "node").select("name_id", F.col("label").alias("entity"))
 
 
+def entity_sizes(names: DataFrame) -> DataFrame:
+    """``(name_id, entity, n_links)``: each name, its entity and how many other names that has."""
+    r = resolve(names).persist(StorageLevel.MEMORY_AND_DISK)
+    return join_even(r, r.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).withColumn("n_links", F.col("n") - 1), "entity")
+
+
 def variant_pairs(names: DataFrame) -> DataFrame:
     """``(name_id_a, name_id_b)``, a < b: each pair of names of one entity. All pairs of an entity are the result asked for."""
     r = resolve(names).persist(StorageLevel.MEMORY_AND_DISK)
-    a, b = r.select("entity", F.col("name_id").alias("name_id_a")), r.select("entity", F.col("name_id").alias("name_id_b"))
-    return a.join(b, "entity").where("name_id_a < name_id_b").select("name_id_a", "name_id_b")
+    # Each left side of an entity is spread over salts, so that a large entity isn't one task's.
+    salt = F.pmod(F.xxhash64("name_id"), F.lit(SALTS))
+    a = r.select("entity", F.col("name_id").alias("name_id_a"), salt.alias("salt"))
+    b = r.join(r.groupBy("entity").agg(F.collect_set(salt).alias("salts")), "entity").select("entity", F.col("name_id").alias("name_id_b"), F.explode("salts").alias("salt"))
+    return a.join(b, ["entity", "salt"]).where("name_id_a < name_id_b").select("name_id_a", "name_id_b")

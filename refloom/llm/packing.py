@@ -29,8 +29,8 @@ from refloom.llm.token_ids import default_rank_file, encode_text, encoder
 from refloom.runtime import cut_lineage, spread
 
 SHARD_ITEMS = 4000
-#: A container may hold one segment (a document or a piece of one) for each so many tokens of its capacity.
-SEGMENT_TOKENS = 64
+#: A container may hold one segment (a document or a piece of one) for each so many tokens of its capacity, two at least.
+SEGMENT_TOKENS = 512
 POOR = 0.98
 
 
@@ -124,6 +124,11 @@ def pack(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
     return out
 
 
+def limits_of(capacity: int, segment_tokens: int, loss_share: float) -> tuple[int, int, int]:
+    """Tokens, segments and loss-bearing tokens that a container may hold."""
+    return capacity, max(2, capacity // segment_tokens), max(1, math.floor(capacity * loss_share))
+
+
 def _shards(items: DataFrame, rows: int, name: str) -> DataFrame:
     n = max(1, math.ceil(rows / SHARD_ITEMS))
     return items.withColumn(name, F.pmod(F.xxhash64("doc_id", "piece", "pack_name", F.lit(name)), F.lit(n)).cast("int"))
@@ -133,12 +138,12 @@ def _packed(items: DataFrame, shard: str, prefix: str, segment_tokens: int, loss
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "piece"], ignore_index=True)
         capacity = int(pdf["capacity"].iloc[0])
-        limits = np.array([capacity, max(1, capacity // segment_tokens), max(1, math.floor(capacity * loss_share))])
+        limits = np.array(limits_of(capacity, segment_tokens, loss_share))
         sizes = np.stack([pdf["tokens"], np.ones(len(pdf), dtype=np.int64), pdf["loss_tokens"]], axis=1).astype(np.int64)
         number = pack(sizes, limits)
         pdf["container"] = [f"{prefix}{capacity}-{key[2]}-{c}" for c in number]
-        # A container is as full as the fuller of its two token limits.
-        pdf["filled"] = (pd.DataFrame(sizes[:, [0, 2]]).groupby(number).transform("sum").to_numpy() / limits[[0, 2]]).max(axis=1)
+        # A container is as full as the fullest of its limits.
+        pdf["filled"] = (pd.DataFrame(sizes).groupby(number).transform("sum").to_numpy() / limits).max(axis=1)
         return pdf[["pack_name", "capacity", "doc_id", "piece", "tokens", "loss_tokens", "container", "filled"]]
 
     schema = "pack_name string, capacity int, doc_id long, piece int, tokens int, loss_tokens int, container string, filled double"
@@ -173,7 +178,16 @@ def fill_containers(documents: DataFrame, packs: DataFrame, rank_file: str | Non
     return single.select(*columns).unionByName(first.where(F.col("filled") >= POOR).select(*columns)).unionByName(again.select(*columns))
 
 
-def packing_report(filled: DataFrame, packs: DataFrame) -> DataFrame:
-    """``(pack_name, containers, pieces, tokens, fill)``: how well the containers of each capacity are filled."""
-    r = filled.groupBy("pack_name").agg(F.count_distinct("container").alias("containers"), F.count(F.lit(1)).alias("pieces"), F.sum("tokens").alias("tokens"))
-    return r.join(F.broadcast(packs.select("pack_name", "capacity").distinct()), "pack_name").select("pack_name", "containers", "pieces", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("fill"))
+def packing_report(filled: DataFrame, packs: DataFrame, segment_tokens: int = SEGMENT_TOKENS, loss_share: float = 1.0) -> DataFrame:
+    """``(pack_name, containers, pieces, tokens, fill, at_tokens, at_segments, at_loss)``: how well the containers of each capacity are filled.
+
+    The last three say how many containers come within a fiftieth of each limit, or beyond it.
+    """
+    held = filled.groupBy("pack_name", "container").agg(F.count(F.lit(1)).alias("segments"), F.sum("tokens").alias("tokens"), F.sum("loss_tokens").alias("loss"))
+    named = F.broadcast(packs.select("pack_name", "capacity").distinct())
+    c = F.col("capacity")
+    most = {"tokens": c, "segments": F.greatest(F.lit(2), F.floor(c / segment_tokens)), "loss": F.greatest(F.lit(1), F.floor(c * loss_share))}
+    near = [F.count_if(F.col(n) >= POOR * most[n]).alias(f"at_{n}") for n in most]
+    sums = [F.count(F.lit(1)).alias("containers"), F.sum("segments").alias("pieces"), F.sum("tokens").alias("tokens")]
+    r = held.join(named, "pack_name").groupBy("pack_name", "capacity").agg(*sums, *near)
+    return r.withColumn("fill", F.col("tokens") / (F.col("containers") * c)).drop("capacity")

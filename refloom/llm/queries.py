@@ -80,7 +80,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("p7_entities")
 def p7_entities(spark: SparkSession, sf: str) -> DataFrame:
-    return name_variants.resolve(table(spark, sf, "author_names"))
+    return name_variants.entity_sizes(table(spark, sf, "author_names"))
 
 
 @query("p8_ids")
@@ -154,7 +154,7 @@ def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
 @query("p9_report")
 def p9_report(spark: SparkSession, sf: str) -> DataFrame:
     packs = table(spark, sf, "pack_sizes")
-    return packing.packing_report(packing.fill_containers(table(spark, sf, "documents"), packs, loss_share=LOSS_SHARE), packs)
+    return packing.packing_report(packing.fill_containers(table(spark, sf, "documents"), packs, loss_share=LOSS_SHARE), packs, loss_share=LOSS_SHARE)
 
 
 @query("p10_found")

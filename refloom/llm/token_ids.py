@@ -30,6 +30,8 @@ from refloom.runtime import spread
 #: Fixed value: the pre-token pattern that belongs to the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PIECE_CHARS = 1 << 16
+#: So many ids go into one batch at most, far below what its offsets can hold.
+BATCH_IDS = 1 << 26
 _CUT = re.compile(r"(?<=\S)(?=[ \n\t])")
 _CACHE: dict[str, object] = {}
 
@@ -78,6 +80,30 @@ def decode_bytes(enc, ids) -> bytes:
     return enc.decode_bytes(list(ids))
 
 
+def _slices(sizes: list[int], most: int = BATCH_IDS) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of rows with ``most`` ids together at most, or of a single row."""
+    begin, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > begin and held + n > most:
+            yield begin, i
+            begin, held = i, 0
+        held += n
+    if sizes:
+        yield begin, len(sizes)
+
+
+def _lists(rows: list[list[int]]) -> pa.ListArray:
+    """Lists of ids as one flat buffer with offsets."""
+    offsets = np.zeros(len(rows) + 1, dtype=np.int64)
+    np.cumsum([len(r) for r in rows], out=offsets[1:])
+    if offsets[-1] > np.iinfo(np.int32).max:
+        raise OverflowError("a text has more ids than a list of 32-bit offsets can hold")
+    flat = np.empty(int(offsets[-1]), dtype=np.int32)
+    for r, a in zip(rows, offsets):
+        flat[a : a + len(r)] = r
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
+
+
 def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", rank_file: str | None = None, piece_chars: int = PIECE_CHARS) -> DataFrame:
     """``(key, ids)`` of each row of ``df``: no shuffle, one pass, any other columns are ignored.
 
@@ -90,14 +116,9 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", rank_f
         enc = encoder(rank_file)
         for batch in batches:
             rows = [encode_text(enc, t, piece_chars) for t in batch.column(1).to_pylist()]
-            sizes = np.fromiter((len(r) for r in rows), dtype=np.int64, count=len(rows))
-            flat = np.empty(int(sizes.sum()), dtype=np.int32)
-            offsets = np.zeros(len(rows) + 1, dtype=np.int64)
-            np.cumsum(sizes, out=offsets[1:])
-            for r, a in zip(rows, offsets):
-                flat[a : a + len(r)] = r
-            ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[key, "ids"])
+            keys = batch.column(0)
+            for begin, end in _slices([len(r) for r in rows]):
+                yield pa.RecordBatch.from_arrays([keys.slice(begin, end - begin), _lists(rows[begin:end])], names=[key, "ids"])
 
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return source.mapInArrow(run, schema)

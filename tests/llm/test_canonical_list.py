@@ -31,6 +31,16 @@ def test_forms(spark, journals):
     assert {n: got[i] for i, n in enumerate(cases)} == cases
 
 
+def test_edits_that_touch_a_blank_and_misspelt_short_forms(spark, journals):
+    cases = {"Journal of LunarQuarrying": 1, "Journal of Lunar Quar rying": 1, "Journal of LunarQuarying": -1, "Journal of LunarQuarrging": 1, "Polar Zoologyand Statistics": 4, "PolarZoology and Statistics": 4, "Journal of Lunar Quarrying B": -1}
+    e = entries(spark, [(i, "a.bib", "k", {"journal": n}) for i, n in enumerate(cases)])
+    got = {r["entry_id"]: r["row_no"] for r in C.map_journals(e, journals).collect()}
+    assert {n: got[i] for i, n in enumerate(cases)} == cases
+    short = spark.createDataFrame([("Acta Quadrata", "Quadr. Geol. Abh.", 0, 5)], "full string, short string, priority int, row_no int")
+    e = entries(spark, [(i, "a.bib", "k", {"journal": n}) for i, n in enumerate(["Qudar. Geol. Abh.", "Quadr. Goel. Abh.", "Quadr. Geol. Abx.", "Quxyr. Geol. Abh."])])
+    assert {r["entry_id"]: r["row_no"] for r in C.map_journals(e, short).collect()} == {0: 5, 1: 5, 2: -1, 3: -1}
+
+
 def test_no_cases(spark, journals):
     e = entries(spark, [(1, "a", "k", {"journal": "J. Lunar Quarr."}), (2, "a", "k", {"journal": " "}), (3, "a", "k", None), (4, "a", "k", {"x": "y"}), (5, "a", "k", {"journal": "y" * 20_000})])
     assert [tuple(r) for r in C.map_journals(e, journals).collect()] == [(5, -1)]

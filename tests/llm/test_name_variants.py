@@ -53,6 +53,44 @@ def test_links(spark):
     assert N.variant_pairs(names.limit(0)).count() == 0
 
 
+def entities(spark, names):
+    df = spark.createDataFrame(list(enumerate(names)), "name_id long, name string")
+    out = {}
+    for r in N.resolve(df).collect():
+        out.setdefault(r["entity"], set()).add(names[r["name_id"]])
+    return sorted(map(sorted, out.values()))
+
+
+def test_people_of_one_name(spark):
+    many = [f"Quill, John {a}. {b}. {c}." for a in "ABCDEFGH" for b in "ABCDEFG" for c in "ABCDEFG"]
+    apart = [
+        ["Smith, John A."], ["Smith, John C."], ["Smith, John"],  # the bare name may be either
+        ["Doe, John A.", "Doe, John AB", "Doe, John", "Deo, John A."],
+        # An error is met by the initial it bears, and the bare misspelling by what it alone can be.
+        ["Brown, John A."], ["Brown, John C.", "Browne, John C.", "Browne, John"],
+        ["Novak, Andy", "Novak, Andrew"], ["Roe, Andy", "Roe, Ondrej"], ["Poe, Andy"], ["Poe, Andrew"], ["Poe, Ondrej"], ["Poe, Chuck", "Charles Poe"],
+        *[[n] for n in many],
+    ]
+    assert entities(spark, [n for g in apart for n in g]) == sorted(map(sorted, apart))
+
+
+def test_a_large_lexicon_is_joined(spark):
+    _, names = table(spark)
+    lexicon = N.given_lexicon(names)
+    rows = lambda most: sorted(map(tuple, N.parsed(names, lexicon, most).collect()), key=str)
+    assert lexicon.count() > 3 and rows(0) == rows(100)
+
+
+def test_sizes(spark):
+    _, names = table(spark)
+    got = {r["name_id"]: r["n_links"] for r in N.entity_sizes(names).collect()}
+    want = {}
+    for r in N.variant_pairs(names).collect():
+        for i in r:
+            want[i] = want.get(i, 0) + 1
+    assert {i: n for i, n in got.items() if n} == want
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)]

@@ -83,3 +83,19 @@ def test_records_hold_every_field_of_every_group(spark):
         3: ("a b", "misc", {"doi": "10.1/y", "title": "Bogs in the early ...", "author": "A Roe et al."}),
         5: (None, "thesis", {"doi": "10.1/z", "file": "f"}),
     }
+
+
+def test_later_layers_fill_what_the_first_leaves_null(spark):
+    day = lambda n: T0 + dt.timedelta(days=n)
+    rows = [
+        (1, "Smith2020", {"doi": "10.1/x", "title": "Peat", "year": "2020"}, day(9)),  # over all others
+        (2, "?", {"doi": "10.1/x", "title": "Peat", "note": "of the second layer", "month": "n/a"}, day(3)),
+        (3, "?", {"doi": "10.1/x", "note": "of the third", "month": "may"}, day(2)),
+    ]
+    r = S.records(entries(spark, rows_of(rows))).head()
+    assert r["fields"] == {"doi": "10.1/x", "title": "Peat", "year": "2020", "note": "of the second layer", "month": "may"}
+    # A trusted record can't be dominated by one that is less trusted, so its note comes first though it is older.
+    late = [dict(x, ingested_at=day(900) if x["entry_id"] < 3 else day(5)) for x in rows_of(rows)]
+    assert S.records(entries(spark, late)).head()["fields"]["note"] == "of the third"
+    assert {tuple(x) for x in S.best_values(entries(spark, late)).collect()} == {tuple(x) for x in S.best_values(entries(spark, rows_of(rows))).collect()}
+    assert S.records(entries(spark, late), trust=F.lit(0)).head()["fields"]["note"] == "of the second layer"
