@@ -36,6 +36,22 @@ def test_table_is_checked():
     assert t.rewrite("x") == "x"
 
 
+def test_look_alikes_are_in_the_checked_tables(spark):
+    import pytest
+
+    more = L.published_look_alikes(spark)
+    assert 80 < len(more) and more["ɑ"] == "a" and more["Ꮪ"] == "S" and more["օ"] == "o" and "ı" not in more
+    for text, form in {
+        "ɑlpha and Ɡraph": "alpha and Graph", "gոomօn": "gnomon", "ᏚᎪᎷ series": "SAM series", "Yıldız": "Yıldız", "Երևան": "Երևան", "ᏣᎳᎩ": "ᏣᎳᎩ",
+        "Исследовɑние": "Исследование", "Frаncisсo": "Francisco",
+    }.items():
+        assert L.consistent(text, more) == form == L.consistent(form, more), ascii(text)
+    with pytest.raises(ValueError):
+        L.Transducer({"а": "b"})
+    with pytest.raises(ValueError):
+        L.Transducer({"x": "а"}, {})
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.characters(blacklist_categories=("Cs", "Co", "Cn")), max_size=40))
 def test_idempotent(text):
