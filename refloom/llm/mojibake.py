@@ -8,8 +8,9 @@ word's verdict is reused wherever the word occurs.
 For each word every chain of "encode as it was read, decode as it was written"
 is tried, on the whole word and run by run, up to twice. A candidate's gain is
 the difference of smoothed log-likelihoods. The likeliest candidate is accepted
-if its gain passes a margin that is validated on held-out clean words: the
-smallest one at which at most ``max_false`` of the clean words would be changed.
+if its gain passes a margin that is validated on all distinct clean words in
+steady use, each scored without its own counts, as if it were a word never seen: the
+smallest one at which at most ``max_false`` of them would be changed.
 
 The counts are hashed into a table of fixed size (2^18 buckets for each order),
 so what is sent to the workers doesn't grow with the data. Clean records are
@@ -36,8 +37,12 @@ from refloom.runtime import spread
 
 BUCKETS = 1 << 18
 ORDERS = (2, 3, 4)
-#: At most so many distinct clean words are held out to validate the margin.
-VALIDATION_WORDS = 4000
+#: A word is in steady use if it occurs so often; of rarer ones that look clean too many are cases themselves to validate anything.
+STEADY = 5
+#: The margin where there is no clean word to validate it.
+UNVALIDATED = 8.0
+#: A pair of characters is known if it has this share of all pairs beyond ASCII, less than a single one of few: below it, in a full table, a count may be another pair's.
+KNOWN_SHARE = 1 / (8 * BUCKETS)
 #: Encodings as which bytes may have been read, and in which they may have been written.
 READ_AS = ("latin-1", "cp1252", "mac_roman", "cp437", "cp850", "cp1251", "koi8-r", "cp1250", "iso8859-2", "cp866")
 WRITTEN_IN = ("utf-8", "cp1252", "mac_roman", "cp437", "cp1250", "iso8859-2", "cp1251", "koi8-r", "shift_jis", "euc_jp")
@@ -167,7 +172,7 @@ def bucket(gram: str) -> int:
 class Model:
     """Smoothed n-gram counts in a table of fixed size."""
 
-    def __init__(self, counts: np.ndarray, margin: float = 8.0, priors: dict[str, float] | None = None):
+    def __init__(self, counts: np.ndarray, margin: float = UNVALIDATED, priors: dict[str, float] | None = None):
         self.counts, self.margin, self.priors = counts, margin, priors or {}
         self.totals = np.maximum(counts.sum(axis=1), 1).astype(float)
 
@@ -182,7 +187,8 @@ class Model:
 
     def known(self, text: str) -> bool:
         """Whether clean records hold most of a text's pairs beyond ASCII; what decodes to nonsense doesn't pass."""
-        seen = [self.counts[0, bucket(g)] > 0 for g in _grams(text, 2)]
+        least = self.totals[0] * KNOWN_SHARE
+        seen = [self.counts[0, bucket(g)] > least for g in _grams(text, 2)]
         return 2 * sum(seen) >= len(seen) if seen else True
 
     @functools.lru_cache(maxsize=1 << 16)  # noqa: B019
@@ -267,40 +273,64 @@ def chain_priors(words: DataFrame, model, strong: float = 12.0) -> dict[str, flo
     return {k: float(np.log((n + 0.5) / total)) for k, n in support.items()} | {"": float(np.log(0.5 / total))}
 
 
-def validated_margin(model: Model, held_out: list[tuple[str, int]], max_false: float = 0.002, least: float = 0.5, most: float = 8.0) -> float:
-    """The smallest margin at which at most ``max_false`` of the held-out clean words would change.
+def unseen_gain(model: Model, word: str, n: int) -> tuple[float, str]:
+    """Gain and text of a word's likeliest candidate, as if its ``n`` occurrences had never been counted."""
+    if not candidates(word) or only_disguised(word):
+        return 0.0, word
+    own = [(k, bucket(g)) for k, order in enumerate(ORDERS) for g in _grams(word, order)]
+    for at in own:
+        model.counts[at] -= n
+    model._log.cache_clear()
+    gain, text, _ = Model.best.__wrapped__(model, word)
+    for at in own:
+        model.counts[at] += n
+    return gain, text
+
+
+def validated_margin(words: DataFrame, model, max_false: float = 0.002) -> float:
+    """The smallest margin at which at most ``max_false`` of all distinct clean words in steady use would change.
 
     Each word is scored without its own counts, as if it had never been seen. A
     word whose candidate is itself a far more frequent word is no evidence: it
-    is most likely a case that looks clean.
+    is most likely a case that looks clean. Gains reach the driver as a histogram.
     """
-    often = dict(held_out)
-    gains = []
-    for word, n in held_out:
-        own = [(k, bucket(g)) for k, order in enumerate(ORDERS) for g in _grams(word, order)]
-        for at in own:
-            model.counts[at] -= n
-        model._log.cache_clear()
-        gain, text, _ = Model.best.__wrapped__(model, word)
-        for at in own:
-            model.counts[at] += n
-        if often.get(text, 0) < 3 * n:
-            gains.append(gain)
-    model._log.cache_clear()
-    if not gains:
-        return most
-    return float(np.clip(np.quantile(gains, 1 - max_false), least, most))
 
-
-def fit(values: DataFrame, validation_words: int = VALIDATION_WORDS) -> Model:
-    """The model of a column ``v`` of values: counts over all rows, priors over all words, margin on held-out words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        own = Model(m.counts.copy(), priors=m.priors)
+        for batch in batches:
+            rows, idle = [], 0
+            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if n >= STEADY and looks_clean(word):
+                    gain, text = unseen_gain(own, word, n)
+                    if gain > 0:
+                        rows.append((text, n, gain))
+                    else:
+                        idle += 1
+            rows.append((None, idle, 0.0))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.float64()))], names=["word", "own", "gain"])
+
+    scored = words.mapInArrow(run, "word string, own long, gain double")
+    evidence = scored.join(words, "word", "left").where("word IS NULL OR n IS NULL OR n < 3 * own")
+    bins = evidence.groupBy(F.ceil(F.col("gain") * 100).alias("b")).agg(F.sum(F.when(F.col("word").isNull(), F.col("own")).otherwise(1)).alias("c")).collect()
+    total = sum(r["c"] for r in bins)
+    if not total:
+        return UNVALIDATED
+    changed = 0
+    for r in sorted(bins, key=lambda r: -r["b"]):
+        changed += r["c"]
+        if changed > max_false * total:
+            return r["b"] / 100
+    return 0.0
+
+
+def fit(values: DataFrame) -> Model:
+    """The model of a column ``v`` of values: counts over all rows, priors and margin over all distinct words."""
     words = wide_words(values).persist(StorageLevel.MEMORY_AND_DISK)
     sc = values.sparkSession.sparkContext
     counts = gram_counts(words)
-    priors = chain_priors(words, sc.broadcast(Model(counts)))
-    model = Model(counts, priors=priors)
-    top = words.where("n >= 2").orderBy(F.desc("n"), "word").limit(validation_words).collect()
-    model.margin = validated_margin(model, [(r["word"], r["n"]) for r in top if looks_clean(r["word"])])
+    model = Model(counts, priors=chain_priors(words, sc.broadcast(Model(counts))))
+    model.margin = validated_margin(words, sc.broadcast(Model(counts, priors=model.priors)))
     words.unpersist()
     return model
 
