@@ -36,6 +36,10 @@ def test_levels_on_held_out_documents(spark):
     held = [i for i in truth if i % 4]
     assert sum(got[i] == truth[i] for i in held) / len(held) > 0.9
     assert got[903] == 1 and set(got.values()) <= {1, 2, 3, 4}
+    # Rare words give the same levels by joins as frequent ones by number.
+    joined = {r["doc_id"]: r["difficulty"] for r in R.estimate(docs, labels, rounds=2, head=30).collect()}
+    by_number = {r["doc_id"]: r["difficulty"] for r in R.estimate(docs, labels, rounds=2).collect()}
+    assert set(joined) == set(by_number) and all(abs(joined[i] - by_number[i]) < 1e-6 for i in joined)
     assert R.estimate(docs.unionByName(docs.limit(1)), labels).count() == len(got) + 1
     assert R.estimate(docs.limit(0), labels).count() == 0
     assert R.estimate(docs, labels.limit(0)).count() == len(got)
