@@ -22,7 +22,10 @@ BROKEN_ACCENTS = (("\u0308", '"'), ("\u0301", "\\'"), ("ś", "\\'{s}"), ("ł", "
 #: HTML entities in the order of their replacement.
 ENTITIES = (("&amp;", "\\&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"))
 #: Month names and short forms.
-MONTHS = {name: str(i + 1) for i, names in enumerate((("jan", "january"), ("feb", "february"), ("mar", "march"), ("apr", "april"), ("may",), ("jun", "june"), ("jul", "july"), ("aug", "august"), ("sep", "september", "sept"), ("oct", "october"), ("nov", "november"), ("dec", "december"))) for name in names}
+MONTHS = {
+    "jan": "1", "january": "1", "feb": "2", "february": "2", "mar": "3", "march": "3", "apr": "4", "april": "4", "may": "5", "jun": "6", "june": "6", "jul": "7", "july": "7",
+    "aug": "8", "august": "8", "sep": "9", "sept": "9", "september": "9", "oct": "10", "october": "10", "nov": "11", "november": "11", "dec": "12", "december": "12",
+}
 #: Letters that the author repair writes as LaTeX commands.
 AUTHOR_LETTERS = {"ń": "\\'{n}", "á": "\\'{a}", "é": "\\'{e}", "í": "\\'{i}", "ó": "\\'{o}", "ú": "\\'{u}", "ü": '\\"{u}', "ö": '\\"{o}', "ł": "\\l{}", "ć": "\\'{c}", "ś": "\\'{s}", "ź": "\\'{z}", "ą": "\\'{a}", "ę": "\\'{e}"}
 NAME_FIELDS = ("author", "editor", "translator", "title", "booktitle", "journal")
@@ -69,14 +72,17 @@ def escape_percent(value: Column) -> Column:
     return F.regexp_replace(value, r"(?<!\\)((?:\\\\)*)%", r"$1\\%")
 
 
+#: Patterns in author fields and what they become, in their order.
+AUTHOR_PATTERNS = ((r"([A-Za-z])\\{4,}([a-z]+)", r'$1{\\"u}$2'), (r"\\{4,}", r"\\"), (r",\s*\\+\s*([,}])", ",$1"), (r"([A-Za-z])\s*\\+\s*$", "$1"))
+#: Sequences that stand for letters, and the commands for these.
+AUTHOR_SEQUENCES = (("\\ν", "\\'{n}"), ("\\μ", "\\'{u}"), ("\\149", "\\'{n}"))
+
+
 def fix_author(value: Column) -> Column:
     """surplus backslashes, names that end in one, and letters that compilers stumble over."""
-    x = F.regexp_replace(value, r"([A-Za-z])\\{4,}([a-z]+)", r'$1{\\"u}$2')
-    x = F.regexp_replace(x, r"\\{4,}", r"\\")
-    x = F.regexp_replace(x, r",\s*\\+\s*([,}])", ",$1")
-    x = F.regexp_replace(x, r"([A-Za-z])\s*\\+\s*$", "$1")
-    x = _all(x, [("\\ν", "\\'{n}"), ("\\μ", "\\'{u}"), ("\\149", "\\'{n}")])
-    return _all(x, AUTHOR_LETTERS.items())
+    for pattern, new in AUTHOR_PATTERNS:
+        value = F.regexp_replace(value, pattern, new)
+    return _all(value, [*AUTHOR_SEQUENCES, *AUTHOR_LETTERS.items()])
 
 
 _COMMAND = re.compile(r"""\\['"`^~=]\{([^}]+)\}""")
