@@ -46,9 +46,7 @@ def p4_forms(spark: SparkSession, sf: str) -> DataFrame:
     return look_alike.unify_entries(table(spark, sf, "entries"))
 
 
-@query(
-    "p5_found",
-    r"""WITH pairs AS (
+_CANON = r"""WITH pairs AS (
           SELECT entry_id, entry_type, lower(trim(kv.key)) AS k, kv.value AS v
           FROM (SELECT entry_id, entry_type, unnest(map_entries(fields)) AS kv FROM entries WHERE fields IS NOT NULL)),
         clean AS (
@@ -59,7 +57,12 @@ def p4_forms(spark: SparkSession, sf: str) -> DataFrame:
           SELECT e.entry_id, regexp_replace(lower(e.entry_type), '[^\p{L}\p{N}]+', '', 'g') AS t,
                  list_sort(list_distinct(list(c.k || ':' || c.v) FILTER (WHERE c.v <> ''))) AS body
           FROM (SELECT entry_id, entry_type FROM entries WHERE fields IS NOT NULL) e LEFT JOIN clean c USING (entry_id)
-          GROUP BY e.entry_id, e.entry_type),
+          GROUP BY e.entry_id, e.entry_type)"""
+
+
+@query(
+    "p5_found",
+    _CANON + """,
         firsts AS (SELECT entry_id, min(entry_id) OVER (PARTITION BY t, body) AS group_id FROM canon)
         SELECT group_id, entry_id FROM firsts WHERE entry_id <> group_id""",
 )
@@ -68,7 +71,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return found.where("entry_id <> group_id").select("group_id", "entry_id")
 
 
-@query("p5_copies")
+@query("p5_copies", _CANON + " SELECT min(entry_id) AS entry_id, count(*) AS n_copies FROM canon GROUP BY t, body")
 def p5_copies(spark: SparkSession, sf: str) -> DataFrame:
     return hot_dedup.collapse(table(spark, sf, "entries"))
 
@@ -94,7 +97,8 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _BLANK = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_STANDS_IN = ", ".join(f"'{w}'" for w in survivor.STAND_INS)
+_STANDS_IN = """'', '-', '--', '---', '?', '??', '???', '.', '...', 'n/a', 'na', 'n.a.', 'n.n.', 'nn', 'n.d.', 'none', 'null', 'nil', 'unknown', 'tba', 'tbd', 't.b.a.',
+    'in press', 'to appear', 'forthcoming', 'missing', 'xxx'"""
 
 
 def _get(name: str) -> str:
