@@ -32,7 +32,7 @@ from refloom.runtime import cut_lineage, spread
 
 #: No more pieces than this can have a share that outweighs UNKNOWN.
 DICTIONARY = 59_875
-#: Up to so many values with rare pieces in them are broadcast; more are joined by shuffle.
+#: Up to so many rare pieces, or values with some in them, are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 20_000
 FIELDS = ("author", "keywords")
 #: An unknown piece spans so many cuts at most, as each costs it CROSSED; known ones have no such bound.
@@ -347,7 +347,8 @@ def rare_in(values: DataFrame, rare: DataFrame) -> DataFrame:
 
     costly = rare.select("field", "p", "phrase", F.when(F.col("phrase"), 0).otherwise(F.col("n")).cast("long").alias("n"))
     costly = costly.mapInArrow(run, costly.schema).withColumn("s", _steps(F.col("p")))
-    keyed = costly.select("field", "p", "n", F.coalesce(F.try_element_at("s", F.lit(1)), F.concat(F.lit("="), "p")).alias("k"))
+    keyed = cut_lineage(costly.select("field", "p", "n", F.coalesce(F.try_element_at("s", F.lit(1)), F.concat(F.lit("="), "p")).alias("k")))
+    keyed = F.broadcast(keyed) if keyed.count() <= BROADCAST_ROWS else keyed
     low = F.regexp_replace(F.lower("v"), r"(?U)\s+", " ")
     alone = F.when(F.col("field") == "author", F.transform(F.regexp_extract_all(low, F.lit(_ALONE), F.lit(1)), lambda x: F.concat(F.lit("="), x))).otherwise(F.array().cast("array<string>"))
     probes = values.select("field", "v", F.explode(F.array_distinct(F.concat(_steps(low), alone))).alias("k"))

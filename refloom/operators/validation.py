@@ -42,6 +42,13 @@ def syntax_errors(blocks: DataFrame) -> DataFrame:
     return blocks.where("error IS NOT NULL").select("project", "file", F.col("at").alias("pos"), "error")
 
 
+def unbalanced(files: DataFrame) -> DataFrame:
+    """``(project, file, n_open, n_close)`` of files whose braces don't balance: a second opinion that owes nothing to the parser."""
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    n = lambda c: (F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))).cast("long")
+    return files.select("project", "file", n("{").alias("n_open"), n("}").alias("n_close")).where("n_open <> n_close")
+
+
 def malformed_authors(entries: DataFrame) -> DataFrame:
     """``(project, n)``: none are looked for, as in the original."""
     return entries.select("project").distinct().select("project", F.lit(0).cast("long").alias("n"))

@@ -664,6 +664,13 @@ def a16(spark: SparkSession, sf: str) -> DataFrame:
     return V.syntax_errors(bibtex.parse_files(table(spark, sf, "bib_files")))
 
 
+@query("e3_unbalanced", """
+   SELECT * FROM (SELECT project, file, length(t) - length(replace(t, '{', '')) AS n_open, length(t) - length(replace(t, '}', '')) AS n_close FROM (SELECT project, file, content::VARCHAR AS t FROM bib_files))
+   WHERE n_open <> n_close""")
+def e3(spark: SparkSession, sf: str) -> DataFrame:
+    return V.unbalanced(table(spark, sf, "bib_files"))
+
+
 # Consolidation and keys (D1-D7) ---------------------------------------------------------------
 
 
