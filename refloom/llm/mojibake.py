@@ -39,7 +39,7 @@ BUCKETS = 1 << 18
 ORDERS = (2, 3, 4)
 #: A word is in steady use if it occurs so often; of rarer ones that look clean too many are cases themselves to validate anything.
 STEADY = 5
-#: The margin where there is no clean word to validate it.
+#: The margin where the clean words are too few to validate a rate of ``max_false``: fewer than would show a single false one.
 UNVALIDATED = 8.0
 #: A pair of characters is known if it has this share of all pairs beyond ASCII, less than a single one of few: below it, in a full table, a count may be another pair's.
 KNOWN_SHARE = 1 / (8 * BUCKETS)
@@ -314,7 +314,7 @@ def validated_margin(words: DataFrame, model, max_false: float = 0.002) -> float
     evidence = scored.join(words, "word", "left").where("word IS NULL OR n IS NULL OR n < 3 * own")
     bins = evidence.groupBy(F.ceil(F.col("gain") * 100).alias("b")).agg(F.sum(F.when(F.col("word").isNull(), F.col("own")).otherwise(1)).alias("c")).collect()
     total = sum(r["c"] for r in bins)
-    if not total:
+    if total * max_false < 1:
         return UNVALIDATED
     changed = 0
     for r in sorted(bins, key=lambda r: -r["b"]):

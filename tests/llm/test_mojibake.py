@@ -41,6 +41,25 @@ def test_finds_and_restores(table):
     assert set(got) == set(want) | {3000}
 
 
+def test_margin(spark):
+    """Few words validate nothing; of many, at most the share asked for would change."""
+    import numpy as np
+
+    rng = random.Random(1)
+    words = [("".join(rng.choices("bdfgklmnprst", k=3)) + rng.choice("éèüöñ") + "".join(rng.choices("aeiou", k=2)), 6) for _ in range(3000)]
+    df = spark.createDataFrame(sorted(dict(words).items()), "word string, n long")
+    sc = spark.sparkContext
+    counts = M.gram_counts(df)
+    model = M.Model(counts)
+    assert M.validated_margin(df.limit(100), sc.broadcast(model)) == M.UNVALIDATED
+    margin = M.validated_margin(df, sc.broadcast(model), max_false=0.01)
+    rows = [(r["word"], r["n"]) for r in df.collect() if M.looks_clean(r["word"])]
+    known = dict(rows)
+    gains = [(g, t, n) for w, n in rows for g, t in [M.unseen_gain(model, w, n)]]
+    evidence = [g for g, t, n in gains if g <= 0 or known.get(t, 0) < 3 * n]
+    assert np.mean([g > margin for g in evidence]) <= 0.01 and (margin == 0 or np.mean([g > margin - 0.02 for g in evidence]) > 0.01)
+
+
 def test_nothing_to_do(table):
     assert M.repair_entries(table.limit(0)).count() == 0
     assert M.repair_entries(table.where("entry_id < 200")).count() == 0
