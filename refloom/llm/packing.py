@@ -30,7 +30,7 @@ from refloom.runtime import cut_lineage, spread
 
 SHARD_ITEMS = 4000
 #: A container may hold one segment (a document or a piece of one) for each so many tokens of its capacity, two at least.
-SEGMENT_TOKENS = 512
+SEGMENT_TOKENS = 64
 POOR = 0.98
 
 

@@ -146,19 +146,21 @@ def p3_survivors(spark: SparkSession, sf: str) -> DataFrame:
     return survivor.records(table(spark, sf, "entries")).withColumn("fields", F.to_json("fields"))
 
 
-#: Below the share of tokens in lines with letters (0.389 at sf0.01), so that the limit on loss-bearing tokens binds.
-LOSS_SHARE = 0.375
+#: Limits that act on these texts: a share below that of tokens in lines with letters (0.389 at sf0.01), and
+#: a segment for each so many tokens, where a text has 1,142 on average (sf0.1) and most have fewer.
+LIMITS = {"segment_tokens": 512, "loss_share": 0.375}
+LOSS_SHARE = LIMITS["loss_share"]
 
 
 @query("p9_containers")
 def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.fill_containers(table(spark, sf, "documents"), table(spark, sf, "pack_sizes"), loss_share=LOSS_SHARE)
+    return packing.fill_containers(table(spark, sf, "documents"), table(spark, sf, "pack_sizes"), **LIMITS)
 
 
 @query("p9_report")
 def p9_report(spark: SparkSession, sf: str) -> DataFrame:
     packs = table(spark, sf, "pack_sizes")
-    return packing.packing_report(packing.fill_containers(table(spark, sf, "documents"), packs, loss_share=LOSS_SHARE), packs, loss_share=LOSS_SHARE)
+    return packing.packing_report(packing.fill_containers(table(spark, sf, "documents"), packs, **LIMITS), packs, **LIMITS)
 
 
 @query("p10_found")

@@ -86,3 +86,13 @@ def test_registered_share_binds(spark, sf):
 
     d = P.demands(table(spark, sf, "documents")).selectExpr("sum(loss_tokens) / sum(tokens) AS share").head()
     assert Q.LOSS_SHARE < d["share"]
+
+
+@pytest.mark.skipif(not os.path.exists(default_rank_file()), reason="no rank file here")
+def test_every_registered_limit_acts(spark, sf):
+    from refloom.llm import queries as Q
+
+    rows = [r.asDict() for r in Q.p9_report(spark, sf).collect()]
+    for limit in ("at_tokens", "at_segments", "at_loss"):
+        assert sum(r[limit] for r in rows) > 0, limit
+    assert all(r["fill"] <= 1 for r in rows) and sum(r["pieces"] for r in rows) > 0
